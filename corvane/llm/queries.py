@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.decontaminate import op7_decontaminate
 from corvane.llm.language import op9_language_id
+from corvane.llm.mixing import op8_mix_sources
+from corvane.llm.neardup import op3_minhash_neardup
+from corvane.llm.tokenstore import op1_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_store": op1_token_store,
+        "op3_minhash_neardup": op3_minhash_neardup,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_mix_sources": op8_mix_sources,
         "op9_language_id": op9_language_id,
     }
 
