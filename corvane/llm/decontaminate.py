@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Every document is cut into blocks of ``BLOCK`` words; a passage is two blocks that follow each other, so
-that any span of up to ``BLOCK`` words lies whole in a passage. Terms are the words of the benchmark.
+that any span of up to ``BLOCK`` words lies whole in a passage. Case and ASCII punctuation are ignored.
+Terms are the words of the benchmark.
 
 1. Document frequencies of the terms over all blocks of all documents.
 2. Distributed randomised SVD: for the TF-IDF matrix A of all blocks (rows of unit length, and the
@@ -23,10 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import slices, text_buffer, word_hashes, word_spans
+from corvane.llm.kernel import IS_PUNCTUATION, slices, text_buffer, word_hashes, word_spans
 from corvane.runtime import arrow_rows, ship_package, table
 
 BLOCK = 64
@@ -42,8 +44,8 @@ _TABLE = 1 << 18
 
 
 def _words(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    starts, ends, _ = word_spans(raw, np.array([0, len(raw)]))
+    raw = np.frombuffer(pc.utf8_lower(pa.scalar(text)).as_py().encode(), dtype=np.uint8)
+    starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), IS_PUNCTUATION)
     return word_hashes(raw, starts, ends)
 
 
@@ -68,7 +70,7 @@ def _blocked(data, offsets, first, last, terms: _Terms):
     """Words of a slice of texts, their bounds, the first block of each text, and (block, term) of all terms."""
     lo = offsets[first]
     part = data[lo : offsets[last]]
-    starts, ends, bounds = word_spans(part, offsets[first : last + 1] - lo)
+    starts, ends, bounds = word_spans(part, offsets[first : last + 1] - lo, IS_PUNCTUATION)
     words = word_hashes(part, starts, ends)
     blocks = -(-np.diff(bounds) // BLOCK)
     base = np.concatenate([[0], np.cumsum(blocks)])
@@ -101,7 +103,7 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     def run(batches):
         look, df, total = _Terms(terms), np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
             for first, last in slices(offsets):
                 _, _, base, block, term = _blocked(data, offsets, first, last, look)
                 total += int(base[-1])
@@ -126,7 +128,7 @@ def _latent(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, items: list[
     def run(batches):
         look, z = _Terms(terms[used]), np.zeros((v, k), np.float32)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
             for first, last in slices(offsets):
                 _, _, _, block, term = _blocked(data, offsets, first, last, look)
                 if len(block):
@@ -221,7 +223,7 @@ def _search(docs: DataFrame, items: list, rank: int) -> DataFrame:
     def run(batches):
         look = _Terms(terms[used])
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
             out: list[tuple] = []
             for first, last in slices(offsets):
                 words, bounds, base, block, term = _blocked(data, offsets, first, last, look)

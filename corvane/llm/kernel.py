@@ -26,6 +26,8 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_VALUE = BYTE_VALUE[LOWER]
+#: For words without punctuation: every ASCII character that is no letter or digit parts words.
+IS_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -76,11 +78,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, docs: int = SLICE_DOCS
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and words before each text (len(offsets)). A word never spans two texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and words before each text (len(offsets)). A word never spans two texts.
+
+    gap: which bytes part words.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = IS_SPACE[data]
+    space = gap[data]
     edge = np.empty(len(data) + 1, dtype=bool)
     edge[0] = edge[-1] = True
     edge[1:-1] = space[:-1]
