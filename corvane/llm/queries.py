@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.decontaminate import op7_decontaminate
 from corvane.llm.language import op9_language_id
+from corvane.llm.lmscore import op5_lm_score
 from corvane.llm.mixing import op8_mix_sources
 from corvane.llm.neardup import op3_minhash_neardup
+from corvane.llm.suffixdup import op2_suffix_dedup
 from corvane.llm.tokenstore import op1_token_store
+from corvane.llm.vectordup import op10_embedding_neardup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_minhash_neardup": op3_minhash_neardup,
+        "op5_lm_score": op5_lm_score,
         "op7_decontaminate": op7_decontaminate,
         "op8_mix_sources": op8_mix_sources,
         "op9_language_id": op9_language_id,
+        "op10_embedding_neardup": op10_embedding_neardup,
     }
 
 
