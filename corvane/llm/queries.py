@@ -6,28 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.chat import OP4_SQL, op4_chat_format
 from corvane.llm.decontaminate import op7_decontaminate
 from corvane.llm.language import op9_language_id
 from corvane.llm.lmscore import op5_lm_score
 from corvane.llm.mixing import op8_mix_sources
 from corvane.llm.neardup import op3_minhash_neardup
+from corvane.llm.secrets import op6_secret_scan
 from corvane.llm.suffixdup import op2_suffix_dedup
 from corvane.llm.tokenstore import op1_token_store
 from corvane.llm.vectordup import op10_embedding_neardup
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_minhash_neardup": op3_minhash_neardup,
+        "op4_chat_format": op4_chat_format,
         "op5_lm_score": op5_lm_score,
+        "op6_secret_scan": op6_secret_scan,
         "op7_decontaminate": op7_decontaminate,
         "op8_mix_sources": op8_mix_sources,
         "op9_language_id": op9_language_id,
         "op10_embedding_neardup": op10_embedding_neardup,
+        "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": OP4_SQL}
