@@ -213,5 +213,5 @@ def test_settings(spark):
     from corvane.schema import Settings, settings_rows
 
     spark.conf.set("corvane.related_top_k", "3")
-    assert Settings().override(spark).related_top_k == 3 and settings_rows(spark, Settings()).count() == 22
+    assert Settings().override(spark).related_top_k == 3 and settings_rows(spark, Settings()).count() == 23
     spark.conf.unset("corvane.related_top_k")
