@@ -36,14 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import BYTE_VALUE, mix, text_buffer
+from corvane.llm.kernel import BYTE_VALUE, mix, slices, text_buffer
 from corvane.runtime import Workspace, ship_package, table
 
 SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM  # a window starts at most so many bytes before its anchor
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+PIECE_BYTES = 1 << 17
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NULL_ID = np.iinfo(np.int64).max
 
@@ -92,18 +93,23 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all anchors, ascending, and their hashes."""
+    """Positions of all anchors, ascending, and their hashes; in pieces that fit a processor's cache."""
+    found = [(offsets[a], *_anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, PIECE_BYTES)]
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([none[0], *(at + lo for lo, at, _ in found)]), np.concatenate([none[1], *(h for _, _, h in found)])
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(data) < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    at = np.arange(len(data))
     h = gram_hashes(data)
-    h[at[: len(h)] + GRAM > ends[: len(h)]] = _NEVER
     least = _sliding(h, REACH + 1, np.minimum)
-    least[at[: len(least)] + SPAN > ends[: len(least)]] = 0
+    for end, size in zip(offsets[1:].tolist(), np.diff(offsets).tolist()):
+        h[end - min(size, GRAM - 1) : end] = _NEVER
+        least[end - min(size, SPAN - 1) : end] = 0
     most = _sliding(np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)]), REACH + 1, np.maximum)
     found = np.flatnonzero((h == most[: len(h)]) & (h != _NEVER) & (h != 0))
-    return found, h[found]
+    return found, mix(h[found] ^ np.uint64(0x9E3779B97F4A7C15))  # smallest hashes are small: spread them anew
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -273,7 +279,7 @@ def _multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n, depth_max = words.shape
     order = np.arange(n)
-    starts, ends, depth = np.array([0]), np.array([n]), np.array([0])
+    starts, ends, depth = (np.array([0]), np.array([n]), np.array([0])) if n > 1 else (np.zeros(0, np.int64),) * 3
     equal = np.zeros(n, bool)
     while len(starts):
         sizes = ends - starts
@@ -467,10 +473,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", with
     size = blocks.agg(F.sum("bytes")).first()[0] or 0
     bits = max(0, int(size // BUCKET_BYTES).bit_length())
     with _few_rows(spark):
-        hashes = _deal_hashes(blocks, bits).groupBy("bucket").applyInArrow(_answer_hashes, "block long, bucket long, answer binary")
+        hashes = _deal_hashes(blocks, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answer_hashes, "block long, bucket long, answer binary")
         shared = work.write(hashes.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("shared")), "shared")
         told = blocks.join(shared, "block", "left")
-        contexts = _deal_contexts(told, bits).groupBy("bucket").applyInArrow(_answer_contexts, "block long, bucket long, which binary, least binary")
+        contexts = _deal_contexts(told, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answer_contexts, "block long, bucket long, which binary, least binary")
         answers = work.write(contexts.groupBy("block").agg(F.collect_list(F.struct("bucket", "which", "least")).alias("answers")), "answers")
         result = work.write(_measured(told.join(answers, "block", "left"), bits, with_text), "result")
     work.drop("blocks", "shared", "answers")
