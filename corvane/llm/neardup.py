@@ -7,11 +7,12 @@ groups of ``ROWS`` minhash values each; the key of table (i, j) combines group i
 0.75 that is 2 * (1 - s**2)**12 or 1e-4, at 0.8 9e-6, at 0.9 4e-9.
 
 Steps: documents with equal sets become one class first. Only groups that two classes share go into
-tables. Each bucket links its members to its smallest one (a star, never all pairs); the sketch of all
-minhash values drops hopeless pairs; the rest is confirmed on full sets, read again from the texts.
-Buckets that then still hold several components are compared once more, in blocks of sketches, for links
-between different components only. So a link is lost only where no table or a sketch far below its
-similarity (6 standard errors) loses it; members and candidates have no cap.
+tables. Each bucket links its members to its hub, the one that meets most others over all tables (a
+star, never all pairs); a sketch drops hopeless pairs; the rest is confirmed on full sets, read again
+from the texts. Buckets that then still hold several components are compared once more, in blocks of
+sketches, for links between different components only, each pair in its first common table. So a link
+is lost only where no table or a sketch far below its similarity (5 standard errors) loses it; members
+and candidates have no cap. A sketch is the smallest hash in each of ``BINS`` bins, one byte each.
 
 Cases: null or empty text, or no words: empty set, linked with nothing; fewer than five words: the whole
 sequence is one shingle; repeated rows and equal ids collapse in the class of their set (a repeated id
@@ -37,8 +38,10 @@ PERCENT = 75
 GROUPS = 12
 ROWS = 2
 HASHES = 2 * GROUPS * ROWS
-SKETCH_FLOOR = 0.40  # a pair of similarity 0.75 has less agreement with a chance below 1e-7
-BLOCK = 1024
+BINS = 512
+ERRORS = 5.0  # standard errors below the similarity asked for at which a sketch drops a pair
+BLOCK = 512
+SMALL = 1_000_000  # rows of four numbers that may be broadcast
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HASH_BITS = np.uint64((1 << 52) - 1)
@@ -68,8 +71,30 @@ def minhashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """BINS bytes for every set: of the smallest hash in each bin, 0 for an empty bin."""
+    n = len(bounds) - 1
+    h = mix(values * np.uint64(0x9E3779B97F4A7C15))
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    least = np.full(n * BINS, 0xFFFFFFFF, dtype=np.uint32)
+    np.minimum.at(least, owner * BINS + (h >> np.uint64(55)).astype(np.int64), (h & np.uint64(0x7FFFFFFF)).astype(np.uint32))
+    return np.where(least == 0xFFFFFFFF, 0, least % 255 + 1).astype(np.uint8).reshape(n, BINS)
+
+
+def hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether pairs of sketches (rows) of sets with na and nb members allow the similarity asked for.
+
+    The bins in use are a sample, without replacement, of the union of a pair.
+    """
+    used = ((a | b) > 0).sum(axis=1)
+    agree = ((a == b) & (a > 0)).sum(axis=1)
+    s = PERCENT / 100
+    left_out = np.maximum(1 - used * (1 + s) / (na + nb), 0)
+    return agree >= used * s - ERRORS * np.sqrt(used * s * (1 - s) * left_out) - 1
+
+
 def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, set_key binary, sig array<int>); set_key is null for an empty set."""
+    """(doc_id, n_shingles, set_key binary, sig array<int>, sketch binary); set_key is null for an empty set."""
     ship_package(docs.sparkSession)
     arrow_rows(docs.sparkSession)
 
@@ -81,30 +106,38 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", width: i
                 raw, sig = values.astype("<u8").tobytes(), minhashes(values, at)
                 keys = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, HASHES, dtype=np.int32)), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), rows], names=["doc_id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), rows, pa.array([x.tobytes() for x in sketches(values, at)], pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig", "sketch"])
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>, sketch binary")
 
 
 def tables(classes: DataFrame) -> DataFrame:
-    """(key, rep): entries of the tensored tables, for groups of U and V that at least two classes share."""
+    """(key, table, rep): entries of the tensored tables, for groups of U and V that at least two classes share."""
     group = [F.xxhash64(F.lit(g), *[F.col("sig")[g * ROWS + r] for r in range(ROWS)]) for g in range(2 * GROUPS)]
     each = classes.select("rep", F.posexplode(F.array(*group)).alias("g", "h"))
     shared = each.groupBy("h").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high").select("h")
-    kept = each.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("g") < GROUPS, F.col("h"))).alias("u"), F.collect_list(F.when(F.col("g") >= GROUPS, F.col("h"))).alias("v"))
-    half = kept.where((F.size("u") > 0) & (F.size("v") > 0)).select("rep", F.explode("u").alias("hu"), "v")
-    return half.select("rep", "hu", F.explode("v").alias("hv")).select(F.xxhash64("hu", "hv").alias("key"), "rep")
+    group = F.struct("g", "h")
+    kept = each.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("g") < GROUPS, group)).alias("u"), F.collect_list(F.when(F.col("g") >= GROUPS, group)).alias("v"))
+    half = kept.where((F.size("u") > 0) & (F.size("v") > 0)).select("rep", F.explode("u").alias("x"), "v")
+    both = half.select("rep", "x", F.explode("v").alias("y"))
+    return both.select(F.xxhash64("x.h", "y.h").alias("key"), (F.col("x.g") * GROUPS + F.col("y.g") - GROUPS).cast("int").alias("table"), "rep")
 
 
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity asked for."""
-    side = classes.select("rep", "n_shingles", "sig")
-    joined = pairs.join(side.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a").join(side.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return joined.where((F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT) & (agree >= SKETCH_FLOOR * HASHES)).select("a", "b")
+    side = classes.select("rep", "n_shingles", "sketch")
+    joined = pairs.join(side.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
+    sized = joined.where((F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)).select("a", "b", "sa", "sb", "na", "nb")
 
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(hopeful(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy())))
+
+    return sized.mapInArrow(run, "a long, b long")
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH, spread: int = 256) -> DataFrame:
+
+def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, text: str = "text", id: str = "doc_id", width: int = WIDTH, spread: int = 256) -> DataFrame:
     """The pairs (a, b) that reach the similarity on full sets, computed from the texts.
 
     Each centre a comes once for every salt of its members and its members follow it in one sorted
@@ -116,6 +149,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text", id: str = "do
     few = members.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     members = members.join(few, "a").select("a", F.pmod("salt", F.ceil(F.col("n") / spread)).alias("salt"), "need")
     needs = members.withColumn("member", F.lit(1)).unionByName(members.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("need"), F.lit(0).alias("member")))
+    needs = work.write(needs, f"{name}-needs")
+    if needs.count() <= SMALL:  # else texts and needs are shuffled by id
+        needs = F.broadcast(needs)
     texts = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("need"), F.col(text).alias("text"))
     rows = needs.join(texts, "need").repartition("a", "salt").sortWithinPartitions("a", "salt", "member").select("a", "need", "member", "text")
 
@@ -142,29 +178,33 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text", id: str = "do
 
 
 def _cross_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket, by blocks of sketches: (key, rep, label, n_shingles, sig) -> (a, b)."""
+    """Hopeful pairs of different components within a bucket: (key, table, rep, label, n_shingles, sig, sketch) -> (a, b)."""
 
     def run(t: pa.Table) -> pa.Table:
-        rep, label, n = (t.column(c).to_numpy() for c in ("rep", "label", "n_shingles"))
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
-        order = np.argsort(rep)
-        rep, label, n, sig = rep[order], label[order], n[order], sig[order]
-        least = int(np.ceil(SKETCH_FLOOR * HASHES))
+        rep, label, n, at = (t.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "table"))
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, 2 * GROUPS, ROWS)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        u, v = divmod(int(at[0]), GROUPS)
         a, b = [], []
         for first in range(0, len(rep), BLOCK):
             rows = slice(first, first + BLOCK)
             for second in range(first, len(rep), BLOCK):
                 cols = slice(second, second + BLOCK)
-                ok = (label[rows, None] != label[None, cols]) & (rep[rows, None] < rep[None, cols])
+                ok = label[rows, None] != label[None, cols]
+                if second == first:
+                    ok = np.triu(ok, 1)
                 ok &= (n[rows, None] * 100 >= n[None, cols] * PERCENT) & (n[None, cols] * 100 >= n[rows, None] * PERCENT)
                 x, y = np.nonzero(ok)
-                keep = np.zeros(len(x), bool)
-                for at in range(0, len(x), 65536):
-                    part = slice(at, at + 65536)
-                    keep[part] = (sig[first + x[part]] == sig[second + y[part]]).sum(axis=1) >= least
-                a.append(rep[first + x[keep]])
-                b.append(rep[second + y[keep]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+                for start in range(0, len(x), 32768):
+                    i, j = first + x[start : start + 32768], second + y[start : start + 32768]
+                    same = (sig[i] == sig[j]).all(axis=2)
+                    here = (same[:, :GROUPS].argmax(axis=1) == u) & (same[:, GROUPS:].argmax(axis=1) == v)  # else it meets in an earlier table
+                    i, j = i[here], j[here]
+                    keep = hopeful(sketch[i], sketch[j], n[i], n[j])
+                    a.append(rep[i[keep]])
+                    b.append(rep[j[keep]])
+        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return mixed.groupBy("key").applyInArrow(run, "a long, b long").distinct()
 
@@ -176,21 +216,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lab
     sig = work.write(signatures(docs, text, id), "signatures")
     named = sig.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     firsts = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    low = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
-    classes = work.write(low.select(F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.sig"), "classes")
+    low = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "sketch")).alias("x"))
+    classes = work.write(low.select(F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.sig", "x.sketch"), "classes")
     entries = work.write(tables(classes), "entries")
-    stars = entries.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("key", "a")
-    pairs = entries.join(stars, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
-    first = work.write(confirm(work.write(_close(pairs, classes), "pairs"), docs, text, id), "links")
-    labels = work.write(connected_components(first, work, "early"), "labels")
-    labelled = entries.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    mixed = labelled.join(several, "key").join(classes, "rep").select("key", "rep", "label", "n_shingles", "sig")
-    cross = work.write(_cross_pairs(mixed).join(work.read("pairs"), ["a", "b"], "left_anti"), "cross")
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = work.write(entries.join(several, "key").select("key", "table", "rep", "n"), "met")
     work.drop("entries")
+    degree = met.groupBy("rep").agg(F.sum("n").alias("degree"))
+    hub = met.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("x")).select("key", (-F.col("x.less")).alias("hub"))
+    pairs = met.join(hub, "key").where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    first = work.write(confirm(work.write(_close(pairs, classes), "pairs"), docs, work, "first", text, id), "links")
+    labels = work.write(connected_components(first, work, "early"), "labels")
+    labelled = met.join(labels, F.col("rep") == F.col("id"), "left").where("n > 2").select("key", "table", "rep", F.coalesce("component", "rep").alias("label"))  # a pair has met its hub
+    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    mixed = labelled.join(mixed_keys, "key").join(classes, "rep").select("key", "table", "rep", "label", "n_shingles", "sig", "sketch")
+    tried = work.read("pairs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = work.write(_cross_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "cross")
+    work.drop("met")
     links = first
     if not cross.isEmpty():
-        links = first.unionByName(work.write(confirm(cross, docs, text, id), "more-links"))
+        links = first.unionByName(work.write(confirm(cross, docs, work, "more", text, id), "more-links"))
     final = connected_components(links, work, "final")
     of_set = firsts.join(final, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     whole = sig.join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("found", "doc_id"))
