@@ -92,7 +92,7 @@ def nearest(queries: DataFrame, embeddings: DataFrame, k: int, exclude_self: boo
 def fuse(keyword, semantic, filename, metadata, settings: Settings = Settings()):
     """Weighted sum of four scores, each in 0..1."""
     zero = lambda c: clamp(F.coalesce(c, F.lit(0.0)))
-    return F.round(settings.search_weight_keyword * zero(keyword) + settings.search_weight_semantic * zero(semantic) + settings.search_weight_filename * zero(filename) + settings.search_weight_metadata * zero(metadata), 6)
+    return F.round(settings.search_weight_keyword * zero(keyword) + settings.search_weight_semantic * zero(semantic) + settings.search_weight_filename * zero(filename) + settings.search_weight_metadata * zero(metadata), 9)
 
 
 def hybrid(keyword: DataFrame, semantic: DataFrame, filename: DataFrame, metadata: DataFrame, k: int = 30, settings: Settings = Settings()) -> DataFrame:

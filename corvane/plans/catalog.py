@@ -244,7 +244,7 @@ def _hybrid(ix: Index) -> DataFrame:
 
 
 query("ker32_keyword_scores", f"WITH {_BQ}, {_KW} SELECT query_id, file_id, keyword FROM ks WHERE keyword >= 0.3", "files")(lambda ix: se.keyword_scores(se.inverted_index(ix.files), _benchmark_queries(ix)).where("keyword >= 0.3"))
-query("ker32_hybrid", f"WITH {_BQ}, {_KW}, kt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC, file_id) AS r FROM ks), sm AS (SELECT q.file_id AS query_id, e.file_id, round(" + _DOT.format(a="q.vector", b="e.vector") + ", 6) AS semantic FROM embs q JOIN embs e ON q.file_id <> e.file_id WHERE q.file_id IN (SELECT item_id FROM benchmark)), st AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, file_id) AS r FROM sm), cd AS (SELECT query_id, file_id FROM kt WHERE r <= 30 UNION SELECT query_id, file_id FROM st WHERE r <= 30) SELECT cd.query_id, cd.file_id, CAST(floor(10000 * (0.30 * least(greatest(coalesce(keyword, 0.0), 0.0), 1.0) + 0.40 * least(greatest(coalesce(st.semantic, 0.0), 0.0), 1.0)) + 0.005) AS BIGINT) AS score_e4 FROM cd LEFT JOIN ks ON ks.query_id = cd.query_id AND ks.file_id = cd.file_id LEFT JOIN (SELECT * FROM st WHERE r <= 30) st ON st.query_id = cd.query_id AND st.file_id = cd.file_id", "files embs")(lambda ix: _hybrid(ix).select("query_id", "file_id", F.floor(F.col("score") * 10000 + 0.005).alias("score_e4")))
+query("ker32_hybrid", f"WITH {_BQ}, {_KW}, kt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC, file_id) AS r FROM ks), sm AS (SELECT q.file_id AS query_id, e.file_id, round(" + _DOT.format(a="q.vector", b="e.vector") + ", 6) AS semantic FROM embs q JOIN embs e ON q.file_id <> e.file_id WHERE q.file_id IN (SELECT item_id FROM benchmark)), st AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, file_id) AS r FROM sm), cd AS (SELECT query_id, file_id FROM kt WHERE r <= 30 UNION SELECT query_id, file_id FROM st WHERE r <= 30) SELECT cd.query_id, cd.file_id, CAST(floor(10000 * (0.30 * least(greatest(coalesce(keyword, 0.0), 0.0), 1.0) + 0.40 * least(greatest(coalesce(st.semantic, 0.0), 0.0), 1.0)) + 0.0005) AS BIGINT) AS score_e4 FROM cd LEFT JOIN ks ON ks.query_id = cd.query_id AND ks.file_id = cd.file_id LEFT JOIN (SELECT * FROM st WHERE r <= 30) st ON st.query_id = cd.query_id AND st.file_id = cd.file_id", "files embs")(lambda ix: _hybrid(ix).select("query_id", "file_id", F.floor(F.col("score") * 10000 + 0.0005).alias("score_e4")))
 
 
 def st_corrections() -> str:
