@@ -32,7 +32,7 @@ IS_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)]
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get("base")
     if have is None or len(have) < n + 1:
         size = max(n + 1, SLICE_BYTES + 1)
@@ -102,7 +102,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of every word, A-Z lower-cased."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _power_table(len(data))
+    power, inverse = power_table(len(data))
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(LOWER_VALUE[data] * power[: len(data)], out=total[1:])

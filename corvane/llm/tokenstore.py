@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import mix, slices, text_buffer
+from corvane.llm.kernel import BYTE_VALUE, mix, power_table, slices, text_buffer
 from corvane.runtime import Workspace, arrow_rows, ship_package, table
 
 END_ID = 2
 CUT_WINDOW = 16
 CUT_MASK = np.uint64(1023)  # a cut every 1024 ids in the mean
 LEAST, MOST = 128, 4096
-CACHE = 1_200_000
+CACHE = 2_000_000
+ENCODE_BYTES = 2 << 20
 _ID_VALUE = mix(np.arange(1, 1 << 17, dtype=np.uint64))
 
 _state: dict = {}
@@ -50,55 +52,79 @@ def load_tokenizer(path: str) -> str:
         return file.read()
 
 
-def _segments(raw: np.ndarray) -> np.ndarray:
-    """Offsets at which every byte-level pre-tokenizer of this kind cuts as well.
+def _segments(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Offsets at which texts start or every byte-level pre-tokenizer of this kind cuts as well, ascending.
 
-    These are a single space between two characters that are no white space, and the punctuation after
-    an ASCII letter. Encoding the parts gives the same ids as encoding the whole.
+    The latter are a single space between two characters that are no white space, and a full stop or
+    comma after an ASCII letter. Encoding the parts gives the same ids as encoding the whole.
     """
-    if len(raw) < 2:
-        return np.zeros(0, np.int64)
-    solid = raw > 0x20
-    solid &= raw != 0x7F
-    at_space = np.zeros(len(raw), bool)
-    at_space[1:-1] = (raw[1:-1] == 0x20) & solid[:-2] & solid[2:]
-    folded = raw | 0x20
-    letter = (folded >= 0x61) & (folded <= 0x7A) & (raw < 0x80)
-    mark = (raw == 0x2E) | (raw == 0x2C)
-    at_space[1:] |= mark[1:] & letter[:-1]
-    return np.flatnonzero(at_space)
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 2:
+        solid = raw > 0x20
+        cut[1:-2] = (raw[1:-1] == 0x20) & solid[:-2] & solid[2:]
+        folded = raw[:-1] | 0x20
+        cut[1:-1] |= ((raw[1:] == 0x2E) | (raw[1:] == 0x2C)) & (folded >= 0x61) & (folded <= 0x7A) & (raw[:-1] < 0x80)
+    cut[offsets] = True
+    return np.flatnonzero(cut)
+
+
+def _part_hashes(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every part between two cuts, and its first eight bytes mixed with its length."""
+    power, inverse = power_table(len(raw))
+    total = np.empty(len(raw) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(BYTE_VALUE[raw] * power[: len(raw)], out=total[1:])
+    size = np.diff(cuts).astype(np.uint64)
+    head = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)[cuts[:-1]].copy().view("<u8").ravel()
+    head &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(size, np.uint64(8)))
+    return mix((total[cuts[1:]] - total[cuts[:-1]]) * inverse[cuts[:-1]] + size), head * np.uint64(0x9E3779B97F4A7C15) + size
 
 
 class Encoder:
-    """Whole texts to ids; parts that recur are encoded once and remembered (a bounded cache)."""
+    """Whole texts to ids; parts that recur are encoded once and remembered, by 64 bits of hash, first bytes and length (a bounded cache)."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every part comes once, so the library's own cache is in the way
         self.whole = any(t in spec for t in ('"lstrip": true', '"rstrip": true', '"normalizer": {'))
-        self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
         self.wide = self.tokenizer.get_vocab_size() > 65536
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # ascending by key
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the bounds of the texts."""
-        cuts = np.unique(np.concatenate([offsets, _segments(data)]) if not self.whole else offsets)
-        raw, edges = data.tobytes(), cuts.tolist()
-        parts = [raw[a:b] for a, b in zip(edges, edges[1:])]
-        if len(self.known) > CACHE:
-            self.known, self.ids = {}, []
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        if new:
-            for part, found in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)):
-                self.known[part] = len(self.ids)
-                self.ids.append(np.array(found.ids, dtype=np.uint32))
-        which = list(map(self.known.__getitem__, parts))
-        flat = np.concatenate([*map(self.ids.__getitem__, which), np.zeros(0, np.uint32)])
-        lengths = np.fromiter((len(self.ids[i]) for i in which), np.int64, len(which))
-        before = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(cuts, offsets)]
-        out = np.insert(flat, before[1:], END_ID)
-        return out, before + np.arange(len(before))
+        cuts = np.unique(offsets) if self.whole else _segments(data, offsets)
+        key, check = _part_hashes(data, cuts)
+        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.key) > CACHE:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.key, distinct), max(len(self.key) - 1, 0))
+        new = np.flatnonzero(self.key[at] != distinct) if len(self.key) else np.arange(len(distinct))
+        if len(new):
+            raw, lo, hi = data.tobytes(), cuts[first[new]].tolist(), cuts[first[new] + 1].tolist()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(lo, hi)], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            start = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+            where = np.searchsorted(self.key, distinct[new])
+            self.check, self.start, self.size = (np.insert(a, where, b) for a, b in ((self.check, check[first[new]]), (self.start, start), (self.size, size)))
+            self.key = np.insert(self.key, where, distinct[new])
+            at = np.searchsorted(self.key, distinct)
+        place = at[which.ravel()] if len(cuts) > 1 else np.zeros(0, np.int64)
+        if (self.check[place] != check).any():  # two parts share 64 bits: never seen, and not trusted
+            raise ValueError("two parts of texts have the same hash")
+        size = self.size[place]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(self.start[place] - upto[:-1], size) + np.arange(upto[-1])]
+        before = upto[np.searchsorted(cuts, offsets)]
+        return np.insert(flat, before[1:], END_ID), before + np.arange(len(before))
 
 
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -153,7 +179,7 @@ def _encoded(docs: DataFrame, spec: str) -> DataFrame:
         sent: set[bytes] = set()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for first, last in slices(offsets):
+            for first, last in slices(offsets, ENCODE_BYTES):
                 ids, bounds = encoder.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 ends = cut_points(ids, bounds)
                 raw, packed = ids.astype("<u4").tobytes(), ids.astype(width)
