@@ -38,6 +38,7 @@ TOTAL_SHARE = 1.5
 MAX_REPEAT = 2
 BUCKET_ROWS = 16384
 CHUNK_SLOTS = 8192
+TASK_SLOTS = 65536
 _WALK = 16  # longest walk on a small grid; on a large one the chance of a longer walk is below 1e-15
 
 
@@ -51,11 +52,12 @@ def _round(x: Column, rows: Column, cols: Column, seed: Column) -> Column:
     return left * cols + right
 
 
-def permute(x: Column, n: Column, seed: Column) -> Column:
-    """Pseudorandom permutation of 0..n-1 at x, keyed by seed; all are columns of longs."""
+def permuted(df: DataFrame, name: str, x: Column, n: Column, seed: Column) -> DataFrame:
+    """df with the pseudorandom permutation of 0..n-1 at x, keyed by seed; all are columns of longs."""
     rows = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     cols = F.ceil(n / rows).cast("long")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), _round(x, rows, cols, seed), lambda at, _: F.when(at < n, at).otherwise(_round(at, rows, cols, seed)))
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(_WALK)), F.col(name), lambda at, _: F.when(at < n, at).otherwise(_round(at, rows, cols, seed)))
+    return df.withColumn(name, _round(x, rows, cols, seed)).withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(walked))
 
 
 def sizes(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
@@ -91,13 +93,12 @@ def targets(sized: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
 def slots(sources: DataFrame, seed: int = 17, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row an output slot: (sid, block, shard, position in the shard)."""
     chunks = sources.where("slots > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK_SLOTS).cast("long"))))
-    chunks = chunks.repartition(F.col("sid"), F.col("first"))
-    each = chunks.withColumn("j", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK_SLOTS, F.col("slots")) - 1)))
+    tasks = int((sources.agg(F.max("all_slots")).first()[0] or 0) // TASK_SLOTS) + 1  # by number: bytes say little about rows that are yet to be made
+    each = chunks.repartition(tasks, "sid", "first").withColumn("j", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK_SLOTS, F.col("slots")) - 1)))
     key = F.lit(seed).cast("long")
-    place = permute(F.col("slots_before") + F.col("j"), F.col("all_slots"), F.xxhash64(key))
     pass_no = F.floor(F.col("j") / F.col("blocks")).cast("long")
-    block = permute(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.xxhash64(key, F.col("sid"), pass_no))
-    placed = each.select("sid", block.alias("block"), place.alias("place"))
+    placed = permuted(each, "place", F.col("slots_before") + F.col("j"), F.col("all_slots"), F.xxhash64(key))
+    placed = permuted(placed, "block", F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.xxhash64(key, F.col("sid"), pass_no))
     return placed.select("sid", "block", F.floor(F.col("place") / shard_slots).cast("long").alias("shard"), F.pmod(F.col("place"), F.lit(shard_slots)).alias("position"))
 
 
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     work = Workspace(docs.sparkSession, label)
     sized = work.write(sizes(docs, text, source, id), "sizes")
     sources = work.write(targets(sized, weights, total_share, max_repeat, block_words), "sources")
-    drawn = slots(sources, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    drawn = slots(sources, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # its size can't be told from the few rows it is made of
     cut = pieces(sized, sources, seed, block_words).join(drawn, ["sid", "block"], "left")
     taken = cut.groupBy("sid", "at", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).alias("taken"))
     none = sized.where("size = 0").join(sources.select("sid", F.col("source").alias("named")), F.col("source").eqNullSafe(F.col("named"))).select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
