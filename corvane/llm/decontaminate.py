@@ -34,7 +34,7 @@ from corvane.runtime import arrow_rows, ship_package, table
 BLOCK = 64
 RANK = 96
 QUERY_MASS = 0.5
-COSINE = 0.30
+COSINE = 0.50
 NEAR = 0.75
 PARAPHRASE = 0.55
 ANSWER = 0.75
