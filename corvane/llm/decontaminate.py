@@ -8,10 +8,15 @@ Terms are the words of the benchmark.
 2. Distributed randomised SVD: for the TF-IDF matrix A of all blocks (rows of unit length, and the
    benchmark items with ``QUERY_MASS`` of the whole mass, so that the latent space can tell items apart)
    tasks add up A'(A G) for a fixed Gaussian G; an orthonormal basis of it spans the latent space.
-3. Cosines of all passages and items in that space; those from ``COSINE`` up are candidates.
-4. Candidates are checked with a longest common subsequence of words, weighted by inverse document
-   frequency. From ``NEAR`` of the item's weight it is a copy; from ``PARAPHRASE`` it is one if the
-   answer (the benchmark's answer column, else the last quarter of the item) is in the passage too.
+3. Candidates are all passages and items that share words of at least ``PARAPHRASE`` of the item's
+   weight by inverse document frequency, which no match can do without. An inverted index over the
+   rarest words of every item, all but ``REST`` of its weight, finds them: the rest counts as shared, so
+   the index bounds the weight from above and loses none, whatever else the passage holds.
+4. Candidates are checked with a longest common subsequence of words, weighted the same way. From
+   ``NEAR`` of the item's weight it is a copy; from ``PARAPHRASE`` it is one if the answer (the
+   benchmark's answer column, else the last quarter of the item) is in the passage too.
+5. Matches come with the cosine of passage and item in the latent space. It ranks equal matches of a
+   document and gates nothing, so its rank needs no growth with the items.
 
 Cases: null or empty texts and items match nothing; repeated rows are found alike; null ids keep their
 rows; an empty benchmark finds nothing. Other columns play no part.
@@ -34,13 +39,14 @@ from corvane.runtime import arrow_rows, ship_package, table
 BLOCK = 64
 RANK = 96
 QUERY_MASS = 0.5
-COSINE = 0.50
 NEAR = 0.75
 PARAPHRASE = 0.55
 ANSWER = 0.75
+REST = 0.10  # of an item's weight: its most common words, which the index leaves out; decides the cost, not the result
 COMMON = 0.05  # terms in more blocks than this share carry no weight in the latent space
 ITEMS = 4096
 _TABLE = 1 << 18
+_CELLS = 1 << 22  # (block, item) sums, and postings, held at a time
 
 
 def _words(text: str) -> np.ndarray:
@@ -163,6 +169,57 @@ def _add(z, gauss, block, term, value, start):
     z[term[first]] += np.add.reduceat(y[row] * value[:, None], first, axis=0)
 
 
+class _Index:
+    """Postings of the rarest words of every item: (word, item, share of the item's weight)."""
+
+    def __init__(self, items: list[np.ndarray], idf: np.ndarray):
+        piece, term, share, need = [], [], [], []
+        for q, item in enumerate(items):
+            own, counts = np.unique(item, return_counts=True)
+            order = np.argsort(-idf[own], kind="stable")
+            part = (counts * idf[own])[order]
+            part /= part.sum()
+            rest = 1 - np.cumsum(part)
+            kept = int(np.argmax(rest <= REST)) + 1
+            piece.append(np.full(kept, q))
+            term.append(own[order[:kept]])
+            share.append(part[:kept])
+            need.append(PARAPHRASE - max(rest[kept - 1], 0.0) - 1e-9)
+        term, order = np.concatenate(term), np.argsort(np.concatenate(term), kind="stable")
+        self.terms, self.count = np.unique(term, return_counts=True)
+        self.start = np.cumsum(self.count) - self.count
+        self.piece, self.share, self.need = np.concatenate(piece)[order], np.concatenate(share)[order], np.array(need)
+
+    def near(self, block: np.ndarray, term: np.ndarray, rows: np.ndarray, joined: np.ndarray):
+        """(index into rows, item) of all passages that may share enough with an item.
+
+        block, term: distinct, by block, terms as places in self.terms. rows: first blocks of passages,
+        ascending; joined: whether the next block belongs to it as well.
+        """
+        q = len(self.need)
+        step = max(2, _CELLS // q)
+        upto = np.concatenate([[0], np.cumsum(self.count[term])])
+        first = 0
+        while first < len(rows):
+            low = rows[first]
+            a = np.searchsorted(block, low)
+            most = np.searchsorted(upto, upto[a] + _CELLS, side="right") - 1  # whole blocks of postings up to here
+            high = min(low + step, int(block[most]) if most < len(block) else low + step)
+            high = max(high, low + 2)
+            last = int(np.searchsorted(rows, high - 1))  # passages whose second block lies below high
+            last = max(last, first + 1)
+            b = np.searchsorted(block, high)
+            size = self.count[term[a:b]]
+            at = np.repeat(self.start[term[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            sums = np.bincount((np.repeat(block[a:b], size) - low) * q + self.piece[at], weights=self.share[at], minlength=(high - low) * q).reshape(-1, q)
+            own = rows[first:last] - low
+            shared = sums[own]
+            shared[joined[first:last]] += sums[own[joined[first:last]] + 1]
+            r, p = np.nonzero(shared >= self.need)
+            yield from zip((r + first).tolist(), p.tolist())
+            first = last
+
+
 def weighted_lcs(item: np.ndarray, weight: np.ndarray, passage: np.ndarray) -> float:
     """Weight of the heaviest common subsequence of two word sequences."""
     best = np.zeros(len(passage) + 1)
@@ -210,7 +267,6 @@ def _search(docs: DataFrame, items: list, rank: int) -> DataFrame:
     weight = weight if all(len(t) for t in rare) else idf  # an item of common words only needs them
     rare = [t[weight[t] > 0] for t in in_terms]
     basis = _latent(docs, terms, weight, rare, total, rank)
-    used = np.flatnonzero(weight > 0)
     latent = (basis * weight[:, None]).astype(np.float32)
     queries = np.stack([np.bincount(t, minlength=len(terms)).astype(np.float32) @ latent for t in rare])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
@@ -218,10 +274,11 @@ def _search(docs: DataFrame, items: list, rank: int) -> DataFrame:
     for (i, w, answer), t in zip(pieces, in_terms):
         tail = w[-max(4, len(w) // 4) :] if answer is None else answer
         checks.append((i, w, idf[t], tail))
+    index = _Index(in_terms, idf)
     smallest = float(idf.min())
 
     def run(batches):
-        look = _Terms(terms[used])
+        look = _Terms(terms[index.terms])
         for batch in batches:
             data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
             out: list[tuple] = []
@@ -229,18 +286,13 @@ def _search(docs: DataFrame, items: list, rank: int) -> DataFrame:
                 words, bounds, base, block, term = _blocked(data, offsets, first, last, look)
                 if not len(block):
                     continue
-                start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                sums = np.zeros((base[-1] + 1, latent.shape[1]), np.float32)
-                sums[block[start]] = np.add.reduceat(latent[used[term]], start, axis=0)
+                block, term, _ = _sparse(block, term, len(index.terms))
                 owner = np.repeat(np.arange(last - first), np.diff(base))
                 second = np.zeros(len(owner), bool)
                 second[:-1] = owner[1:] == owner[:-1]
                 alone = np.diff(base)[owner] == 1
                 rows = np.flatnonzero(second | alone)
-                passages = sums[rows] + np.where(second[rows, None], sums[rows + 1], 0)
-                norm = np.linalg.norm(passages, axis=1)
-                near = (passages @ queries.T) >= (COSINE * np.maximum(norm, 1e-9))[:, None]
-                for r, q in zip(*np.nonzero(near)):
+                for r, q in index.near(block, term, rows, second[rows]):
                     d = owner[rows[r]]
                     a = bounds[d] + (rows[r] - base[d]) * BLOCK
                     passage = words[a : min(a + 2 * BLOCK, bounds[d + 1])]
@@ -252,7 +304,9 @@ def _search(docs: DataFrame, items: list, rank: int) -> DataFrame:
                     if share >= PARAPHRASE:
                         said = weighted_lcs(answer, np.ones(len(answer)), passage) / max(1, len(answer))
                         if share >= NEAR or said >= ANSWER:
-                            out.append((first + int(d), i, float((passages[r] @ queries[q]) / max(norm[r], 1e-9)), share, said))
+                            place = np.minimum(np.searchsorted(terms, passage), len(terms) - 1)
+                            vector = latent[place[terms[place] == passage]].sum(axis=0)
+                            out.append((first + int(d), i, float(vector @ queries[q] / max(np.linalg.norm(vector), 1e-9)), share, said))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), *(pa.array([o[c] for o in out], kind) for c, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64())))], names=["doc_id", "item_id", "cosine", "overlap", "answer_overlap"])
 
     assert smallest > 0

@@ -1,0 +1,53 @@
+"""Cases in which less than the whole job once passed unnoticed."""
+
+import math
+import random
+from collections import Counter
+
+
+def leaked(docs, items, block=64):
+    """(doc, item) pairs by comparing every passage with every item; items are shorter than a block."""
+    split = {d: t.split() for d, t in docs}
+    blocks = [set(w[a : a + block]) for w in split.values() for a in range(0, len(w), block)]
+    df = Counter(word for b in blocks for word in b)
+    idf = lambda word: math.log((len(blocks) + 1) / (df[word] + 1)) + 0.05
+
+    def common(item, weight, passage):
+        best = [0.0] * (len(passage) + 1)
+        for word, w in zip(item, weight):
+            before = 0.0
+            for j, other in enumerate(passage, 1):
+                best[j], before = max(best[j], best[j - 1], before + w if word == other else 0.0), best[j]
+        return best[-1]
+
+    out = set()
+    for d, w in split.items():
+        for a in range(0, max(len(w) - block, 1), block):
+            passage = w[a : a + 2 * block]
+            for i, text in items:
+                item = text.split()
+                weight = [idf(x) for x in item]
+                share = common(item, weight, passage) / sum(weight)
+                tail = item[-max(4, len(item) // 4) :]
+                if share >= 0.75 or (share >= 0.55 and common(tail, [1.0] * len(tail), passage) >= 0.75 * len(tail)):
+                    out.add((d, i))
+    return out
+
+
+def test_short_items_in_passages_of_other_items(spark):
+    """A short item among words of other items has a small cosine with its passage, and is found all the same."""
+    from corvane.llm.decontaminate import contaminated
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(400)]
+    items = [(i, " ".join(rng.sample(vocabulary, rng.randint(12, 20)))) for i in range(60)]
+    docs = []
+    for d in range(60):
+        text = [rng.choice(vocabulary) for _ in range(rng.choice([40, 130, 300, 700]))]
+        for _, item in rng.sample(items, 2) if d % 3 else []:
+            at = rng.randrange(len(text))
+            text[at:at] = [w if rng.random() > 0.2 else rng.choice(vocabulary) for w in item.split()]
+        docs.append((d, " ".join(text)))
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = leaked(docs, items)
+    assert len(want) > 40 and {(r["doc_id"], r["item_id"]) for r in found} == want
