@@ -52,15 +52,30 @@ def load_tokenizer(path: str) -> str:
         return file.read()
 
 
+def _wide_space(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space beyond ASCII: U+0085, U+00A0, U+1680, U+180E, U+2000 to 200B, U+2028, U+2029, U+202F, U+205F, U+3000."""
+    out = np.zeros(len(raw), bool)
+    at = np.flatnonzero((raw >= 0xC2) & (raw <= 0xE3))
+    at = at[(raw[at] == 0xC2) | (raw[at] >= 0xE1)]
+    a, b, c = raw[at], raw[np.minimum(at + 1, len(raw) - 1)], raw[np.minimum(at + 2, len(raw) - 1)]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    three = (a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))
+    three |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8B) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    three |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    for j in range(3):
+        out[at[three if j == 2 else two | three] + j] = True
+    return out
+
+
 def _segments(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Offsets at which texts start or every byte-level pre-tokenizer of this kind cuts as well, ascending.
 
-    The latter are a single space between two characters that are no white space, and a full stop or
-    comma after an ASCII letter. Encoding the parts gives the same ids as encoding the whole.
+    The latter are a single space between two characters that are no white space (in Unicode's sense, as
+    the pre-tokenizer's is), and a full stop or comma after an ASCII letter. Encoding the parts gives the same ids as encoding the whole.
     """
     cut = np.zeros(len(raw) + 1, bool)
     if len(raw) > 2:
-        solid = raw > 0x20
+        solid = (raw > 0x20) & ~_wide_space(raw)
         cut[1:-2] = (raw[1:-1] == 0x20) & solid[:-2] & solid[2:]
         folded = raw[:-1] | 0x20
         cut[1:-1] |= ((raw[1:] == 0x2E) | (raw[1:] == 0x2C)) & (folded >= 0x61) & (folded <= 0x7A) & (raw[:-1] < 0x80)

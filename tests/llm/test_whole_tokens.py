@@ -1,0 +1,25 @@
+"""Token ids where less than the whole job once passed unnoticed."""
+
+import random
+
+
+def test_encoder_parts_are_exact_around_wide_spaces():
+    """A space beside white space of any script is no place to cut."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from corvane.llm.kernel import text_buffer
+    from corvane.llm.tokenstore import Encoder, load_tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    wide = "\u0085\u00a0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\u200b\ufeff\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    samples = ["\u0020\u00a0\u0020\u00a0", "price:\u00a0 \u00a0 \u00a0 \u00a010"]
+    alphabets = ("ab " + "\u00a0", "aé.,1" + wide + " " * 12, "a  " + wide)
+    samples += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for letters in alphabets for _ in range(4000)]
+    data, offsets = text_buffer(pa.array(samples))
+    ids, bounds = Encoder(load_tokenizer(path)).encode(data, offsets)
+    whole = Tokenizer.from_file(path)
+    wrong = [s for i, s in enumerate(samples) if ids[bounds[i] : bounds[i + 1]].tolist() != whole.encode(s, add_special_tokens=False).ids + [2]]
+    assert not wrong, wrong[:5]
