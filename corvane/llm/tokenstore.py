@@ -352,18 +352,25 @@ def read_ids(work: Workspace, wide: bool) -> DataFrame:
 
 
 def verify_manifests(work: Workspace) -> DataFrame:
-    """(shard, documents, ok): whether each shard's recipes hash to its manifest."""
+    """(shard, documents, ok): whether each shard's recipes hash, in number and roots, to its manifest."""
     listed = _index(work, "recipe").groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "key"))), lambda x: x["key"]).alias("roots"))
 
     def run(batches):
         for batch in batches:
-            ok = [merkle_root(r) == m for r, m in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            ok = [r is not None and m is not None and merkle_root(r) == m for r, m in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ok)], names=["shard", "documents", "ok"])
 
     manifests = _index(work, "manifest").select("shard", F.col("row").alias("documents"), F.col("key").alias("root"))
     return listed.join(manifests, "shard", "full").mapInArrow(run, "shard long, documents long, ok boolean")
 
 
+def check_manifests(work: Workspace) -> None:
+    """Fail if a shard's recipes are not those of its manifest."""
+    bad = [r["shard"] for r in verify_manifests(work).where(~F.col("ok")).limit(10).collect()]
+    if bad:
+        raise ValueError(f"shards {bad} do not match their manifests")
+
+
 def token_output(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id: str = "doc_id", label: str = "tokens") -> DataFrame:
     """Write docs to a new store and return, from its files, doc_id, start, n_tokens, ids_crc32."""
     if tokenizer is None:
@@ -372,6 +379,7 @@ def token_output(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     work = Workspace(docs.sparkSession, label)
     write_store(docs, tokenizer, work, text, id)
+    check_manifests(work)
     found = work.write(read_documents(work, Encoder(load_tokenizer(tokenizer)).wide), "found")
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     shards = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shard_at"))

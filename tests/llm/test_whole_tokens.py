@@ -23,3 +23,25 @@ def test_encoder_parts_are_exact_around_wide_spaces():
     whole = Tokenizer.from_file(path)
     wrong = [s for i, s in enumerate(samples) if ids[bounds[i] : bounds[i + 1]].tolist() != whole.encode(s, add_special_tokens=False).ids + [2]]
     assert not wrong, wrong[:5]
+
+
+def test_lost_recipe_is_noticed(spark):
+    """Reading fails where a shard's recipes are not those of its manifest."""
+    import public_tokenizers
+    import pytest
+
+    from corvane.llm.tokenstore import check_manifests, token_output, write_store
+    from corvane.runtime import Workspace
+
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id long, text string")
+    assert token_output(docs).count() == 20
+    for name, change in (("lost", lambda r: r.where("doc_id != 7")), ("doubled", lambda r: r.unionByName(r.where("doc_id = 7"))), ("none", lambda r: r.limit(0))):
+        work = Workspace(spark, f"manifest-{name}")
+        write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), work)
+        check_manifests(work)
+        rows = spark.read.parquet(work.path("index"))
+        work.write(change(rows.where("kind = 'recipe'")).unionByName(rows.where("kind = 'manifest'")), "changed")
+        work.drop("index")
+        work.read("changed").write.partitionBy("kind").parquet(work.path("index"))
+        with pytest.raises(ValueError):
+            check_manifests(work)
