@@ -3,20 +3,23 @@
 Equal vectors are one class with a multiplicity. Spherical k-means is fitted on at most ``SAMPLE``
 classes (those with the smallest hash of their id); centroids closer than ``SPREAD`` to an earlier one are
 dropped, so a large group of near copies is one cell, not many. Every class belongs to the cell of its
-nearest centroid and visits the ``PROBES`` - 1 next ones. Within a cell, members meet members and
-visitors in blocks of at most ``BLOCK`` rows a side: one matrix product in double precision a block pair.
-A pair that meets in two cells counts in one of them. A block pair gives sums of links by vector and
-one edge a vector to the smallest of its group, never the pairs. A component keeps its smallest vector.
+nearest centroid and visits all cells before it whose members can lie within the angle of a link. Within
+a cell, members meet members and visitors in blocks of about ``BLOCK`` rows a side, by matrix products of
+``TILE`` rows a side in double precision. A pair meets in the earlier of its two cells only. A block pair
+gives sums of links by vector and one edge a vector to the smallest of its group, never the pairs. A
+component keeps its smallest vector.
 
-A link is lost only if neither end visits the cell of the other; the tests hold the recall against brute
-force (at least 0.99 there).
+No link is lost, at any size: members of a cell lie on its side of the plane halfway between its centroid
+and that of any other cell, so a vector further than the angle from that plane links with none of them.
 
 Cases: vectors that are null, empty, all zero or hold null or non-finite components link with nothing;
 vectors of different lengths don't link; repeated rows are equal vectors; null ids link, but name no
 component unless alone. Other columns play no part.
 
 Scale: cells hold about ``CELL`` classes up to ``MOST_CELLS`` cells; beyond that cells grow and are split
-into more block pairs. Centroids (MOST_CELLS x length) are the only thing sent to all tasks.
+into more block pairs. Centroids (MOST_CELLS x length) are the only thing sent to all tasks. Vectors in
+groups visit few cells. Those without any (in many dimensions no plane is far from them) visit most, so
+that their work grows with the square of their number: an exact answer has no less to compare here.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ from corvane.runtime import Workspace, arrow_rows, ship_package, table
 
 COSINE = 0.9
 SAMPLE = 16384
-CELL = 256
+CELL = 4096
 MOST_CELLS = 4096
-PROBES = 12
 SPREAD = 0.8
-BLOCK = 2048
+BLOCK = 16384
+TILE = 2048
 ROUNDS = 12
 
 
@@ -87,8 +90,9 @@ def _apart(centre: np.ndarray) -> np.ndarray:
     return centre[~gone]
 
 
-def _assigned(classes: DataFrame, centres: dict[int, np.ndarray], probes: int) -> DataFrame:
-    """(length, cell, rep, weight, home, visits array<int>, packed): every class in its cell and in those it visits."""
+def _assigned(classes: DataFrame, centres: dict[int, np.ndarray], cosine: float) -> DataFrame:
+    """(length, cell, rep, weight, home, packed): every class in its cell and in those before it that may hold links."""
+    reach = np.sqrt(1 - cosine * cosine) + 1e-9 if cosine > 0 else 2.0  # how far beyond a plane a link goes; 2: anywhere
 
     def run(batches):
         for batch in batches:
@@ -96,14 +100,16 @@ def _assigned(classes: DataFrame, centres: dict[int, np.ndarray], probes: int) -
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
                 x = _matrix(batch.column(3).take(pa.array(at)), length)
-                near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres[int(length)].T
-                p = min(probes, near.shape[1])
-                cells = np.argsort(-near, axis=1, kind="stable")[:, :p].astype(np.int32)
-                take = pa.array(np.repeat(at, p))
-                visits = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size * p + 1, p, dtype=np.int32)), pa.array(np.repeat(cells, p, axis=0).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(cells.size, length, np.int32)), pa.array(cells.ravel()), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(cells[:, 0], p)), visits, batch.column(3).take(take)], names=["length", "cell", "rep", "weight", "home", "visits", "packed"])
+                centre = centres[int(length)]
+                near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centre.T
+                home = np.argmax(near, axis=1)
+                gap = np.sqrt(np.maximum(2 - 2 * (centre[home] @ centre.T), 0.0))
+                cell = np.arange(len(centre))
+                row, cell = np.nonzero((cell == home[:, None]) | ((cell < home[:, None]) & (near[np.arange(len(at)), home][:, None] - near <= reach * gap + 1e-9)))
+                take = pa.array(at[row])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), length, np.int32)), pa.array(cell.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(home[row].astype(np.int32)), batch.column(3).take(take)], names=["length", "cell", "rep", "weight", "home", "packed"])
 
-    return classes.select("rep", "weight", "length", "packed").mapInArrow(run, "length int, cell int, rep long, weight long, home int, visits array<int>, packed binary")
+    return classes.select("rep", "weight", "length", "packed").mapInArrow(run, "length int, cell int, rep long, weight long, home int, packed binary")
 
 
 def _blocks(assigned: DataFrame, block: int) -> DataFrame:
@@ -118,7 +124,7 @@ def _blocks(assigned: DataFrame, block: int) -> DataFrame:
     one = (F.col("nl") == 1) & (F.col("nr") == 1)
     lefts = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda r: F.struct(here("nl").alias("l"), r.alias("r"), F.when(one & inside, 3).otherwise(1).alias("side")))
     rights = F.when(inside & ~one, F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda left: F.struct(left.alias("l"), here("nr").alias("r"), F.lit(2).alias("side"))))
-    return dealt.select("length", "cell", "rep", "weight", "home", "visits", "packed", F.explode(F.concat(lefts, F.coalesce(rights, F.array().cast("array<struct<l:int,r:int,side:int>>")))).alias("b")).select("length", "cell", "b.l", "b.r", "b.side", "rep", "weight", "home", "visits", "packed")
+    return dealt.select("length", "cell", "rep", "weight", "home", "packed", F.explode(F.concat(lefts, F.coalesce(rights, F.array().cast("array<struct<l:int,r:int,side:int>>")))).alias("b")).select("length", "cell", "b.l", "b.r", "b.side", "rep", "weight", "home", "packed")
 
 
 def _compare(dealt: DataFrame, cosine: float) -> DataFrame:
@@ -130,30 +136,24 @@ def _compare(dealt: DataFrame, cosine: float) -> DataFrame:
         cell, length = t.column("cell")[0].as_py(), t.column("length")[0].as_py()
         x = np.frombuffer(b"".join(t.column("packed").to_pylist()), dtype="<f8").reshape(-1, length)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        visits = t.column("visits").combine_chunks()
-        visits = visits.flatten().to_numpy().reshape(len(rep), -1)
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        a, b = np.nonzero(x[left] @ x[right].T >= cosine)
-        a, b = left[a], right[b]
-        ok = a != b
-        a, b = a[ok], b[ok]
-        member = home[a] == cell
-        same = member & (rep[a] == rep[b])
-        both = (~member & (cell < home[a])) | (~member & ~(visits[b] == home[a][:, None]).any(axis=1))
-        keep = (member | both) & ~same
-        a, b, member = a[keep], b[keep], member[keep]
-        links += np.bincount(a, weights=weight[b], minlength=len(rep)).astype(np.int64)
-        links += np.bincount(b[~member], weights=weight[a[~member]], minlength=len(rep)).astype(np.int64)
-        while len(a):
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if (new == root).all() and (root[a] == root[b]).all():
-                break
-            root = new
+        for i in range(0, len(left), TILE):
+            for j in range(0, len(right), TILE):
+                a, b = np.nonzero(x[left[i : i + TILE]] @ x[right[j : j + TILE]].T >= cosine)
+                a, b = left[i : i + TILE][a], right[j : j + TILE][b]
+                member = home[a] == cell
+                keep = ~(member & (rep[a] == rep[b]))
+                a, b, member = a[keep], b[keep], member[keep]
+                links += np.bincount(a, weights=weight[b], minlength=len(rep)).astype(np.int64)
+                links += np.bincount(b[~member], weights=weight[a[~member]], minlength=len(rep)).astype(np.int64)
+                while (root[a] != root[b]).any():
+                    ra, rb = root[a], root[b]
+                    low = np.minimum(ra, rb)
+                    np.minimum.at(root, ra, low)
+                    np.minimum.at(root, rb, low)
+                    while (root[root] != root).any():
+                        root = root[root]
         some = np.flatnonzero((links > 0) | (root != np.arange(len(rep))))
         least = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(least, root, rep)
@@ -162,7 +162,7 @@ def _compare(dealt: DataFrame, cosine: float) -> DataFrame:
     return dealt.groupBy("length", "cell", "l", "r").applyInArrow(run, "rep long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, probes: int = PROBES, block: int = BLOCK, label: str = "vectordup") -> DataFrame:
+def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK, label: str = "vectordup") -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ship_package(spark)
@@ -175,8 +175,8 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     for row in classes.groupBy("length").count().collect():
         picked = classes.where(F.col("length") == row["length"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("packed").collect()
         sample = np.stack([np.frombuffer(r["packed"], dtype="<f8") for r in picked])
-        centres[row["length"]] = fit_cells(sample, int(min(MOST_CELLS, max(16, row["count"] // CELL), max(1, len(sample) // 4))))
-    found = work.write(_compare(_blocks(_assigned(classes, centres, probes), block), cosine), "found")
+        centres[row["length"]] = fit_cells(sample, int(min(MOST_CELLS, max(4, row["count"] // CELL), max(1, len(sample) // 4))))
+    found = work.write(_compare(_blocks(_assigned(classes, centres, cosine), block), cosine), "found")
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), work)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     rows = packed.join(classes.select("packed", "rep", "weight"), "packed", "left").join(links, "rep", "left").join(components, F.col("rep") == F.col("id"), "left")

@@ -51,44 +51,3 @@ def test_short_items_in_passages_of_other_items(spark):
     found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = leaked(docs, items)
     assert len(want) > 40 and {(r["doc_id"], r["item_id"]) for r in found} == want
-
-
-def test_encoder_parts_are_exact_around_wide_spaces():
-    """A space beside white space of any script is no place to cut."""
-    import public_tokenizers
-    import pyarrow as pa
-    from tokenizers import Tokenizer
-
-    from corvane.llm.kernel import text_buffer
-    from corvane.llm.tokenstore import Encoder, load_tokenizer
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    rng = random.Random(5)
-    wide = "\u0085  ᠎    　​﻿" + "".join(map(chr, range(0x2000, 0x200B)))
-    samples = ["    ", "price:       10"]
-    samples += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for letters in ("ab  ", "aé’ .,1\n" + wide + " " * 12, "a  " + wide) for _ in range(4000)]
-    data, offsets = text_buffer(pa.array(samples))
-    ids, bounds = Encoder(load_tokenizer(path)).encode(data, offsets)
-    whole = Tokenizer.from_file(path)
-    wrong = [s for i, s in enumerate(samples) if ids[bounds[i] : bounds[i + 1]].tolist() != whole.encode(s, add_special_tokens=False).ids + [2]]
-    assert not wrong, wrong[:5]
-
-
-def test_links_across_many_cells(spark, monkeypatch):
-    """No link is lost among vectors without groups, whatever the number of cells."""
-    import numpy as np
-
-    from corvane.llm import vectordup
-
-    monkeypatch.setattr(vectordup, "CELL", 4)
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(1500, 64))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    side = rng.normal(size=base.shape)
-    side -= (side * base).sum(axis=1, keepdims=True) * base
-    side /= np.linalg.norm(side, axis=1, keepdims=True)
-    x = np.concatenate([base, 0.905 * base + np.sqrt(1 - 0.905**2) * side])
-    near = x @ x.T >= 0.9
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r["n_links"] for r in vectordup.near_vectors(frame).collect()}
-    assert got == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}

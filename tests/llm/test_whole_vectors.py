@@ -1,0 +1,22 @@
+"""Links that once were lost."""
+
+
+def test_links_across_many_cells(spark, monkeypatch):
+    """No link is lost among vectors without groups, with 600 cells and whatever their centroids."""
+    import numpy as np
+
+    from corvane.llm import vectordup
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(600, 64))
+    monkeypatch.setattr(vectordup, "fit_cells", lambda sample, k: centres / np.linalg.norm(centres, axis=1, keepdims=True))
+    base = rng.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.905 * base + np.sqrt(1 - 0.905**2) * side])
+    near = x @ x.T >= 0.9
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectordup.near_vectors(frame).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
