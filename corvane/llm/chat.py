@@ -10,7 +10,8 @@ circle, or after an unknown one, get no level. Arguments are checked against JSO
 required, properties, enum, items, additionalProperties). Everything is written as canonical JSON: sorted keys, no white
 space, no escapes that aren't needed.
 
-Cases: null text counts as empty, a null role as "user"; JSON that can't be read is plain text; a
+Cases: null text counts as empty, a null role as "user"; JSON that can't be read is plain text; text
+beside calls, and bodies not read in full or with repeated identifiers, stay verbatim as content; a
 repeated identifier counts once, its first call; results without a call, and calls without a result, are
 marked. Null conversations and turns keep their rows. Other columns play no part.
 
@@ -58,36 +59,51 @@ def schema_errors(value, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
-def _objects(text: str) -> list[dict]:
-    """Call objects of an assistant's text."""
-    bodies = [p.split("</tool_call>")[0] for p in text.split("<tool_call>")[1:]] if "<tool_call>" in text else [text] if text.lstrip().startswith("{") else []
-    out = []
-    for body in bodies:
+def _objects(text: str) -> tuple[list[dict], list[dict]]:
+    """Call objects of an assistant's text, and its pieces: verbatim text, and the calls that say all of it (none: it stays content)."""
+    parts = [(text, text if text.lstrip().startswith("{") else None)]
+    if "<tool_call>" in text:
+        head, *rest = text.split("<tool_call>")
+        parts = [(head, None)]
+        for piece in rest:
+            body, end, after = piece.partition("</tool_call>")
+            parts += [("<tool_call>" + body + end, body), (after, None)]
+    out, pieces, seen = [], [], set()
+    for verbatim, body in parts:
         try:
-            value = json.loads(body)
+            value = json.loads(body) if body is not None else None
         except (ValueError, RecursionError):
-            continue
-        for call in value.get("tool_calls", [value]) if isinstance(value, dict) else []:
-            if isinstance(call, dict) and isinstance(call.get("id"), str) and isinstance(call.get("name"), str):
-                out.append(call)
-    return out
+            value = None
+        listed = value.get("tool_calls", [value]) if isinstance(value, dict) else []
+        listed = listed if isinstance(listed, list) else []
+        good = [c for c in listed if isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str)]
+        ids = {c["id"] for c in good}
+        pieces.append({"text": verbatim, "ids": sorted(ids) if len(ids) == len(listed) and not ids & seen else []})
+        if isinstance(value, dict) and "tool_calls" in value and isinstance(value.get("content"), str) and pieces[-1]["ids"]:
+            pieces.append({"text": value["content"], "ids": []})
+        seen |= ids
+        out += good
+    return out, pieces
 
 
 def parse_messages(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """(conv_id, turn, role, content, calls array<struct<id,name,arguments,errors,after>>, result_of)."""
+    """(conv_id, turn, role, content, calls array<struct<id,name,arguments,errors,after>>, result_of, pieces array<struct<text,ids>>)."""
     ship_package(messages.sparkSession)
     arrow_rows(messages.sparkSession)
     known = schemas or {}
     call = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("errors", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
 
+    piece = pa.struct([("text", pa.string()), ("ids", pa.list_(pa.string()))])
+
     def run(batches):
         for batch in batches:
-            roles, contents, calls, results = [], [], [], []
+            roles, contents, calls, results, split = [], [], [], [], []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 role, text = role or "user", text or ""
-                found, result_of = [], None
+                found, result_of, pieces = [], None, []
                 if role == "assistant":
-                    for c in _objects(text):
+                    objects, pieces = _objects(text)
+                    for c in objects:
                         arguments = c.get("arguments", {})
                         if isinstance(arguments, str):
                             try:
@@ -113,10 +129,11 @@ def parse_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
                 contents.append(text)
                 calls.append(found)
                 results.append(result_of)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(contents, pa.string()), pa.array(calls, pa.list_(call)), pa.array(results, pa.string())], names=["conv_id", "turn", "role", "content", "calls", "result_of"])
+                split.append(pieces if found else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(contents, pa.string()), pa.array(calls, pa.list_(call)), pa.array(results, pa.string()), pa.array(split, pa.list_(piece))], names=["conv_id", "turn", "role", "content", "calls", "result_of", "pieces"])
 
     picked = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").alias("text"))
-    return picked.mapInArrow(run, "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,errors:array<string>,after:array<string>>>, result_of string")
+    return picked.mapInArrow(run, "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,errors:array<string>,after:array<string>>>, result_of string, pieces array<struct<text:string,ids:array<string>>>")
 
 
 def call_table(parsed: DataFrame, work: Workspace) -> DataFrame:
@@ -156,7 +173,9 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, lab
     parents = calls.select("conv_id", F.col("call_id").alias("result_of"), F.col("level").alias("parent_level"), F.lit(True).alias("has_call"))
     whole = parsed.join(by_turn, ["conv_id", "turn"], "left").join(parents, ["conv_id", "result_of"], "left")
     has = (F.col("role") == "assistant") & F.col("own").isNotNull()
-    body = F.concat(F.lit('{"content":'), quoted(F.when(has, F.lit("")).otherwise(F.col("content"))), F.lit(',"role":'), quoted(F.col("role")))
+    said = lambda p: (F.size(p["ids"]) > 0) & (F.size(F.array_except(p["ids"], F.transform("own", lambda x: x["call_id"]))) == 0)
+    beside = F.array_join(F.transform(F.filter("pieces", lambda p: ~said(p)), lambda p: p["text"]), "")
+    body = F.concat(F.lit('{"content":'), quoted(F.when(has, beside).otherwise(F.col("content"))), F.lit(',"role":'), quoted(F.col("role")))
     tail = F.when(has, F.concat(F.lit(',"tool_calls":'), own_calls, F.lit("}"))).when(F.col("result_of").isNotNull(), F.concat(F.lit(',"tool_call_id":'), quoted(F.col("result_of")), F.lit("}"))).otherwise(F.lit("}"))
     count = lambda test: F.when(has, F.size(F.filter("own", test))).otherwise(0).cast("long")
     return whole.select(

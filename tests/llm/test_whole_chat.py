@@ -1,0 +1,14 @@
+"""Chat texts that once were thrown away."""
+
+import json
+
+
+def test_text_beside_calls_is_kept(spark):
+    from corvane.llm.chat import format_chat
+
+    call = lambda i: "<tool_call>" + json.dumps({"id": i, "name": "find"}) + "</tool_call>"
+    rows = [(1, 0, "assistant", f"Let me look. {call('a')} and <tool_call>{{broken</tool_call>{call('a')} end"), (1, 1, "assistant", f"{call('a')}{call('b')}"), (2, 0, "assistant", call("a"))]
+    got = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    content = {(r["conv_id"], r["turn"]): json.loads(r["message"])["content"] for r in got}
+    assert content == {(1, 0): f"Let me look.  and <tool_call>{{broken</tool_call>{call('a')} end", (1, 1): call("a"), (2, 0): ""}
+    assert all(r["n_calls"] == 1 for r in got)
