@@ -21,7 +21,9 @@ Cases: null text counts as empty; texts under SPAN bytes keep all; a null id is
 and two equal ids don't remove each other's bytes; repeated rows with different ids keep the smallest.
 
 Scale: a hash, or a context, leaves a block once however many of its documents hold it, so a passage that
-a third of all documents share brings a bucket one row a block. Nothing is capped or dropped.
+a third of all documents share brings a bucket one row a block. Blocks and buckets both grow with the
+root of the data (within the bounds below), so their (block, bucket) rows grow in proportion to it: 256 to
+16384 hashes each up to 8 TB. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -42,8 +44,9 @@ from corvane.runtime import Workspace, ship_package, table
 SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM  # a window starts at most so many bytes before its anchor
-BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20, 16 << 20  # of a block, at least and at most
+BUCKET_BLOCKS = 4  # bytes of text whose anchors a bucket holds, in blocks
+UNIT_BYTES = 1 << 29  # up to here blocks are smallest
 PIECE_BYTES = 1 << 17
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NULL_ID = np.iinfo(np.int64).max
@@ -58,7 +61,7 @@ def _unpack(raw: bytes, dtype) -> np.ndarray:
 
 
 @contextmanager
-def _few_rows(spark, rows: int = 4):
+def _few_rows(spark, rows: int):
     """Arrow batches of a few rows: each row here is a block of texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -112,7 +115,12 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, mix(h[found] ^ np.uint64(0x9E3779B97F4A7C15))  # smallest hashes are small: spread them anew
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def block_bytes(size: int) -> int:
+    """Bytes of a block: as the root of the size of all texts, within BLOCK_BYTES."""
+    return int(min(max(BLOCK_BYTES[0] * (size / UNIT_BYTES) ** 0.5, BLOCK_BYTES[0]), BLOCK_BYTES[1]))
+
+
+def _blocks(docs: DataFrame, limit: int) -> DataFrame:
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
@@ -132,14 +140,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
             data, offsets = text_buffer(batch.column(1))
             first = 0
             while first < len(own_ids):
-                last = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES - held, side="right")) - 1
+                last = int(np.searchsorted(offsets, offsets[first] + limit - held, side="right")) - 1
                 last = min(max(last, first + 1), len(own_ids))
                 ids.append(own_ids[first:last])
                 lengths.append(np.diff(offsets[first : last + 1]))
                 bodies.append(data[offsets[first] : offsets[last]].copy())
                 held += int(offsets[last] - offsets[first])
                 first = last
-                if held >= BLOCK_BYTES * 0.9:
+                if held >= limit * 0.9:
                     yield block()
                     ids, lengths, bodies, held = [], [], [], 0
         if ids:
@@ -203,14 +211,22 @@ def _deal_hashes(blocks: DataFrame, bits: int) -> DataFrame:
     return blocks.mapInArrow(run, "bucket long, block long, hashes binary, several binary")
 
 
+def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    """Which values are in an ascending set."""
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
 def _answer_hashes(t: pa.Table) -> pa.Table:
     """For each block of a bucket, the bits of its hashes that several documents share."""
     lists = [np.cumsum(_unpack(x, np.uint32), dtype=np.uint32) for x in t.column("hashes").to_pylist()]
     several = [np.unpackbits(_unpack(x, np.uint8))[: len(h)].astype(bool) for x, h in zip(t.column("several").to_pylist(), lists)]
-    everything = np.sort(np.concatenate([np.unique(x) for x in lists]))
+    once = [h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h for h in lists]  # a list ascends; 32 bits may repeat
+    everything = np.sort(np.concatenate(once))
     twice = everything[1:][everything[1:] == everything[:-1]]
     shared = np.unique(np.concatenate([twice, *(h[s] for h, s in zip(lists, several))]))
-    bits = [_pack(np.packbits(np.isin(h, shared))) for h in lists]
+    bits = [_pack(np.packbits(_among(h, shared))) for h in lists]
     return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array(bits, pa.binary())})
 
 
@@ -468,11 +484,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", with
     ship_package(spark)
     work = Workspace(spark, label)
     picked = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = picked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    limit = block_bytes(size)
     with _few_rows(spark, 500):
-        blocks = work.write(_blocks(picked), "blocks", compression="none")
-    size = blocks.agg(F.sum("bytes")).first()[0] or 0
-    bits = max(0, int(size // BUCKET_BYTES).bit_length())
-    with _few_rows(spark):
+        blocks = work.write(_blocks(picked, limit), "blocks", compression="none")
+    bits = max(0, int(size // (BUCKET_BLOCKS * limit)).bit_length())
+    with _few_rows(spark, max(1, 4 * BLOCK_BYTES[0] // limit)):
         hashes = _deal_hashes(blocks, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answer_hashes, "block long, bucket long, answer binary")
         shared = work.write(hashes.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("shared")), "shared")
         told = blocks.join(shared, "block", "left")
