@@ -23,6 +23,7 @@ task sends a chunk once; recipes, a few hundredths of the ids, are sorted by ran
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from itertools import chain
 
@@ -39,8 +40,9 @@ END_ID = 2
 CUT_WINDOW = 16
 CUT_MASK = np.uint64(1023)  # a cut every 1024 ids in the mean
 LEAST, MOST = 128, 4096
-CACHE = 2_000_000
-ENCODE_BYTES = 2 << 20
+PLACES = 1 << 20  # of parts remembered, twice
+MOST_IDS = 1 << 23  # of parts remembered
+ENCODE_BYTES = 1 << 19
 _ID_VALUE = mix(np.arange(1, 1 << 17, dtype=np.uint64))
 
 _state: dict = {}
@@ -95,8 +97,21 @@ def _part_hashes(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix((total[cuts[1:]] - total[cuts[:-1]]) * inverse[cuts[:-1]] + size), head * np.uint64(0x9E3779B97F4A7C15) + size
 
 
+def _cuts_alike(spec: str) -> bool:
+    """Whether a tokenizer's file describes one for which parts between _segments' cuts encode like the whole."""
+    said = json.loads(spec)
+    pre = said.get("pre_tokenizer") or {}
+    added = said.get("added_tokens") or []
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer")
+    return bool(plain) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or set(" ,.") & set(t["content"]) for t in added)
+
+
 class Encoder:
-    """Whole texts to ids; parts that recur are encoded once and remembered, by 64 bits of hash, first bytes and length (a bounded cache)."""
+    """Whole texts to ids; parts that recur are encoded once and remembered.
+
+    A part is known by 64 bits of hash, its first bytes and its length. The memory is a table of two places
+    a part, in which a new one takes the place of an old one, so its size is fixed.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -104,40 +119,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # every part comes once, so the library's own cache is in the way
-        self.whole = any(t in spec for t in ('"lstrip": true', '"rstrip": true', '"normalizer": {'))
+        self.whole = not _cuts_alike(spec)
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # ascending by key
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.key, self.check = np.zeros((2, PLACES), np.uint64), np.zeros((2, PLACES), np.uint64)  # key 0: free
+        self.start, self.size = np.zeros((2, PLACES), np.int32), np.zeros((2, PLACES), np.int32)
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode texts; where their ids start in self.ids, and how many they are."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(size.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, total), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        start = (self.used + np.cumsum(size) - size).astype(np.int32)
+        self.used += total
+        return start, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the bounds of the texts."""
         cuts = np.unique(offsets) if self.whole else _segments(data, offsets)
-        key, check = _part_hashes(data, cuts)
-        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.key) > CACHE:
+        if self.used > MOST_IDS:
             self.forget()
-        at = np.minimum(np.searchsorted(self.key, distinct), max(len(self.key) - 1, 0))
-        new = np.flatnonzero(self.key[at] != distinct) if len(self.key) else np.arange(len(distinct))
+        key, check = _part_hashes(data, cuts)
+        key |= np.uint64(1)
+        one, two = (key >> np.uint64(1)).astype(np.int64) & (PLACES - 1), (key >> np.uint64(32)).astype(np.int64) & (PLACES - 1)
+        start, size = self.start[0][one], self.size[0][one]
+        rest = np.flatnonzero((self.key[0][one] != key) | (self.check[0][one] != check))
+        there = two[rest]
+        start[rest], size[rest] = self.start[1][there], self.size[1][there]
+        new = rest[(self.key[1][there] != key[rest]) | (self.check[1][there] != check[rest])]
         if len(new):
-            raw, lo, hi = data.tobytes(), cuts[first[new]].tolist(), cuts[first[new] + 1].tolist()
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(lo, hi)], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            start = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-            where = np.searchsorted(self.key, distinct[new])
-            self.check, self.start, self.size = (np.insert(a, where, b) for a, b in ((self.check, check[first[new]]), (self.start, start), (self.size, size)))
-            self.key = np.insert(self.key, where, distinct[new])
-            at = np.searchsorted(self.key, distinct)
-        place = at[which.ravel()] if len(cuts) > 1 else np.zeros(0, np.int64)
-        if (self.check[place] != check).any():  # two parts share 64 bits: never seen, and not trusted
-            raise ValueError("two parts of texts have the same hash")
-        size = self.size[place]
+            new = new[np.lexsort((check[new], key[new]))]
+            head = np.concatenate([[True], (key[new][1:] != key[new][:-1]) | (check[new][1:] != check[new][:-1])])
+            first = new[head]
+            raw = data.tobytes()
+            at, n = self._learn([raw[a:b].decode("utf-8") for a, b in zip(cuts[first].tolist(), cuts[first + 1].tolist())])
+            which = np.cumsum(head) - 1
+            start[new], size[new] = at[which], n[which]
+            free = self.key[0][one[first]] == 0
+            for way, pick, place in ((0, free, one), (1, ~free, two)):
+                slot = place[first[pick]]
+                self.key[way][slot], self.check[way][slot], self.start[way][slot], self.size[way][slot] = key[first[pick]], check[first[pick]], at[pick], n[pick]
         upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.start[place] - upto[:-1], size) + np.arange(upto[-1])]
+        flat = self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
         before = upto[np.searchsorted(cuts, offsets)]
         return np.insert(flat, before[1:], END_ID), before + np.arange(len(before))
 
@@ -249,6 +278,7 @@ def write_store(docs: DataFrame, tokenizer: str, work: Workspace, text: str = "t
 
     ranged = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "key")
     ranged.mapInArrow(shards, "kind string, shard long, row long, doc_id long, n long, key binary, payload binary").write.mode("overwrite").partitionBy("kind").parquet(work.path("index"))
+    work.drop("objects/kind=recipe")  # they are in the index now
 
 
 def _index(work: Workspace, kind: str) -> DataFrame:
