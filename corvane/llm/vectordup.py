@@ -13,8 +13,9 @@ No link is lost, at any size: members of a cell lie on its side of the plane hal
 and that of any other cell, so a vector further than the angle from that plane links with none of them.
 
 Cases: vectors that are null, empty, all zero or hold null or non-finite components link with nothing;
-vectors of different lengths don't link; repeated rows are equal vectors; null ids link, but name no
-component unless alone. Other columns play no part.
+vectors of different lengths don't link; repeated rows are equal vectors. Null ids link like others but
+name no component: it has its smallest id that isn't null, and only a component of null ids alone has
+null, where all rows are kept. Classes are numbered apart from ids. Other columns play no part.
 
 Scale: cells hold about ``CELL`` classes up to ``MOST_CELLS`` cells; beyond that cells grow and are split
 into more block pairs. Centroids (MOST_CELLS x length) are the only thing sent to all tasks. Vectors in
@@ -24,8 +25,11 @@ that their work grows with the square of their number: an exact answer has no le
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,20 +50,28 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, length)
 
 
+def pack_vectors(column: pa.Array) -> pa.Array:
+    """Lists of numbers as bytes of doubles; null for those that link with nothing."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.fill_null(pc.list_flatten(column).cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    within = lambda test: np.diff(np.concatenate([[0], np.cumsum(test)])[bounds])
+    good = (within(np.isfinite(values)) == sizes) & (within(values != 0) > 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = np.add.reduceat(np.append(values * values, 0.0), bounds[:-1]) if len(sizes) else np.zeros(0)
+    for i in np.flatnonzero(good & ((squares == np.inf) | (squares < 1e-280))).tolist():  # squares leave the range of doubles
+        own = values[bounds[i] : bounds[i + 1]]
+        own /= np.abs(own).max()
+    packed = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds * 8), pa.py_buffer(np.ascontiguousarray(values, "<f8"))])
+    return pc.if_else(pa.array(good), packed, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
 def _packed(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
-    """(vec_id, packed binary of doubles or null): null for vectors that link with nothing."""
+    """(vec_id, packed binary of doubles or null)."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                a = np.array(v, dtype="<f8") if v is not None and None not in v else np.zeros(0)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    norm = float(np.sqrt((a * a).sum())) if len(a) else 0.0
-                if norm == np.inf or 0.0 < norm < 1e-140:  # squares leave the range of doubles
-                    a = a / np.abs(a).max() if np.isfinite(a).all() else a
-                out.append((a + 0.0).tobytes() if np.isfinite(a).all() and a.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pack_vectors(batch.column(1))], names=["vec_id", "packed"])
 
     return vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).mapInArrow(run, "vec_id long, packed binary")
 
@@ -170,18 +182,22 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     work = Workspace(spark, label)
     packed = work.write(_packed(vectors, id, embedding), "packed")
     grouped = packed.where(F.col("packed").isNotNull()).groupBy("packed").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"))
-    classes = work.write(grouped.select(F.coalesce("low", -F.abs(F.xxhash64("packed")) - 1).alias("rep"), "weight", F.floor(F.octet_length("packed") / 8).cast("int").alias("length"), "packed"), "classes")
+    length = F.floor(F.octet_length("packed") / 8).cast("int").alias("length")
+    classes = work.write(grouped.select(F.monotonically_increasing_id().alias("rep"), "low", "weight", length, "packed"), "classes")  # written once, so numbers stay
     centres: dict[int, np.ndarray] = {}
     for row in classes.groupBy("length").count().collect():
-        picked = classes.where(F.col("length") == row["length"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("packed").collect()
+        picked = classes.where(F.col("length") == row["length"]).orderBy(F.xxhash64("packed"), "packed").limit(SAMPLE).select("packed").collect()
         sample = np.stack([np.frombuffer(r["packed"], dtype="<f8") for r in picked])
         centres[row["length"]] = fit_cells(sample, int(min(MOST_CELLS, max(4, row["count"] // CELL), max(1, len(sample) // 4))))
     found = work.write(_compare(_blocks(_assigned(classes, centres, cosine), block), cosine), "found")
-    components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), work)
+    components = work.write(connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), work), "of")
+    numbered = components.join(classes.select("rep", "low"), F.col("id") == F.col("rep"))
+    named = components.join(numbered.groupBy("component").agg(F.min("low").alias("name")), "component").select("id", "name")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    rows = packed.join(classes.select("packed", "rep", "weight"), "packed", "left").join(links, "rep", "left").join(components, F.col("rep") == F.col("id"), "left")
-    out = rows.select("vec_id", F.coalesce(F.col("weight") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    known = classes.select("packed", "rep", "low", "weight").join(links, "rep", "left").join(named, F.col("rep") == F.col("id"), "left")
+    rows = packed.join(known, "packed", "left")
+    out = rows.select("vec_id", F.coalesce(F.col("weight") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("name", "low", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_embedding_neardup(spark, sf_dir):

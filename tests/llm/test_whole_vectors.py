@@ -20,3 +20,30 @@ def test_links_across_many_cells(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in vectordup.near_vectors(frame).collect()}
     assert got == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+
+
+def test_null_ids_name_no_component(spark):
+    """Ids 5, null and 9, of which 5 and null are linked; a group of null ids alone; negative ids; clashing columns."""
+    from corvane.llm.vectordup import near_vectors
+
+    rows = [(5, [1.0, 0.0]), (None, [1.0, 0.01]), (9, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.01]), (-7, [0.0, -1.0]), (-8, [0.01, -1.0]), (None, None), (None, [0.7, -0.7])]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, kept string, rep int")
+    got = sorted(((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame).collect()), key=str)
+    assert got == sorted([(False, 5, 1, 5, True), (True, 0, 1, 5, False), (False, 9, 0, 9, True), (True, 0, 1, None, True), (True, 0, 1, None, True), (False, -7, 1, -8, False), (False, -8, 1, -8, True), (True, 0, 0, None, True), (True, 0, 0, None, True)], key=str)
+
+
+def test_packing_keeps_what_can_link():
+    import pyarrow as pa
+
+    from corvane.llm.vectordup import pack_vectors
+
+    inf, nan = float("inf"), float("nan")
+    rows = [[1.0, -0.0], None, [], [0.0, 0.0], [nan, 1.0], [1.0, inf], [1.0, None], [1e200, 1e200], [1e-200, 0.0], [3.0, 4.0, 5.0]]
+    for kind in (pa.float64(), pa.float32()):
+        got = pack_vectors(pa.array(rows, pa.list_(kind)).slice(0)).to_pylist()
+        assert [g is not None for g in got][:7] == [True] + [False] * 6 and len(got[9]) == 24
+    import numpy as np
+
+    got = pack_vectors(pa.array(rows, pa.list_(pa.float64()))).to_pylist()
+    assert np.frombuffer(got[0]).tolist() == [1.0, 0.0] and np.signbit(np.frombuffer(got[0])).tolist() == [False, False]
+    assert np.frombuffer(got[7]).tolist() == [1.0, 1.0] and np.frombuffer(got[8]).tolist() == [1.0, 0.0]
