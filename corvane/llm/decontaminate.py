@@ -8,21 +8,26 @@ Terms are the words of the benchmark.
 2. Distributed randomised SVD: for the TF-IDF matrix A of all blocks (rows of unit length, and the
    benchmark items with ``QUERY_MASS`` of the whole mass, so that the latent space can tell items apart)
    tasks add up A'(A G) for a fixed Gaussian G; an orthonormal basis of it spans the latent space.
-3. Candidates are all passages and items that share words of at least ``PARAPHRASE`` of the item's
-   weight by inverse document frequency, which no match can do without. An inverted index over the
-   rarest words of every item, all but ``REST`` of its weight, finds them: the rest counts as shared, so
-   the index bounds the weight from above and loses none, whatever else the passage holds.
+3. Candidates are passages and items that share words of at least ``LOOSE`` of the item's weight by
+   inverse document frequency, which no match can do without, and either ``PARAPHRASE`` of it or a
+   cosine of ``COSINE`` in the latent space. An inverted index over the rarest words of every item, all
+   but ``REST`` of its weight, bounds the shared weight from above (the rest counts as shared), so that
+   no passage is missed, whatever else it holds; cosines are computed for those that remain.
 4. Candidates are checked with a longest common subsequence of words, weighted the same way. From
    ``NEAR`` of the item's weight it is a copy; from ``PARAPHRASE`` it is one if the answer (the
-   benchmark's answer column, else the last quarter of the item) is in the passage too.
-5. Matches come with the cosine of passage and item in the latent space. It ranks equal matches of a
-   document and gates nothing, so its rank needs no growth with the items.
+   benchmark's answer column, else the last quarter of the piece, below) is in the passage too; from
+   ``LOOSE`` it is a paraphrase if the answer is there and the cosine is reached.
+
+Items of over ``BLOCK`` words are searched in pieces of ``BLOCK`` words, of which the last one ends with
+the item (and overlaps the one before); an item is found where any piece is.
 
 Cases: null or empty texts and items match nothing; repeated rows are found alike; null ids keep their
 rows; an empty benchmark finds nothing. Other columns play no part.
 
 Scale: three maps over the texts; only term counts, the V x k sums of the SVD (V: words of a block of
-``ITEMS`` benchmark items) and the matches leave the tasks. Items beyond ``ITEMS`` are handled in further rounds.
+``ITEMS`` benchmark items) and the matches leave the tasks. The sums are made by at most ``SUMMING`` tasks
+(each of which reads more as the data grow) and added up as streams of ``ROWS`` terms each, so no task
+holds more than its own. Items beyond ``ITEMS`` are handled in further rounds.
 """
 
 from __future__ import annotations
@@ -39,14 +44,18 @@ from corvane.runtime import arrow_rows, ship_package, table
 BLOCK = 64
 RANK = 96
 QUERY_MASS = 0.5
-NEAR = 0.75
+NEAR = 0.65
 PARAPHRASE = 0.55
+LOOSE = 0.40
+COSINE = 0.75
 ANSWER = 0.75
 REST = 0.10  # of an item's weight: its most common words, which the index leaves out; decides the cost, not the result
 COMMON = 0.05  # terms in more blocks than this share carry no weight in the latent space
 ITEMS = 4096
 _TABLE = 1 << 18
-_CELLS = 1 << 22  # (block, item) sums, and postings, held at a time
+SUMMING = 8192
+ROWS = 64
+_CELLS = 1 << 20  # (block, item) sums, and postings, held at a time
 
 
 def _words(text: str) -> np.ndarray:
@@ -124,7 +133,7 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     return df, next((row["n"] for row in found if row["term"] < 0), 0)
 
 
-def _latent(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, items: list[np.ndarray], total: int, rank: int, parts: int = 16) -> np.ndarray:
+def _latent(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, items: list[np.ndarray], total: int, rank: int) -> np.ndarray:
     """Orthonormal basis (V x k) of the latent space."""
     v = len(terms)
     k = max(1, min(rank, v))
@@ -140,15 +149,21 @@ def _latent(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, items: list[
                 if len(block):
                     block, term, counts = _sparse(block, used[term], v)
                     _add(z, gauss, block, term, *_rows(block, term, counts, weight))
-        for p, piece in enumerate(np.array_split(z, parts)):
-            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([piece.tobytes()], pa.binary())], names=["part", "z"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in t.column("z").to_pylist())
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "z": pa.array([total.tobytes()], pa.binary())})
+        yield _pieces({p: piece for p in range(0, v, ROWS) if (piece := z[p : p + ROWS]).any()})
 
-    summed = _map(docs, run, "part long, z binary").groupBy("part").applyInArrow(add, "part long, z binary").collect()
-    z = np.concatenate([np.frombuffer(r["z"], np.float64) for r in sorted(summed, key=lambda r: r["part"])]).reshape(v, k) if summed else np.zeros((v, k))
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                piece = np.frombuffer(raw.as_buffer(), np.float32)
+                held[p] = held[p] + piece if p in held else piece.astype(np.float64)
+        yield _pieces({p: x.astype(np.float32) for p, x in held.items()})
+
+    few = docs.coalesce(SUMMING)  # no effect on fewer partitions
+    summed = _map(_map(few, run, "part long, z binary").repartition("part"), add, "part long, z binary").toArrow()
+    z = np.zeros((v, k))
+    for p, raw in zip(summed.column("part").to_pylist(), summed.column("z").to_pylist()):
+        z[p : p + ROWS] = np.frombuffer(raw, np.float32).reshape(-1, k)
     own = np.zeros((v, k), np.float32)
     for item in items:
         _, term, counts = _sparse(np.zeros(len(item), np.int64), item, v)
@@ -158,6 +173,10 @@ def _latent(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, items: list[
     return np.linalg.svd(z, full_matrices=False)[0].astype(np.float32)
 
 
+def _pieces(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "z"])
+
+
 def _add(z, gauss, block, term, value, start):
     """z += A'(A gauss) for the rows given."""
     value = value.astype(np.float32)
@@ -184,7 +203,7 @@ class _Index:
             piece.append(np.full(kept, q))
             term.append(own[order[:kept]])
             share.append(part[:kept])
-            need.append(PARAPHRASE - max(rest[kept - 1], 0.0) - 1e-9)
+            need.append(LOOSE - max(rest[kept - 1], 0.0) - 1e-9)
         term, order = np.concatenate(term), np.argsort(np.concatenate(term), kind="stable")
         self.terms, self.count = np.unique(term, return_counts=True)
         self.start = np.cumsum(self.count) - self.count
@@ -255,7 +274,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
 def _search(docs: DataFrame, items: list, rank: int) -> DataFrame:
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, overlap double, answer_overlap double")
     texts = [(r["item_id"], _words(r["text"]), _words(r["answer"]) if r["answer"] else None) for r in items]
-    pieces = [(i, w[a : a + BLOCK], ans) for i, w, ans in texts for a in range(0, len(w), BLOCK) if len(w) - a >= BLOCK // 2 or not a]
+    starts = lambda n: [*range(0, n - BLOCK, BLOCK), max(n - BLOCK, 0)] if n else []
+    pieces = [(i, w[a : a + BLOCK], ans) for i, w, ans in texts for a in starts(len(w))]
     if not pieces:
         return empty
     terms = np.unique(np.concatenate([w for _, w, _ in pieces]))
@@ -298,15 +318,20 @@ def _search(docs: DataFrame, items: list, rank: int) -> DataFrame:
                     passage = words[a : min(a + 2 * BLOCK, bounds[d + 1])]
                     i, w, weights, answer = checks[q]
                     whole = float(weights.sum())
-                    if weights[np.isin(w, passage)].sum() < PARAPHRASE * whole:
+                    has = weights[np.isin(w, passage)].sum() / whole
+                    if has < LOOSE:
+                        continue
+                    place = np.minimum(np.searchsorted(terms, passage), len(terms) - 1)
+                    vector = latent[place[terms[place] == passage]].sum(axis=0)
+                    cosine = float(vector @ queries[q] / max(np.linalg.norm(vector), 1e-9))
+                    if has < PARAPHRASE and cosine < COSINE:
                         continue
                     share = weighted_lcs(w, weights, passage) / whole
-                    if share >= PARAPHRASE:
-                        said = weighted_lcs(answer, np.ones(len(answer)), passage) / max(1, len(answer))
-                        if share >= NEAR or said >= ANSWER:
-                            place = np.minimum(np.searchsorted(terms, passage), len(terms) - 1)
-                            vector = latent[place[terms[place] == passage]].sum(axis=0)
-                            out.append((first + int(d), i, float(vector @ queries[q] / max(np.linalg.norm(vector), 1e-9)), share, said))
+                    if share < (PARAPHRASE if cosine < COSINE else LOOSE):
+                        continue
+                    said = weighted_lcs(answer, np.ones(len(answer)), passage) / max(1, len(answer))
+                    if share >= NEAR or said >= ANSWER:
+                        out.append((first + int(d), i, cosine, share, said))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), *(pa.array([o[c] for o in out], kind) for c, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64())))], names=["doc_id", "item_id", "cosine", "overlap", "answer_overlap"])
 
     assert smallest > 0

@@ -6,7 +6,7 @@ from collections import Counter
 
 
 def leaked(docs, items, block=64):
-    """(doc, item) pairs by comparing every passage with every item; items are shorter than a block."""
+    """(doc, item) pairs that are copies, and those that a large cosine may add, by comparing every passage with every piece of every item."""
     split = {d: t.split() for d, t in docs}
     blocks = [set(w[a : a + block]) for w in split.values() for a in range(0, len(w), block)]
     df = Counter(word for b in blocks for word in b)
@@ -20,18 +20,21 @@ def leaked(docs, items, block=64):
                 best[j], before = max(best[j], best[j - 1], before + w if word == other else 0.0), best[j]
         return best[-1]
 
-    out = set()
+    out, maybe = set(), set()
+    pieces = [(i, w[a : a + block]) for i, text in items if (w := text.split()) for a in {*range(0, len(w) - block, block), max(len(w) - block, 0)}]
     for d, w in split.items():
         for a in range(0, max(len(w) - block, 1), block):
             passage = w[a : a + 2 * block]
-            for i, text in items:
-                item = text.split()
+            for i, item in pieces:
                 weight = [idf(x) for x in item]
                 share = common(item, weight, passage) / sum(weight)
                 tail = item[-max(4, len(item) // 4) :]
-                if share >= 0.75 or (share >= 0.55 and common(tail, [1.0] * len(tail), passage) >= 0.75 * len(tail)):
+                answer = common(tail, [1.0] * len(tail), passage) >= 0.75 * len(tail)
+                if share >= 0.65 or (share >= 0.55 and answer):
                     out.add((d, i))
-    return out
+                elif share >= 0.40 and answer:
+                    maybe.add((d, i))
+    return out, maybe
 
 
 def test_short_items_in_passages_of_other_items(spark):
@@ -49,5 +52,41 @@ def test_short_items_in_passages_of_other_items(spark):
             text[at:at] = [w if rng.random() > 0.2 else rng.choice(vocabulary) for w in item.split()]
         docs.append((d, " ".join(text)))
     found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = leaked(docs, items)
-    assert len(want) > 40 and {(r["doc_id"], r["item_id"]) for r in found} == want
+    want, maybe = leaked(docs, items)
+    assert len(want) > 40 and want <= {(r["doc_id"], r["item_id"]) for r in found} <= want | maybe
+    assert all((r["doc_id"], r["item_id"]) in want or r["cosine"] >= 0.75 for r in found)
+
+
+def test_long_items_clashing_columns_and_nulls(spark):
+    """Every piece of a long item is searched, its end too; columns named like results, null ids and megabytes of text do no harm."""
+    from corvane.llm.decontaminate import contaminated
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    item = [word() for _ in range(90)]
+    filler = [word() for _ in range(300)]
+    docs = [(1, " ".join(filler[:50] + item[:64])), (2, " ".join(item[64:] + filler[50:90])), (3, " ".join(filler)), (None, " ".join(item)), (4, None), (5, " ".join(filler * 900 + item + filler * 10)), (1, " ".join(item))]
+    frame = spark.createDataFrame([(*d, "x", 0.5) for d in docs], "doc_id long, text string, item_id string, cosine double")
+    found = contaminated(frame, spark.createDataFrame([(7, " ".join(item)), (8, None), (None, "")], "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in found.collect()) == [("1", 7), ("5", 7), ("None", 7)]
+    tail = [("two", " ".join(item[30:])), ("one", " ".join(filler[:9] + item[26:]))]
+    found = contaminated(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(tail)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"] for r in found.collect()} == {0, 1}
+
+
+def test_paraphrases_are_found(spark):
+    """Of items with up to 30 of 100 words replaced, nine in ten are found; documents without an item are left alone."""
+    from corvane.llm.decontaminate import contaminated
+
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(15, 60)))) for i in range(200)]
+    docs = []
+    for d in range(400):
+        text = rng.choices(vocabulary, k=rng.randint(50, 400))
+        if d < 200:
+            at, share = rng.randrange(len(text)), rng.choice([0.0, 0.1, 0.2, 0.3])
+            text[at:at] = [w if rng.random() >= share else rng.choice(vocabulary) for w in items[d][1].split()]
+        docs.append((d, " ".join(text)))
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((d, d) in found for d in range(200)) >= 180 and all(d == i for d, i in found)
