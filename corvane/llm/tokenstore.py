@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from itertools import chain
 
@@ -116,11 +117,19 @@ class Encoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+
         self.tokenizer = Tokenizer.from_str(spec)
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # every part comes once, so the library's own cache is in the way
         self.whole = not _cuts_alike(spec)
-        self.wide = self.tokenizer.get_vocab_size() > 65536
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.wide = max(vocabulary.values(), default=0) > 65535
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a byte-level token has a character a byte
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
         self.forget()
 
     def forget(self) -> None:
@@ -128,18 +137,43 @@ class Encoder:
         self.start, self.size = np.zeros((2, PLACES), np.int32), np.zeros((2, PLACES), np.int32)
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
 
-    def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode texts; where their ids start in self.ids, and how many they are."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int32, len(found))
-        total = int(size.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, total), np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        start = (self.used + np.cumsum(size) - size).astype(np.int32)
-        self.used += total
+    def _learn(self, raw: bytes, lo: np.ndarray, hi: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode parts raw[lo:hi]; where their ids start in self.ids, and how many they are.
+
+        Parts that need not stand alone are encoded as one text, with a letter before those that start with
+        a full stop or comma; the bytes that every id stands for tell where a part's ids end.
+        """
+        start, size = np.zeros(len(lo), np.int32), np.zeros(len(lo), np.int32)
+        both = np.flatnonzero(~alone)
+        if len(both):
+            parts = [raw[x:y] for x, y in zip(lo[both].tolist(), hi[both].tolist())]
+            led = [p[0] != 0x20 for p in parts]
+            ends = np.cumsum(hi[both] - lo[both] + 2 * np.array(led))
+            begins = ends - (hi[both] - lo[both])
+            joined = b"".join([b" a" + p if x else p for p, x in zip(parts, led)])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined.decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+            before = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+            at, upto = np.searchsorted(before, begins), np.searchsorted(before, ends)
+            top = len(before) - 1
+            fits = (before[np.minimum(at, top)] == begins) & (before[np.minimum(upto, top)] == ends)
+            start[both], size[both] = self.used + at, upto - at
+            self._store(ids)
+            alone = alone.copy()
+            alone[both[~fits]] = True
+        each = np.flatnonzero(alone)
+        if len(each):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[x:y].decode("utf-8") for x, y in zip(lo[each].tolist(), hi[each].tolist())], add_special_tokens=False)]
+            size[each] = np.fromiter(map(len, found), np.int32, len(found))
+            start[each] = self.used + np.cumsum(size[each]) - size[each]
+            self._store(np.fromiter(chain.from_iterable(found), np.uint32, int(size[each].sum())))
         return start, size
 
+    def _store(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the bounds of the texts."""
         cuts = np.unique(offsets) if self.whole else _segments(data, offsets)
@@ -157,8 +191,12 @@ class Encoder:
             new = new[np.lexsort((check[new], key[new]))]
             head = np.concatenate([[True], (key[new][1:] != key[new][:-1]) | (check[new][1:] != check[new][:-1])])
             first = new[head]
-            raw = data.tobytes()
-            at, n = self._learn([raw[a:b].decode("utf-8") for a, b in zip(cuts[first].tolist(), cuts[first + 1].tolist())])
+            last = np.zeros(len(cuts), bool)  # the last part of a text may end with white space
+            last[np.searchsorted(cuts, offsets[1:]) - 1] = True
+            lead = data[cuts[first]]
+            solid = data[np.minimum(cuts[first] + 1, len(data) - 1)] > 0x20
+            alone = self.whole | last[first] | ~(((lead == 0x20) & solid) | (lead == 0x2E) | (lead == 0x2C)) | np.isin(cuts[first], offsets)
+            at, n = self._learn(data.tobytes(), cuts[first], cuts[first + 1], alone)
             which = np.cumsum(head) - 1
             start[new], size[new] = at[which], n[which]
             free = self.key[0][one[first]] == 0
@@ -210,6 +248,42 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 _STORED = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("once", pa.binary())])
 
 
+def _stored(batches, encoder: Encoder, part: int):
+    """Batches of (doc_id, text) as rows of chunks and recipes; a chunk is sent once a task."""
+    row, width = 0, "<u4" if encoder.wide else "<u2"
+    sent: set[bytes] = set()
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(1))
+        for first, last in slices(offsets, ENCODE_BYTES):
+            ids, bounds = encoder.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            ends = cut_points(ids, bounds)
+            raw, packed = memoryview(ids.astype("<u4").tobytes()), ids.astype(width).tobytes()
+            step, keys, new, at = 2 if width == "<u2" else 4, [], [], 0
+            for end in ends.tolist():
+                key = _address(raw[4 * at : 4 * end])
+                keys.append(key)
+                if key not in sent:
+                    sent.add(key)
+                    new.append((key, at, end))
+                at = end
+            upto = np.searchsorted(ends, bounds, side="right").tolist()
+            listed = [keys[a:b] for a, b in zip(upto, upto[1:])]
+            m, n = len(new), last - first
+            once = [b"%d.%d" % (part, i) for i in range(row, row + n)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(["chunk"] * m + ["recipe"] * n),
+                    pa.array([k for k, _, _ in new] + [merkle_root(x) for x in listed], pa.binary()),
+                    pa.concat_arrays([pa.nulls(m, pa.int64()), batch.column(0).slice(first, n)]),
+                    pa.array([b - a for _, a, b in new] + np.diff(bounds).tolist(), pa.int64()),
+                    pa.array([packed[step * a : step * b] for _, a, b in new] + [b"".join(x) for x in listed], pa.binary()),
+                    pa.array([k for k, _, _ in new] + once, pa.binary()),
+                ],
+                schema=_STORED,
+            )
+            row += n
+
+
 def _encoded(docs: DataFrame, spec: str) -> DataFrame:
     """Rows of chunks and recipes. once: what a row is unique by."""
     spec_of = docs.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file
@@ -218,38 +292,7 @@ def _encoded(docs: DataFrame, spec: str) -> DataFrame:
         name = hashlib.blake2b(spec_of.value.encode(), digest_size=8).digest()
         if _state.get("name") != name:
             _state.update(name=name, encoder=Encoder(spec_of.value))
-        encoder, part, row = _state["encoder"], TaskContext.get().partitionId(), 0
-        width = "<u4" if encoder.wide else "<u2"
-        sent: set[bytes] = set()
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            for first, last in slices(offsets, ENCODE_BYTES):
-                ids, bounds = encoder.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                ends = cut_points(ids, bounds)
-                raw, packed = ids.astype("<u4").tobytes(), ids.astype(width)
-                keys, starts = [], np.concatenate([[0], ends[:-1]]).tolist()
-                chunks: list[tuple[bytes, int, bytes]] = []
-                for a, b in zip(starts, ends.tolist()):
-                    key = _address(raw[4 * a : 4 * b])
-                    keys.append(key)
-                    if key not in sent:
-                        sent.add(key)
-                        chunks.append((key, b - a, packed[a:b].tobytes()))
-                at = np.searchsorted(ends, bounds, side="right").tolist()
-                listed = [keys[a:b] for a, b in zip(at, at[1:])]
-                n = last - first
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(["chunk"] * len(chunks) + ["recipe"] * n),
-                        pa.array([c[0] for c in chunks] + [merkle_root(x) for x in listed], pa.binary()),
-                        pa.concat_arrays([pa.nulls(len(chunks), pa.int64()), batch.column(0).slice(first, n)]),
-                        pa.array([c[1] for c in chunks] + np.diff(bounds).tolist(), pa.int64()),
-                        pa.array([c[2] for c in chunks] + [b"".join(x) for x in listed], pa.binary()),
-                        pa.array([c[0] for c in chunks] + [b"%d.%d" % (part, row + i) for i in range(n)], pa.binary()),
-                    ],
-                    schema=_STORED,
-                )
-                row += n
+        yield from _stored(batches, _state["encoder"], TaskContext.get().partitionId())
 
     return docs.mapInArrow(run, "kind string, key binary, doc_id long, n long, payload binary, once binary")
 
