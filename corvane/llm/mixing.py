@@ -5,10 +5,14 @@ Every source is one stream of words: its documents in pseudorandom order, cut in
 stops at ``max_repeat`` times its source and the excess is shared again by weight until none is above.
 
 A target is a number of slots of the output. Output shards hold ``shard_slots`` slots each; the counts
-of sources in a shard are a multinomial draw given the totals (a multivariate hypergeometric draw): slot
-``j`` of all slots, laid out source after source, goes to output position ``permute(j)``. A free
-multinomial draw would leave every source off its target by about one over the root of its slots, and
-could take more than ``max_repeat`` times what a source has. Within a source, slot ``j`` takes block
+of sources in a shard are a multinomial draw given the totals (a multivariate hypergeometric draw): all
+slots, laid out source after source, are dealt to output positions by a pseudorandom permutation, and
+what a shard gets of a source is its count. A free multinomial draw would leave every source off its
+target by about one over the root of its slots, and could take more than ``max_repeat`` times what a
+source has.
+
+The counts decide what is taken: the n slots that a shard has of a source are the source's draws b ..
+b + n - 1, where b is what the shards before it have drawn. Draw ``j`` of a source is its block
 ``permute_source(j mod blocks)``, with another permutation for each pass over the source, so no block is
 taken more often than the passes begun. Blocks join documents by (source, block index).
 
@@ -21,7 +25,8 @@ last one; repeated rows and null ids count as separate documents; an empty table
 Other columns of the input play no part.
 
 Scale: one pass over the texts gives (id, source, size); offsets are prefix sums in two levels, over
-hash buckets of about ``bucket_rows`` documents each, so a source with a third of all rows is many tasks.
+hash buckets of about ``BUCKET_ROWS`` documents and ranges of ``RANGE_SHARDS`` shards each, so a source
+with a third of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -39,6 +44,7 @@ MAX_REPEAT = 2
 BUCKET_ROWS = 16384
 CHUNK_SLOTS = 8192
 TASK_SLOTS = 65536
+RANGE_SHARDS = 1024
 _WALK = 16  # longest walk on a small grid; on a large one the chance of a longer walk is below 1e-15
 
 
@@ -61,9 +67,9 @@ def permuted(df: DataFrame, name: str, x: Column, n: Column, seed: Column) -> Da
 
 
 def sizes(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
-    """(doc_id, source, size): words of each document."""
+    """(doc_id, source, size, print): words of each document, and a hash of its text that orders documents of one id."""
     words = F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("print"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -90,32 +96,37 @@ def targets(sized: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
     return slotted.select("sid", "source", "weight", "source_size", "source_docs", "target", "blocks", "slots", F.coalesce(F.sum("slots").over(ahead), F.lit(0)).cast("long").alias("slots_before"), F.sum("slots").over(everything).alias("all_slots"))
 
 
-def slots(sources: DataFrame, seed: int = 17, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row an output slot: (sid, block, shard, position in the shard)."""
+def shard_counts(sources: DataFrame, seed: int = 17, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, sid, blocks, n): the drawn source counts of every output shard, and the blocks of the source."""
     chunks = sources.where("slots > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK_SLOTS).cast("long"))))
     tasks = int((sources.agg(F.max("all_slots")).first()[0] or 0) // TASK_SLOTS) + 1  # by number: bytes say little about rows that are yet to be made
     each = chunks.repartition(tasks, "sid", "first").withColumn("j", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK_SLOTS, F.col("slots")) - 1)))
-    key = F.lit(seed).cast("long")
-    pass_no = F.floor(F.col("j") / F.col("blocks")).cast("long")
-    placed = permuted(each, "place", F.col("slots_before") + F.col("j"), F.col("all_slots"), F.xxhash64(key))
-    placed = permuted(placed, "block", F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.xxhash64(key, F.col("sid"), pass_no))
-    return placed.select("sid", "block", F.floor(F.col("place") / shard_slots).cast("long").alias("shard"), F.pmod(F.col("place"), F.lit(shard_slots)).alias("position"))
+    placed = permuted(each, "place", F.col("slots_before") + F.col("j"), F.col("all_slots"), F.xxhash64(F.lit(seed).cast("long")))
+    return placed.groupBy(F.floor(F.col("place") / shard_slots).cast("long").alias("shard"), "sid", "blocks").agg(F.count(F.lit(1)).alias("n"))
 
 
-def shard_counts(slotted: DataFrame) -> DataFrame:
-    """(shard, sid, n): the drawn source counts of every output shard."""
-    return slotted.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
+def slots(counts: DataFrame, seed: int = 17) -> DataFrame:
+    """One row an output slot: (shard, sid, draw, block), by the drawn counts of shard_counts."""
+    ranged = counts.withColumn("range", F.floor(F.col("shard") / RANGE_SHARDS).cast("long"))
+    ahead = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("sid", "range").agg(F.sum("n").alias("m")).select("sid", "range", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("range_at"))
+    inside = Window.partitionBy("sid", "range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    begun = ranged.join(ranges, ["sid", "range"]).withColumn("first", F.col("range_at") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    drawn = begun.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
+    pass_no = F.floor(F.col("draw") / F.col("blocks")).cast("long")
+    placed = permuted(drawn, "block", F.pmod(F.col("draw"), F.col("blocks")), F.col("blocks"), F.xxhash64(F.lit(seed).cast("long"), F.col("sid"), pass_no))
+    return placed.select("shard", "sid", "draw", "block")
 
 
 def pieces(sized: DataFrame, sources: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents with words, cut at block borders: (sid, doc_id, size, at, block, words); at: words before it in its source's stream."""
     known = sized.where("size > 0").join(sources.select("sid", F.col("source").alias("named"), "source_docs"), F.col("source").eqNullSafe(F.col("named")))
     buckets = F.ceil(F.col("source_docs") / BUCKET_ROWS).cast("long")
-    known = known.select("sid", "doc_id", "size", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), buckets).alias("bucket"))
+    known = known.select("sid", "doc_id", "size", "print", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("print")), buckets).alias("bucket"))
     totals = known.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("bucket_at"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "print").rowsBetween(Window.unboundedPreceding, -1)
     laid = known.join(totals, ["sid", "bucket"]).withColumn("at", F.col("bucket_at") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     cut = laid.select("sid", "doc_id", "size", "at", F.explode(F.sequence(first, last)).alias("block"))
@@ -128,7 +139,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     work = Workspace(docs.sparkSession, label)
     sized = work.write(sizes(docs, text, source, id), "sizes")
     sources = work.write(targets(sized, weights, total_share, max_repeat, block_words), "sources")
-    drawn = slots(sources, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # its size can't be told from the few rows it is made of
+    counts = work.write(shard_counts(sources, seed), "counts")
+    drawn = slots(counts, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # its size can't be told from the few rows it is made of
     cut = pieces(sized, sources, seed, block_words).join(drawn, ["sid", "block"], "left")
     taken = cut.groupBy("sid", "at", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).alias("taken"))
     none = sized.where("size = 0").join(sources.select("sid", F.col("source").alias("named")), F.col("source").eqNullSafe(F.col("named"))).select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
