@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import IS_PUNCTUATION, slices, text_buffer, word_hashes, word_spans
+from corvane.llm.kernel import IS_PUNCTUATION, slices, text_buffer, tidy, word_hashes, word_spans
 from corvane.runtime import arrow_rows, ship_package, table
 
 BLOCK = 64
@@ -111,7 +111,7 @@ def _rows(block, term, counts, weight):
 def _map(docs: DataFrame, make, schema: str) -> DataFrame:
     ship_package(docs.sparkSession)
     arrow_rows(docs.sparkSession)
-    return docs.mapInArrow(make, schema)
+    return docs.mapInArrow(tidy(make), schema)
 
 
 def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:

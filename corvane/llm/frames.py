@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corvane.llm.kernel import tidy
 from corvane.runtime import arrow_rows, ship_package
 
 
@@ -41,7 +42,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable) -
             new = [pa.array(x, type=arrow.field(len(keep) + i).type) if not isinstance(x, pa.Array) else x for i, x in enumerate(function(batch))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(arrow.field(k).type) for k, i in enumerate(keep)), *new], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def id_crc(column: str = "doc_id"):

@@ -10,6 +10,9 @@ polynomial over random byte values modulo 2**64, then mixed.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,18 +32,56 @@ LOWER_VALUE = BYTE_VALUE[LOWER]
 #: For words without punctuation: every ASCII character that is no letter or digit parts words.
 IS_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
-_powers: dict[str, np.ndarray] = {}
+_powers: list[np.ndarray] = []
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    t = np.full(n, base, dtype=np.uint64)
+    t[:1] = 1
+    return np.multiply.accumulate(t)
 
 
 def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("base")
-    if have is None or len(have) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for key, base in (("base", _BASE), ("inverse", _BASE_INV)):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            _powers[key] = np.multiply.accumulate(t)
-    return _powers["base"], _powers["inverse"]
+    """Powers 0..n of the base and of its inverse; those for up to SLICE_BYTES are kept."""
+    if n > SLICE_BYTES:
+        return _power(_BASE, n + 1), _power(_BASE_INV, n + 1)
+    if not _powers:
+        _powers.extend((_power(_BASE, SLICE_BYTES + 1), _power(_BASE_INV, SLICE_BYTES + 1)))
+    return _powers[0], _powers[1]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A map over Arrow batches that returns freed memory to the system at its end: a worker lives on for later tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def tidy_group(run):
+    """The same for a function of one group's table."""
+
+    @functools.wraps(run)
+    def tidied(table):
+        try:
+            return run(table)
+        finally:
+            if table.nbytes > SLICE_BYTES:
+                _give_back()
+
+    return tidied
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,6 +143,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of every word, A-Z lower-cased."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > 2 * SLICE_BYTES:  # a very long text: in parts, so that memory follows the slice
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")), i + 1)
+            lo = starts[i]
+            out[i:j] = _word_hashes(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo)
+            i = j
+        return out
+    return _word_hashes(data, starts, ends)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = power_table(len(data))
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0

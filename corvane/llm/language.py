@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.frames import append_columns, id_crc
-from corvane.llm.kernel import slices, text_buffer
+from corvane.llm.kernel import slices, text_buffer, tidy
 from corvane.runtime import arrow_rows, ship_package
 
 K = 300
@@ -132,7 +132,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return (
         docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-        .mapInArrow(run, "lang string, gram string, n long")
+        .mapInArrow(tidy(run), "lang string, gram string, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )

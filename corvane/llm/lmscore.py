@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.frames import id_crc
-from corvane.llm.kernel import LOWER, mix, slices, text_buffer, word_hashes, word_spans
+from corvane.llm.kernel import LOWER, mix, slices, text_buffer, tidy, word_hashes, word_spans
 from corvane.runtime import Workspace, arrow_rows, ship_package, table
 
 HEAD = 1 << 16
@@ -82,7 +82,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield summed()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([END], pa.int32()), pa.array([texts], pa.int64())], names=["h", "cls", "n"])
 
-    return docs.mapInArrow(run, "h long, cls int, n long").groupBy("h", "cls").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "h long, cls int, n long").groupBy("h", "cls").agg(F.sum("n").alias("n"))
 
 
 class _Vocabulary:
@@ -137,7 +137,7 @@ def triple_counts(docs: DataFrame, vocabulary: _Vocabulary) -> DataFrame:
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
 
-    return docs.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class LogBilinear:
@@ -246,7 +246,7 @@ def _scored(docs: DataFrame, vocabulary: _Vocabulary, model: LogBilinear, log_z:
                 )
                 row += n
 
-    return docs.mapInArrow(run, "kind string, row long, doc_id long, held_out boolean, h long, n long, known long, base double, score double")
+    return docs.mapInArrow(tidy(run), "kind string, row long, doc_id long, held_out boolean, h long, n long, known long, base double, score double")
 
 
 def score_texts(docs: DataFrame, text: str = "text", id: str = "doc_id", folds: int = 10, label: str = "lmscore") -> DataFrame:

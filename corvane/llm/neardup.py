@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.kernel import mix, shingle_hashes, slices, text_buffer, word_hashes, word_spans
+from corvane.llm.kernel import mix, shingle_hashes, slices, text_buffer, tidy, tidy_group, word_hashes, word_spans
 from corvane.runtime import Workspace, arrow_rows, ship_package, table
 
 WIDTH = 5
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", width: i
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, HASHES, dtype=np.int32)), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), rows, pa.array([x.tobytes() for x in sketches(values, at)], pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig", "sketch"])
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>, sketch binary")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_key binary, sig array<int>, sketch binary")
 
 
 def tables(classes: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array(hopeful(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy())))
 
-    return sized.mapInArrow(run, "a long, b long")
+    return sized.mapInArrow(tidy(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, text: str = "text", id: str = "doc_id", width: int = WIDTH, spread: int = 256) -> DataFrame:
@@ -174,7 +174,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, text:
                             found.append((int(a[i]), int(need[i])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _cross_pairs(mixed: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
         a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return mixed.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+    return mixed.groupBy("key").applyInArrow(tidy_group(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", label: str = "neardup") -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import BYTE_VALUE, mix, slices, text_buffer
+from corvane.llm.kernel import BYTE_VALUE, mix, slices, text_buffer, tidy, tidy_group
 from corvane.runtime import Workspace, ship_package, table
 
 SPAN = 50
@@ -153,7 +153,7 @@ def _blocks(docs: DataFrame, limit: int) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.mapInArrow(run, "block long, ids binary, lengths binary, body binary, bytes long")
+    return docs.mapInArrow(tidy(run), "block long, ids binary, lengths binary, body binary, bytes long")
 
 
 def _opened(batch: pa.RecordBatch, row: int):
@@ -208,7 +208,7 @@ def _deal_hashes(blocks: DataFrame, bits: int) -> DataFrame:
                     names=["bucket", "block", "hashes", "several"],
                 )
 
-    return blocks.mapInArrow(run, "bucket long, block long, hashes binary, several binary")
+    return blocks.mapInArrow(tidy(run), "bucket long, block long, hashes binary, several binary")
 
 
 def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ def _deal_contexts(blocks: DataFrame, bits: int) -> DataFrame:
                     names=["bucket", "block", "contexts", "low", "high"],
                 )
 
-    return blocks.mapInArrow(run, "bucket long, block long, contexts binary, low binary, high binary")
+    return blocks.mapInArrow(tidy(run), "bucket long, block long, contexts binary, low binary, high binary")
 
 
 def _multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -453,7 +453,7 @@ def _measured(blocks: DataFrame, bits: int, with_text: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return blocks.mapInArrow(run, schema + (", kept binary, spans array<struct<start:bigint,end:bigint>>" if with_text else ""))
+    return blocks.mapInArrow(tidy(run), schema + (", kept binary, spans array<struct<start:bigint,end:bigint>>" if with_text else ""))
 
 
 def _gone(data, offsets, ids, bits, shared, answers) -> np.ndarray:
@@ -490,10 +490,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", with
         blocks = work.write(_blocks(picked, limit), "blocks", compression="none")
     bits = max(0, int(size // (BUCKET_BLOCKS * limit)).bit_length())
     with _few_rows(spark, max(1, 4 * BLOCK_BYTES[0] // limit)):
-        hashes = _deal_hashes(blocks, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answer_hashes, "block long, bucket long, answer binary")
+        hashes = _deal_hashes(blocks, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(tidy_group(_answer_hashes), "block long, bucket long, answer binary")
         shared = work.write(hashes.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("shared")), "shared")
         told = blocks.join(shared, "block", "left")
-        contexts = _deal_contexts(told, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answer_contexts, "block long, bucket long, which binary, least binary")
+        contexts = _deal_contexts(told, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(tidy_group(_answer_contexts), "block long, bucket long, which binary, least binary")
         answers = work.write(contexts.groupBy("block").agg(F.collect_list(F.struct("bucket", "which", "least")).alias("answers")), "answers")
         result = work.write(_measured(told.join(answers, "block", "left"), bits, with_text), "result")
     work.drop("blocks", "shared", "answers")

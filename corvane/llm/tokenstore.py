@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.kernel import BYTE_VALUE, mix, power_table, slices, text_buffer
+from corvane.llm.kernel import BYTE_VALUE, mix, power_table, slices, text_buffer, tidy
 from corvane.runtime import Workspace, arrow_rows, ship_package, table
 
 END_ID = 2
@@ -294,7 +294,7 @@ def _encoded(docs: DataFrame, spec: str) -> DataFrame:
             _state.update(name=name, encoder=Encoder(spec_of.value))
         yield from _stored(batches, _state["encoder"], TaskContext.get().partitionId())
 
-    return docs.mapInArrow(run, "kind string, key binary, doc_id long, n long, payload binary, once binary")
+    return docs.mapInArrow(tidy(run), "kind string, key binary, doc_id long, n long, payload binary, once binary")
 
 
 def write_store(docs: DataFrame, tokenizer: str, work: Workspace, text: str = "text", id: str = "doc_id") -> None:
@@ -320,7 +320,7 @@ def write_store(docs: DataFrame, tokenizer: str, work: Workspace, text: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([shard], pa.int64()), pa.array([row], pa.int64()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64()), pa.array([merkle_root(roots)], pa.binary()), pa.nulls(1, pa.binary())], names=["kind", "shard", "row", "doc_id", "n", "key", "payload"])
 
     ranged = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "key")
-    ranged.mapInArrow(shards, "kind string, shard long, row long, doc_id long, n long, key binary, payload binary").write.mode("overwrite").partitionBy("kind").parquet(work.path("index"))
+    ranged.mapInArrow(tidy(shards), "kind string, shard long, row long, doc_id long, n long, key binary, payload binary").write.mode("overwrite").partitionBy("kind").parquet(work.path("index"))
     work.drop("objects/kind=recipe")  # they are in the index now
 
 
@@ -349,7 +349,7 @@ def read_chunks(work: Workspace, wide: bool, with_ids: bool = False) -> DataFram
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), names=["key", "n", "crc"] + ["ids"] * with_ids)
 
-    return stored.mapInArrow(run, "key binary, n long, crc long" + ", ids array<int>" * with_ids)
+    return stored.mapInArrow(tidy(run), "key binary, n long, crc long" + ", ids array<int>" * with_ids)
 
 
 def _recipe_chunks(work: Workspace) -> DataFrame:
@@ -415,7 +415,7 @@ def read_documents(work: Workspace, wide: bool) -> DataFrame:
             crcs = np.bitwise_xor.reduceat(combine_crc(crc, after), bounds[:-1]) if len(sizes) else np.zeros(0, np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.add.reduceat(n, bounds[:-1]) if len(sizes) else n, pa.int64()), pa.array(crcs.astype(np.int64))], names=["shard", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "shard long, row long, doc_id long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), "shard long, row long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(work: Workspace, wide: bool) -> DataFrame:
@@ -434,7 +434,7 @@ def verify_manifests(work: Workspace) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ok)], names=["shard", "documents", "ok"])
 
     manifests = _index(work, "manifest").select("shard", F.col("row").alias("documents"), F.col("key").alias("root"))
-    return listed.join(manifests, "shard", "full").mapInArrow(run, "shard long, documents long, ok boolean")
+    return listed.join(manifests, "shard", "full").mapInArrow(tidy(run), "shard long, documents long, ok boolean")
 
 
 def check_manifests(work: Workspace) -> None:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
+from corvane.llm.kernel import tidy, tidy_group
 from corvane.runtime import Workspace, arrow_rows, ship_package, table
 
 COSINE = 0.9
@@ -73,7 +74,7 @@ def _packed(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pack_vectors(batch.column(1))], names=["vec_id", "packed"])
 
-    return vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).mapInArrow(run, "vec_id long, packed binary")
+    return vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).mapInArrow(tidy(run), "vec_id long, packed binary")
 
 
 def fit_cells(sample: np.ndarray, k: int) -> np.ndarray:
@@ -121,7 +122,7 @@ def _assigned(classes: DataFrame, centres: dict[int, np.ndarray], cosine: float)
                 take = pa.array(at[row])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), length, np.int32)), pa.array(cell.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(home[row].astype(np.int32)), batch.column(3).take(take)], names=["length", "cell", "rep", "weight", "home", "packed"])
 
-    return classes.select("rep", "weight", "length", "packed").mapInArrow(run, "length int, cell int, rep long, weight long, home int, packed binary")
+    return classes.select("rep", "weight", "length", "packed").mapInArrow(tidy(run), "length int, cell int, rep long, weight long, home int, packed binary")
 
 
 def _blocks(assigned: DataFrame, block: int) -> DataFrame:
@@ -171,7 +172,7 @@ def _compare(dealt: DataFrame, cosine: float) -> DataFrame:
         np.minimum.at(least, root, rep)
         return pa.table({"rep": pa.array(rep[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "root": pa.array(least[root[some]], pa.int64())})
 
-    return dealt.groupBy("length", "cell", "l", "r").applyInArrow(run, "rep long, links long, root long")
+    return dealt.groupBy("length", "cell", "l", "r").applyInArrow(tidy_group(run), "rep long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK, label: str = "vectordup") -> DataFrame:
