@@ -6,6 +6,8 @@ last return the columns of documents. Their results are written as Parquet and r
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +55,23 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole times, and once more with the chance of the rest (keyed by the id)."""
+    """Documents as often as the mix takes them: whole times, and once more with the chance of the rest (keyed by the id).
+
+    Documents without an id share what the mix takes of the one that it takes most often.
+    """
     work = Workspace(spark, "stage-mix")
     share = F.col("taken") / F.greatest("size", F.lit(1))
     chance = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    times = mix(docs).groupBy("doc_id").agg(F.max((F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int")).alias("_times")).where("_times > 0")
-    wanted = _sized(times.withColumnRenamed("doc_id", "_id"), work, "times")
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    times = (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int")
+    taken = work.write(mix(docs).groupBy("doc_id").agg(F.max(times).alias("n")).where("n > 0"), "taken")
+    fresh = lambda name: name if name not in docs.columns else fresh(f"{name}_")
+    key, n = fresh("mixed_id"), fresh("mixed_times")
+    wanted = taken.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key), F.col("n").alias(n))
+    nameless = taken.where(F.col("doc_id").isNull()).first()
+    joined = docs.join(_sized(wanted, work, "times"), F.col("doc_id") == F.col(key)).drop(key)
+    if nameless is not None:
+        joined = joined.unionByName(docs.where(F.col("doc_id").isNull()).withColumn(n, F.lit(nameless["n"])))
+    return joined.withColumn(key, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,16 +87,20 @@ STAGES = [
     ("token output", token_stage),
 ]
 
-#: SQL can't express the stages; the tests hold them against brute-force versions.
+#: SQL can't express the stages; tests/llm/test_whole_pipeline.py holds them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
+    """All stages over documents; each result is written and read again.
+
+    A stage's working tables go once its result is written, but for those of the last stage: its store stays.
+    """
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = work.write(stage(spark, docs, sf_dir), f"stage-{i}")
+        with Workspace.scope() if i + 1 < len(STAGES) else nullcontext():
+            docs = work.write(stage(spark, docs, sf_dir), f"stage-{i}")
         if i:
             work.drop(f"stage-{i - 1}")
     return docs

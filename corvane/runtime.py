@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("corvane.local.shared", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="corvane-")
             spark.conf.set("corvane.local.shared", root)
     return root.rstrip("/")
@@ -35,9 +38,25 @@ class Workspace:
     was running, and tables that have been consumed can be dropped to give their space back.
     """
 
+    _opened: list[Workspace] | None = None  # those made within a scope
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        if Workspace._opened is not None:
+            Workspace._opened.append(self)
+
+    @classmethod
+    @contextmanager
+    def scope(cls):
+        """Workspaces made inside are deleted at the end, with all their tables."""
+        before, cls._opened = cls._opened, []
+        try:
+            yield
+            for work in cls._opened:
+                work.drop("")
+        finally:
+            cls._opened = before
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
