@@ -56,12 +56,21 @@ def shortened(text: Column, least: int) -> Column:
     return F.filter(cut, lambda x: F.length(x["key"]) > 0)
 
 
+def may_match(gram: Column) -> Column:
+    """Whether a gram's first letters are those of a term: true for every gram that is a prefix of one, or has one as its prefix."""
+    terms = {t for *_, t, _ in LEXICON}
+    first = lambda n: F.substring(gram, 1, n)
+    return first(4).isin(sorted({t[:n] for t in terms for n in range(1, 5)})) | first(3).isin(sorted(t for t in terms if len(t) == 3)) | first(2).isin(sorted(t for t in terms if len(t) == 2))
+
+
 def match_terms(grams: DataFrame, gram: str = "gram") -> DataFrame:
     """grams joined with the lexicon where the term matches: two equi-joins in one, on shortened forms.
 
     A gram is longer than its term by 0 to 3: a shortened form of it is the term. It is shorter by 1 to
-    3: it is a shortened form of the term. The lexicon is a constant of this module, so it is broadcast.
+    3: it is a shortened form of the term. Either way one is a prefix of the other, so grams that share no
+    first letters with a term are left out before. The lexicon is a constant of this module, so it is broadcast.
     """
+    grams = grams.where(may_match(F.col(gram)))
     lexicon = lexicon_frame(grams.sparkSession)
     full = lexicon.withColumn("lookup", F.col("term")).withColumn("short", F.lit(False))
     short = lexicon.withColumn("x", F.explode(shortened(F.col("term"), 1))).withColumn("lookup", F.col("x.key")).withColumn("short", F.lit(True)).drop("x")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -34,11 +36,17 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(hash: Column, distance: int) -> Column:
-    """distance + 1 band keys of a 64-bit hash: two hashes within the distance share one at least."""
-    n = distance + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("key")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
+BANDS = 4
+
+
+def bands(hash: Column) -> Column:
+    """The 16-bit bands of a 64-bit hash, lowest first."""
+    return F.array(*[F.shiftrightunsigned(hash, 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(BANDS)])
+
+
+def near_masks(reach: int) -> Column:
+    """All differences of two bands of at most so many bits, the smallest first."""
+    return F.array(*[F.lit(sum(1 << b for b in bits)) for n in range(reach + 1) for bits in combinations(range(16), n)])
 
 
 def smoothed_idf(documents: Column, frequency: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.lexicon import match_terms
-from corvane.functions.vector import clamp, dot
+from corvane.functions.vector import clamp
+from corvane.operators.products import best_product
 from corvane.schema import Settings
 
 SATURATION = 2.5
@@ -87,12 +88,9 @@ def cluster_agreement(targets: DataFrame, text: Column, album: str, sample: Data
 
 
 def centroid_evidence(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(file_id, centroid_score): similarity to the nearest centroid of any album, in 0..1.
-
-    Centroids are one row an album; the side is kept in blocks by the planner, not by us.
-    """
-    pairs = vectors.select("file_id", "vector").join(centroids.select("album_id", "centroid"), F.lit(True))
-    return pairs.groupBy("file_id").agg(F.round(clamp(F.max(dot(F.col("vector"), F.col("centroid")))), 6).alias("centroid_score"))
+    """(file_id, centroid_score): similarity to the nearest centroid of any album, in 0..1; no rows without centroids."""
+    best = best_product(vectors, "file_id", "vector", centroids, "centroid")
+    return best.select("file_id", F.round(clamp(F.col("best")), 6).alias("centroid_score"))
 
 
 def decide(files: DataFrame, albums: DataFrame, text: Column, agreement: DataFrame | None = None, centroid: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:

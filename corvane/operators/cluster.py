@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.vector import clamp, dot, normalize
+from corvane.functions.vector import clamp, normalize
 from corvane.operators.classify import predict_category, profiles
+from corvane.operators.products import best_product
 from corvane.runtime import ship_package
 from corvane.schema import Settings
 
@@ -100,8 +101,8 @@ def cluster_names(member_terms: DataFrame, group: str = "cluster", categories=("
 
 def nearest_album(centroids: DataFrame, albums: DataFrame, group: str) -> DataFrame:
     """(group, nearest): the largest similarity to an album's centroid."""
-    pairs = centroids.where(F.col("centroid").isNotNull()).join(albums.select(F.col("centroid").alias("other")), F.lit(True))
-    return pairs.groupBy(group).agg(clamp(F.max(dot(F.col("centroid"), F.col("other")))).alias("nearest"))
+    best = best_product(centroids.where(F.col("centroid").isNotNull()), group, "centroid", albums, "centroid")
+    return best.select(group, clamp(F.col("best")).alias("nearest"))
 
 
 def parent_albums(members: DataFrame, albums: DataFrame, group: str = "cluster") -> DataFrame:

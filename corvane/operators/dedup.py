@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.vector import bands, dot, hamming
+from corvane.functions.vector import BANDS, bands, hamming, near_masks
+from corvane.operators.products import TIE, _matrix
+from corvane.runtime import ship_package
 from corvane.schema import Settings
 
+STEM_BLOCK = 2048
+
 
 def exact_groups(files: DataFrame) -> DataFrame:
     """(sha256_hash, n, representative_file_id) of contents that several live files share."""
@@ -17,15 +23,20 @@ def exact_groups(files: DataFrame) -> DataFrame:
 def hamming_pairs(hashes: DataFrame, distance: int = 10, near: int = 5) -> DataFrame:
     """(file_a, file_b, distance, kind) of hashes within a distance: NEAR or SIMILAR.
 
-    Equal hashes are one class before the join; the join is on bands, of which two hashes within the
-    distance share one at least, so nothing is missed. Pairs are between class representatives.
+    Equal hashes are one class before the join. Two hashes within the distance have a band (of BANDS, 16
+    bits each) in which they are within its BANDS-th part: one side looks up all keys that near, so nothing
+    is missed, and a key holds one of 65,536 hashes. A pair counts in the first band that brings it
+    together. Pairs are between class representatives.
     """
     classes = hashes.where(F.col("phash").isNotNull()).groupBy("phash").agg(F.min("file_id").alias("file_id"))
-    keyed = classes.select("file_id", "phash", F.explode(bands(F.col("phash"), distance)).alias("b"))
-    a = keyed.select(F.col("file_id").alias("file_a"), F.col("phash").alias("pa"), "b")
-    b = keyed.select(F.col("file_id").alias("file_b"), F.col("phash").alias("pb"), "b")
-    pairs = a.join(b, (a.b == b.b) & (F.col("file_a") < F.col("file_b"))).withColumn("distance", hamming(F.col("pa"), F.col("pb")))
-    return pairs.where(F.col("distance") <= distance).select("file_a", "file_b", "distance", F.when(F.col("distance") <= near, "NEAR").otherwise("SIMILAR").alias("kind")).distinct()
+    reach = distance // BANDS
+    a = classes.select(F.col("file_id").alias("file_a"), F.col("phash").alias("pa"), F.posexplode(bands(F.col("phash"))).alias("band", "own"))
+    a = a.select("file_a", "pa", "band", F.explode(F.transform(near_masks(reach), lambda m: m.bitwiseXOR(F.col("own")))).alias("key"))
+    b = classes.select(F.col("file_id").alias("file_b"), F.col("phash").alias("pb"), F.posexplode(bands(F.col("phash"))).alias("band", "key"))
+    pairs = a.join(b, ["band", "key"]).where("file_a < file_b").withColumn("distance", hamming(F.col("pa"), F.col("pb"))).where(F.col("distance") <= distance)
+    meets = F.transform(bands(F.col("pa").bitwiseXOR(F.col("pb"))), lambda x: F.bit_count(x) <= reach)
+    once = pairs.where(F.array_position(meets, True) == F.col("band") + 1)
+    return once.select("file_a", "file_b", "distance", F.when(F.col("distance") <= near, "NEAR").otherwise("SIMILAR").alias("kind"))
 
 
 def name_stem(name):
@@ -35,12 +46,34 @@ def name_stem(name):
 
 
 def version_pairs(files: DataFrame, embeddings: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(file_a, file_b, cosine) of files with the same stem and vectors that are close enough."""
+    """(file_a, file_b, cosine) of files with the same stem and vectors that are close enough.
+
+    A stem's files are dealt to blocks of about STEM_BLOCK, and every pair of blocks is a group of its own,
+    compared by one matrix product; so a stem that very many files have is many bounded tasks.
+    """
+    ship_package(files.sparkSession)
+    floor = settings.version_cosine_threshold
     rows = files.select("file_id", name_stem(F.col("display_name")).alias("stem")).where("stem != ''").join(embeddings.select("file_id", "vector"), "file_id")
-    a = rows.select(F.col("file_id").alias("file_a"), "stem", F.col("vector").alias("va"))
-    b = rows.select(F.col("file_id").alias("file_b"), "stem", F.col("vector").alias("vb"))
-    pairs = a.join(b, "stem").where("file_a < file_b").select("file_a", "file_b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
-    return pairs.where(F.col("cosine") >= settings.version_cosine_threshold)
+    blocks = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stem", F.ceil(F.col("n") / STEM_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("file_id"), F.col("blocks")).cast("int")
+    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("l"), F.greatest(own, o).alias("r"), own.alias("own")))
+    dealt = rows.join(blocks, "stem").select("stem", "file_id", "vector", F.explode(sides).alias("b")).select("stem", "b.l", "b.r", "b.own", "file_id", "vector")
+    found = dealt.groupBy("stem", "l", "r").applyInArrow(lambda t: _close_files(t, floor), "file_a long, file_b long, cosine double")
+    return found.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= floor)
+
+
+def _close_files(t: pa.Table, floor: float) -> pa.Table:
+    """Pairs of one pair of blocks whose products reach the floor (before rounding to six places)."""
+    t = t.combine_chunks()
+    ids, own, left = t.column("file_id").to_numpy(), t.column("own").to_numpy(), t.column("l")[0].as_py()
+    x = _matrix(t.column("vector").chunk(0))
+    rows = np.flatnonzero(own == left)
+    cols = rows if t.column("r")[0].as_py() == left else np.flatnonzero(own != left)
+    score = x[rows] @ x[cols].T
+    a, b = np.nonzero(score >= floor - TIE)
+    i, j, s = ids[rows[a]], ids[cols[b]], score[a, b]
+    keep = i < j if rows is cols else i != j
+    return pa.table({"file_a": np.minimum(i, j)[keep], "file_b": np.maximum(i, j)[keep], "cosine": s[keep]})
 
 
 def group_members(pairs: DataFrame, rounds: int = 64) -> DataFrame:

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.vector import clamp, dot
+from corvane.functions.vector import clamp
+from corvane.operators.products import top_products
 from corvane.operators.reads import ascii_lower
 from corvane.schema import Settings
 
@@ -79,10 +80,10 @@ def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, embeddings: DataFrame, k: int, exclude_self: bool = True, floor: float | None = None) -> DataFrame:
     """(query_id, rank, file_id, score): the k most similar vectors of each query (query_id, vector).
 
-    A stated query set against all rows; the window keeps k rows a query in every task before it shuffles.
+    A stated query set against all rows, in blocks; every batch keeps about k rows a query before they meet.
     """
-    pairs = embeddings.select("file_id", "vector").join(queries.select("query_id", F.col("vector").alias("q")), (F.col("file_id") != F.col("query_id")) if exclude_self else F.lit(True))
-    scored = pairs.select("query_id", "file_id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
+    found = top_products(embeddings, "file_id", "vector", queries, "query_id", "vector", k, exclude_self)
+    scored = found.withColumn("score", F.round("score", 6))
     if floor is not None:
         scored = scored.where(F.col("score") >= floor)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_id")
