@@ -79,6 +79,11 @@ def percent(x: Column) -> Column:
     return F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%"))
 
 
+def first_reasons(said: Column, most: int = 3) -> Column:
+    """The reasons that are shown."""
+    return F.slice(said, 1, most)
+
+
 def reasons(category: Column, terms: Column, evidence: Column, coverage: Column) -> Column:
     """Reason strings: category, up to five matched terms, evidence, and its coverage where it isn't whole."""
     head = F.when(category.isNotNull(), F.array(F.concat(F.lit("Category: "), category))).otherwise(F.array().cast("array<string>"))

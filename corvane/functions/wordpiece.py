@@ -57,6 +57,16 @@ def token_ids(text: str | None, vocabulary: dict[str, int], most: int = MAX_SEQU
     return ids + [vocabulary.get("[PAD]", 0)] * (most - len(ids))
 
 
+def normalised(text: Column) -> Column:
+    """The words of a text, lower-cased and without combining marks."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else words(t))
+
+    return split(text)
+
+
 def wordpiece_ids(df: DataFrame, column: str, vocabulary: dict[str, int], most: int = MAX_SEQUENCE) -> Column:
     """Column of ids; the vocabulary (a fixed file) is broadcast once."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)

@@ -26,6 +26,12 @@ def tree(albums: DataFrame, counts: DataFrame) -> DataFrame:
         out = out.unionByName(level)
 
 
+def by_parent(albums: DataFrame) -> DataFrame:
+    """(parent_album_id, children, names): the albums of each parent, names in order; null for those on top."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("name", "album_id"))), lambda x: x["name"])
+    return albums.groupBy("parent_album_id").agg(F.count(F.lit(1)).alias("children"), names.alias("names"))
+
+
 def seed(albums: DataFrame, now_ms: int) -> DataFrame:
     """Albums with those of all categories; known names stay as they are."""
     spark = albums.sparkSession

@@ -39,10 +39,16 @@ def category_scores(files: DataFrame, text: Column, id: str = "file_id") -> Data
     return summed.select(id, "cat_ord", "category", F.least(F.round(F.col("total") / SATURATION, 6), F.lit(1.0)).alias("score"), "terms")
 
 
+def best_category(scores: DataFrame, id: str = "file_id") -> DataFrame:
+    """(id, category, score, terms): the best score of each, the earliest category on ties."""
+    best = F.max_by(F.struct("category", "score", "terms"), F.struct("score", (-F.col("cat_ord")).alias("o")))
+    return scores.groupBy(id).agg(best.alias("b")).select(id, "b.category", "b.score", "b.terms")
+
+
 def predict_category(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:
     """files with category, keyword_score and matched_terms; the best score wins, the earliest category on ties, null below MIN_CATEGORY."""
-    best = category_scores(files, text, id).groupBy(id).agg(F.max_by(F.struct("category", "score", "terms"), F.struct("score", (-F.col("cat_ord")).alias("o"))).alias("b"))
-    sure = best.where(F.col("b.score") >= MIN_CATEGORY).select(id, F.col("b.category").alias("category"), F.col("b.score").alias("keyword_score"), F.col("b.terms").alias("matched_terms"))
+    best = best_category(category_scores(files, text, id), id).where(F.col("score") >= MIN_CATEGORY)
+    sure = best.select(id, "category", F.col("score").alias("keyword_score"), F.col("terms").alias("matched_terms"))
     return files.join(sure, id, "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
 
 
@@ -74,6 +80,16 @@ def profile_cosines(a: DataFrame, b: DataFrame) -> DataFrame:
     return dots.join(na, "file_id").join(nb, "other_id").select("file_id", "other_id", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
+def sparse_cosines(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(file_id, other_id, cosine) of given pairs of term profiles; 0 where they share no term."""
+    keys = ["file_id", "other_id"]
+    shared = pairs.join(terms, "file_id").join(terms.select(F.col("file_id").alias("other_id"), "term", F.col("tf").alias("other_tf")), ["other_id", "term"])
+    dots = shared.groupBy(keys).agg(F.sum(F.col("tf") * F.col("other_tf")).alias("dot"))
+    length = terms.groupBy("file_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("length"))
+    told = pairs.join(dots, keys, "left").join(length, "file_id", "left").join(length.select(F.col("file_id").alias("other_id"), F.col("length").alias("other_length")), "other_id", "left")
+    return told.select(*keys, F.round(F.when(F.col("dot") > 0, F.col("dot") / (F.col("length") * F.col("other_length"))).otherwise(0.0), 6).alias("cosine"))
+
+
 def cluster_agreement(targets: DataFrame, text: Column, album: str, sample: DataFrame) -> DataFrame:
     """(file_id, similar, agree, agreement) of files with an album in question, against the newest classified files.
 

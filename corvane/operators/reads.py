@@ -45,6 +45,15 @@ def classified_profiles(files: DataFrame, n: int) -> DataFrame:
     return fit.orderBy(F.desc("date_first_indexed"), "file_id").limit(n).select("file_id", "primary_album_id", "extracted_text")
 
 
+def albums_with_centroid(albums: DataFrame) -> DataFrame:
+    return albums.where(F.col("centroid").isNotNull())
+
+
+def page(rows: DataFrame, key: str, size: int, number: int) -> DataFrame:
+    """A page of rows by their key, numbered from 0."""
+    return rows.orderBy(key).offset(size * number).limit(size)
+
+
 def text_sample(files: DataFrame, n: int) -> DataFrame:
     return files.where(F.length("extracted_text") > 0).orderBy(F.desc("date_first_indexed"), "file_id").limit(n).select("file_id", "extracted_text")
 

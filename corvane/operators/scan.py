@@ -52,6 +52,11 @@ def restore_present(files: DataFrame, discovered: DataFrame) -> DataFrame:
     return files.join(present, "uri", "left").withColumn("is_deleted", F.col("is_deleted") & F.col("_there").isNull()).select(files.columns)
 
 
+def remove_folders(folders: DataFrame, gone: DataFrame) -> DataFrame:
+    """Folders without those of gone (folder_uri)."""
+    return folders.join(gone.select("folder_uri"), "folder_uri", "left_anti")
+
+
 def refresh_permissions(folders: DataFrame, granted: DataFrame, now_ms: int) -> DataFrame:
     """Folders after a check of grants: ACTIVE or NEEDS_REGRANT; nothing is removed."""
     told = folders.join(granted.select("folder_uri").distinct().withColumn("_g", F.lit(True)), "folder_uri", "left")

@@ -66,6 +66,11 @@ def match(index: DataFrame, query: str) -> DataFrame:
     return found.distinct() if found is not None else index.select("file_id").limit(0)
 
 
+def matching_files(index: DataFrame, files: DataFrame, query: str) -> DataFrame:
+    """The live files that fit a match query, by their id."""
+    return files.where(~F.col("is_deleted")).join(match(index, query), "file_id", "left_semi").orderBy("file_id")
+
+
 def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, file_id, keyword): share of a query's distinct words that a file holds.
 

@@ -1,15 +1,18 @@
 """Snapshot tables: merges, inserts, updates and deletes as new versions.
 
 There is no table format with row-level changes here, so a change is a new snapshot: untouched rows (an
-anti-join on the key) and changed rows. ``SnapshotTable`` writes one version a change and moves a
-pointer; readers see a whole version.
+anti-join on the key) and changed rows. ``SnapshotTable`` writes one version a change under another name
+and renames it; readers see a whole version.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.runtime import Workspace
 from corvane.schema import KEYS
 
 
@@ -27,6 +30,12 @@ def upsert_assignment(base: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select(*keys, *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("confidence", "assigned_by")], F.coalesce("o.assigned_at", "n.assigned_at").alias("assigned_at"))
 
 
+def append(base: DataFrame, rows: DataFrame, id: str, order: list[str]) -> DataFrame:
+    """Rows are added with the next ids, in the given order."""
+    new = numbered(rows, base, id, order)
+    return base.unionByName(new.select([c for c in new.columns if c in base.columns]), allowMissingColumns=True)
+
+
 def append_new(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key base lacks are added (insert or ignore); the first of repeated keys."""
     return base.unionByName(rows.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti"), allowMissingColumns=True)
@@ -35,9 +44,11 @@ def append_new(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 def numbered(rows: DataFrame, base: DataFrame, id: str, order: list[str]) -> DataFrame:
     """Rows with ids after those of base, in the given order.
 
-    Ranks are prefix sums over range partitions, so no single task gets all rows.
+    Ranks are prefix sums over range partitions, so no single task gets all rows. The partitions are written
+    before they are counted, so both readings see the same ones.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = Workspace(rows.sparkSession, "numbered").write(parts, "ranged")
     ranked = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -51,6 +62,16 @@ def update_where(base: DataFrame, condition: Column, **values) -> DataFrame:
     return base.withColumns(new)
 
 
+def mark_failed(files: DataFrame, failures: DataFrame) -> DataFrame:
+    """Files after failures (file_id, error): FAILED, with the error."""
+    return update_from(files, failures.select("file_id", F.col("error").alias("last_error")), ["file_id"], {"processing_status": "FAILED"})
+
+
+def purge_model(embeddings: DataFrame, model_version: str) -> DataFrame:
+    """Embeddings without those of one model version; rows without a version stay."""
+    return embeddings.where(~F.col("model_version").eqNullSafe(F.lit(model_version)))
+
+
 def update_from(base: DataFrame, changes: DataFrame, keys: list[str], extra: dict | None = None) -> DataFrame:
     """Columns of changes replace those of base rows with the same key; extra: values of further columns of these rows."""
     columns = [c for c in changes.columns if c not in keys]
@@ -90,31 +111,43 @@ def delete_cascade(tables: dict[str, DataFrame], name: str, gone: DataFrame) ->
 
 
 class SnapshotTable:
-    """A table as versions ``v=<n>`` in a folder; the file ``current`` holds the number that counts."""
+    """A table as versions ``v=<n>`` in a folder; the largest one counts.
+
+    A version is written under another name and renamed when it is whole, so a reader or a rerun never sees
+    a part, and of two writers of one version the second fails (where the file system renames at once).
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def version(self) -> int:
-        fs, path = self._fs()
-        if not fs.exists(path):
+        fs, folder = self._at(".")
+        if not fs.exists(folder):
             return 0
-        return int(self.spark.read.text(f"{self.path}/current").first()[0])
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return max((int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()), default=0)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={self.version()}")
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """A new version; the pointer moves when it is whole, so a reader or a rerun never sees a part."""
-        n = self.version() + 1
+        """A new version; its number."""
+        n, part = self.version() + 1, f"writing-{uuid.uuid4().hex}"
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v={n}")
-        fs, path = self._fs()
-        stream = fs.create(path, True)
-        stream.write(bytearray(str(n).encode()))
-        stream.close()
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{part}")
+        fs, source = self._at(part)
+        _, target = self._at(f"v={n}")
+        if fs.exists(target) or not fs.rename(source, target):
+            fs.delete(source, True)
+            raise RuntimeError(f"version {n} of {self.path} was written by another")
         return n
+
+    def keep(self, versions: int) -> None:
+        """Delete all but the newest versions."""
+        for old in range(1, self.version() - versions + 1):
+            fs, path = self._at(f"v={old}")
+            fs.delete(path, True)

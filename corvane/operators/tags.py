@@ -41,6 +41,13 @@ def corpus_tags(tf: DataFrame, df: DataFrame, documents: Column | int, id: str =
     return joined.where((n > 0) & (F.col("idf") >= MIN_IDF)).select(id, F.col("term").alias("tag"), (F.log1p("tf") * F.col("idf")).alias("score"), (F.col("first") + len(LEXICON) * 1000).cast("long").alias("rank"))
 
 
+def best_tags(tags: DataFrame, most: int = MOST_TAGS, id: str = "file_id") -> DataFrame:
+    """(id, rank, tag, score) of (id, tag, score, rank): equal tags once with their best score, the best first, then in order of appearance."""
+    merged = tags.groupBy(id, "tag").agg(F.max("score").alias("score"), F.min("rank").alias("first"))
+    order = Window.partitionBy(id).orderBy(F.desc("score"), "first", "tag")
+    return merged.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(id, "rank", "tag", "score")
+
+
 def extract_tags(files: DataFrame, text: Column, sample: DataFrame, sample_text: Column, most: int = MOST_TAGS, id: str = "file_id") -> DataFrame:
     """(id, rank, tag, score): the best tags of each text; equal tags count once with their best score."""
     tf = term_frequencies(files, text, id)
@@ -48,9 +55,7 @@ def extract_tags(files: DataFrame, text: Column, sample: DataFrame, sample_text:
     by_corpus = corpus_tags(tf.crossJoin(F.broadcast(size)), document_frequencies(sample, sample_text), F.col("corpus"), id)
     dates = files.select(id, F.posexplode(tx.date_tags(text)).alias("pos", "tag")).select(id, "tag", F.lit(DATE_SCORE).alias("score"), (F.col("pos") + (1 << 40)).alias("rank"))
     dates = dates.join(tf.select(id).distinct(), id, "left_semi")  # a text without tokens has no tags
-    merged = lexicon_tags(tf, id).unionByName(by_corpus).unionByName(dates).groupBy(id, "tag").agg(F.max("score").alias("score"), F.min("rank").alias("first"))
-    order = Window.partitionBy(id).orderBy(F.desc("score"), "first", "tag")
-    return merged.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(id, "rank", "tag", "score")
+    return best_tags(lexicon_tags(tf, id).unionByName(by_corpus).unionByName(dates), most, id)
 
 
 def persist_tags(tags: DataFrame, file_tag: DataFrame, extracted: DataFrame, confidence: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.fixtures import Index, with_views
+from corvane.fixtures import Index
 from corvane.functions import lexicon as lx
 from corvane.functions import text as tx
 from corvane.functions import vector as vc
@@ -22,25 +22,9 @@ from corvane.operators import scan as sc
 from corvane.operators import search as se
 from corvane.operators import store as st
 from corvane.operators import tags as tg
+from corvane.plans.registry import NOW, found, query
 from corvane.sources import discovery as di
 
-NOW = 1_705_000_000_000
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, views: str = "") -> Callable:
-    """Register a function of an Index as a query; views: the stand-in tables that the SQL reads."""
-
-    def keep(fn: Callable[[Index], DataFrame]) -> Callable:
-        _QUERIES[name] = lambda spark, sf_dir: fn(Index(spark, sf_dir))
-        if sql is not None:
-            _ORACLES[name] = with_views(sql, *views.split())
-        return fn
-
-    return keep
-
-
 _STOP = "[" + ", ".join(f"'{w}'" for w in lx.STOP_WORDS) + "]"
 _TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9+.#-]'), lambda t: length(t) >= 2 AND NOT list_contains(" + _STOP + ", t))"
 
@@ -152,7 +136,7 @@ query("agg11_document_frequency", f"SELECT term, count(DISTINCT file_id) AS df F
 query("agg12_mean_profile", f"WITH p AS (SELECT f.primary_album_id AS cluster, f.file_id, unnest({_toks('substr(extracted_text, 1, 4000)')}) AS term FROM files f WHERE primary_album_id IS NOT NULL), n AS (SELECT cluster, count(DISTINCT file_id) AS n FROM p GROUP BY 1) SELECT p.cluster, term, round(count(*) / CAST(min(n.n) AS DOUBLE), 6) AS tf FROM p JOIN n ON n.cluster = p.cluster GROUP BY 1, 2", "files")(lambda ix: cu.mean_profile(cl.profiles(ix.files.where("primary_album_id IS NOT NULL"), F.col("extracted_text")).join(ix.files.select("file_id", F.col("primary_album_id").alias("cluster")), "file_id")).select("cluster", "term", F.round("tf", 6).alias("tf")))
 query("agg14_centroids", f"WITH {_CENTROIDS} SELECT album_id, i AS pos, round(centroid[i], 5) + 0.0 AS x FROM ce, range(1, 65) t(i)", "embs file_album")(lambda ix: _album_centroids(ix).select("album_id", F.posexplode("centroid").alias("p", "v")).select("album_id", (F.col("p") + 1).cast("long").alias("pos"), (F.round("v", 5) + F.lit(0.0)).alias("x")))
 query("agg16_cluster_names", f"WITH p AS (SELECT DISTINCT primary_album_id AS cluster, file_id, unnest({_toks('substr(extracted_text, 1, 4000)')}) AS term FROM files WHERE primary_album_id IS NOT NULL), c AS (SELECT cluster, term, count(*) AS n FROM p WHERE length(term) >= 4 AND term NOT IN ('education', 'career', 'finance', 'identity', 'photos', 'uncategorized') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS r FROM c) SELECT cluster, upper(substr(term, 1, 1)) || substr(term, 2) AS name FROM r WHERE r = 1", "files")(lambda ix: cu.cluster_names(cl.profiles(ix.files.where("primary_album_id IS NOT NULL"), F.col("extracted_text")).join(ix.files.select("file_id", F.col("primary_album_id").alias("cluster")), "file_id")))
-query("agg17_ocr_pages", "SELECT doc_id AS file_id, round(avg(c), 6) AS ocr_confidence, count(*) AS pages FROM (SELECT doc_id, i, (doc_id + i) % 10 / 1e1 AS c, CASE WHEN i % 3 = 0 THEN '' ELSE 'p' END AS t FROM documents, range(0, 40) r(i)) x WHERE i < 30 AND length(t) > 0 GROUP BY 1")(lambda ix: ex.page_text(ix.documents.select(F.col("doc_id").alias("file_id"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("page")).select("file_id", "page", F.when(F.col("page") % 3 == 0, "").otherwise("p").alias("text"), ((F.col("file_id") + F.col("page")) % 10 / 10.0).alias("confidence"))).select("file_id", F.round("ocr_confidence", 6).alias("ocr_confidence"), ((F.length("ocr_text") + 1) / 2).cast("long").alias("pages")))
+query("agg17_ocr_pages", "SELECT doc_id AS file_id, round(avg(c), 6) AS ocr_confidence, count(*) AS pages FROM (SELECT doc_id, i, (doc_id + i) % 10 / 1e1 AS c, CASE WHEN i % 3 = 0 THEN '' ELSE 'p' END AS t FROM documents, range(0, 40) r(i)) x WHERE i < 30 AND length(t) > 0 GROUP BY 1")(lambda ix: ex.page_text(ix.documents.select(F.col("doc_id").alias("file_id"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("page")).select("file_id", "page", F.when(F.col("page") % 3 == 0, "").otherwise("p").alias("text"), F.when(F.col("page") % 3 != 0, (F.col("file_id") + F.col("page")) % 10 / 10.0).alias("confidence"))).select("file_id", F.round("ocr_confidence", 6).alias("ocr_confidence"), F.col("recognized").alias("pages")))
 query("agg18_exact_duplicates", "SELECT sha256_hash, count(*) AS n, min(file_id) AS representative_file_id FROM files WHERE NOT is_deleted GROUP BY 1 HAVING count(*) > 1", "files")(lambda ix: dd.exact_groups(ix.files))
 query("agg19_agreement", f"WITH {_PROFILES}, tg AS (SELECT file_id, 100 + file_id % 25 AS wanted FROM files) SELECT cs.file_id, count(*) AS similar, count(*) FILTER (sm.primary_album_id = tg.wanted) AS agree, round(count(*) FILTER (sm.primary_album_id = tg.wanted) / CAST(count(*) AS DOUBLE), 6) AS agreement FROM cs JOIN sm ON sm.file_id = cs.other_id JOIN tg ON tg.file_id = cs.file_id WHERE cosine >= 0.4 GROUP BY 1", "files")(lambda ix: cl.cluster_agreement(ix.files.withColumn("wanted", 100 + F.col("file_id") % 25), F.col("extracted_text"), "wanted", rd.classified_profiles(ix.files, 40)))
 
@@ -263,8 +247,8 @@ def _drained(ix: Index) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return found()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return found()[1]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.runtime import ship_package
+
 MAX_BYTES = 512 * 1024 * 1024
 DISCOVERED = ["uri", "display_name", "mime_type", "size_bytes", "date_modified_source"]
 
@@ -59,6 +62,27 @@ def accessible(folders: DataFrame, grants: DataFrame) -> DataFrame:
 
 
 def subsample(width: Column, height: Column, most: int = 1024) -> Column:
-    """Power of two by which an image is sampled so that its longer side fits."""
+    """Smallest power of two by which an image's longer side, divided in whole numbers, fits; null for an image without a side."""
     longer = F.greatest(width, height)
-    return F.when(longer <= most, 1).otherwise(F.pow(F.lit(2), F.ceil(F.log2(longer / most)))).cast("int")
+    power = F.pow(F.lit(2), F.ceil(F.log2((longer + 1) / (most + 1))))
+    return F.when((width > 0) & (height > 0), F.when(longer <= most, 1).otherwise(power)).cast("int")
+
+
+def read_images(spark: SparkSession, root: str, bounds, pixels, most: int = 1024) -> DataFrame:
+    """(uri, width, height, sample, rgb) of the images below a folder.
+
+    bounds: content -> (width, height) or None; pixels: (content, sample) -> list of (r, g, b) or None. They
+    are the seam for an image library, and run on executors over one Arrow batch of contents at a time.
+    """
+    ship_package(spark)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+
+    def measure(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([bounds(bytes(c)) or (None, None) for c in contents], columns=["width", "height"])
+
+    def decode(contents: pd.Series, samples: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or s != s else pixels(bytes(c), int(s)) for c, s in zip(contents, samples)])
+
+    sized = found.withColumn("b", F.pandas_udf(measure, "width int, height int")("content")).select("path", "content", "b.width", "b.height")
+    sampled = sized.withColumn("sample", subsample(F.col("width"), F.col("height"), most))
+    return sampled.select(F.col("path").alias("uri"), "width", "height", "sample", F.pandas_udf(decode, "array<struct<r:int,g:int,b:int>>")("content", "sample").alias("rgb"))
