@@ -41,7 +41,7 @@ SHARD_SLOTS = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_REPEAT = 2
-BUCKET_ROWS = 16384
+BUCKET_ROWS = 4096
 CHUNK_SLOTS = 8192
 TASK_SLOTS = 65536
 RANGE_SHARDS = 1024

@@ -41,6 +41,7 @@ HASHES = 2 * GROUPS * ROWS
 BINS = 512
 ERRORS = 5.0  # standard errors below the similarity asked for at which a sketch drops a pair
 BLOCK = 512
+DEALT = 2048  # members of a bucket that are compared in one group, at most about twice
 SMALL = 1_000_000  # rows of four numbers that may be broadcast
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,7 +138,7 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.mapInArrow(tidy(run), "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, text: str = "text", id: str = "doc_id", width: int = WIDTH, spread: int = 256) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, text: str = "text", id: str = "doc_id", width: int = WIDTH, spread: int = 64) -> DataFrame:
     """The pairs (a, b) that reach the similarity on full sets, computed from the texts.
 
     Each centre a comes once for every salt of its members and its members follow it in one sorted
@@ -178,25 +179,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, text:
 
 
 def _cross_pairs(mixed: DataFrame) -> DataFrame:
-    """Hopeful pairs of different components within a bucket: (key, table, rep, label, n_shingles, sig, sketch) -> (a, b)."""
+    """Hopeful pairs of different components within a bucket: (key, table, n, rep, label, n_shingles, sig, sketch) -> (a, b).
+
+    n: members of the bucket. A bucket is dealt to blocks of about ``DEALT`` members, and every pair of
+    blocks is a group of its own, so a bucket of any size is many bounded tasks.
+    """
+    blocks = F.ceil(F.col("n") / DEALT).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("l"), F.greatest(own, o).alias("r"), own.alias("own")))
+    dealt = mixed.withColumn("b", F.explode(sides)).select("key", "b.l", "b.r", "b.own", "table", "rep", "label", "n_shingles", "sig", "sketch")
 
     def run(t: pa.Table) -> pa.Table:
-        rep, label, n, at = (t.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "table"))
+        rep, label, n, at, own = (t.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "table", "own"))
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, 2 * GROUPS, ROWS)
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
         u, v = divmod(int(at[0]), GROUPS)
+        one = t.column("l")[0].as_py() == t.column("r")[0].as_py()
+        left = np.flatnonzero(own == t.column("l")[0].as_py())
+        right = left if one else np.flatnonzero(own == t.column("r")[0].as_py())
         a, b = [], []
-        for first in range(0, len(rep), BLOCK):
-            rows = slice(first, first + BLOCK)
-            for second in range(first, len(rep), BLOCK):
-                cols = slice(second, second + BLOCK)
+        for first in range(0, len(left), BLOCK):
+            rows = left[first : first + BLOCK]
+            for second in range(first if one else 0, len(right), BLOCK):
+                cols = right[second : second + BLOCK]
                 ok = label[rows, None] != label[None, cols]
-                if second == first:
+                if one and second == first:
                     ok = np.triu(ok, 1)
                 ok &= (n[rows, None] * 100 >= n[None, cols] * PERCENT) & (n[None, cols] * 100 >= n[rows, None] * PERCENT)
                 x, y = np.nonzero(ok)
                 for start in range(0, len(x), 32768):
-                    i, j = first + x[start : start + 32768], second + y[start : start + 32768]
+                    i, j = rows[x[start : start + 32768]], cols[y[start : start + 32768]]
                     same = (sig[i] == sig[j]).all(axis=2)
                     here = (same[:, :GROUPS].argmax(axis=1) == u) & (same[:, GROUPS:].argmax(axis=1) == v)  # else it meets in an earlier table
                     i, j = i[here], j[here]
@@ -206,7 +218,7 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
         a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return mixed.groupBy("key").applyInArrow(tidy_group(run), "a long, b long").distinct()
+    return dealt.groupBy("key", "l", "r").applyInArrow(tidy_group(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", label: str = "neardup") -> DataFrame:
@@ -227,9 +239,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lab
     pairs = met.join(hub, "key").where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     first = work.write(confirm(work.write(_close(pairs, classes), "pairs"), docs, work, "first", text, id), "links")
     labels = work.write(connected_components(first, work, "early"), "labels")
-    labelled = met.join(labels, F.col("rep") == F.col("id"), "left").where("n > 2").select("key", "table", "rep", F.coalesce("component", "rep").alias("label"))  # a pair has met its hub
+    labelled = met.join(labels, F.col("rep") == F.col("id"), "left").where("n > 2").select("key", "table", "n", "rep", F.coalesce("component", "rep").alias("label"))  # a pair has met its hub
     mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    mixed = labelled.join(mixed_keys, "key").join(classes, "rep").select("key", "table", "rep", "label", "n_shingles", "sig", "sketch")
+    mixed = labelled.join(mixed_keys, "key").join(classes, "rep").select("key", "table", "n", "rep", "label", "n_shingles", "sig", "sketch")
     tried = work.read("pairs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = work.write(_cross_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "cross")
     work.drop("met")
