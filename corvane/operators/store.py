@@ -146,8 +146,63 @@ class SnapshotTable:
             raise RuntimeError(f"version {n} of {self.path} was written by another")
         return n
 
+    def merge(self, rows: DataFrame, keys: list[str]) -> int:
+        """A new version in which rows replace those of the same key, or are added."""
+        return self.write(upsert(self.read(), rows, keys))
+
     def keep(self, versions: int) -> None:
         """Delete all but the newest versions."""
         for old in range(1, self.version() - versions + 1):
             fs, path = self._at(f"v={old}")
             fs.delete(path, True)
+
+
+class ChangeTable(SnapshotTable):
+    """A table whose changes cost what they hold: versions are changed rows, and reading takes the newest row of each key.
+
+    ``compact`` writes the whole table as one version and forgets those before, when there are many.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        super().__init__(spark, path)
+        self.keys = keys
+
+    def _whole(self) -> int:
+        """The newest version that is a whole table; 0 without one."""
+        fs, folder = self._at(".")
+        if not fs.exists(folder):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return max((int(n[6:]) for n in names if n.startswith("whole-")), default=0)
+
+    def read(self) -> DataFrame:
+        first, last = self._whole(), self.version()
+        paths = [f"{self.path}/v={n}" for n in range(max(first, 1), last + 1)]
+        rows = None
+        for n, path in enumerate(paths):
+            part = self.spark.read.parquet(path).withColumn("_version", F.lit(n))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        if len(paths) == 1:
+            return rows.drop("_version")
+        columns = [c for c in rows.columns if c != "_version"]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "_version").alias("_row"))
+        return newest.select("_row.*")
+
+    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
+        """The whole table, as a new version."""
+        n = super().write(df, partition_by)
+        fs, mark = self._at(f"whole-{n}")
+        fs.create(mark, True).close()
+        return n
+
+    def merge(self, rows: DataFrame, keys: list[str] | None = None) -> int:
+        """Changed and new rows, as a new version."""
+        return super().write(rows)
+
+    def compact(self, most: int = 64) -> None:
+        """Write the table anew if it has more than so many versions of changes."""
+        if self.version() - self._whole() > most:
+            last = self.write(self.read())
+            for old in range(1, last):
+                fs, path = self._at(f"v={old}")
+                fs.delete(path, True)

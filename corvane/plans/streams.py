@@ -1 +1,142 @@
-"""x"""
+"""Registered streaming queries: each runs its stream over all there is, and returns what a reader finds then."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.fixtures import Index
+from corvane.operators.store import ChangeTable, SnapshotTable
+from corvane.plans.registry import NOW, query
+from corvane.runtime import Workspace
+from corvane.streaming import jobs as jb
+
+
+def _streamed(ix: Index, rows: DataFrame, work: Workspace, name: str, files: int = 1) -> DataFrame:
+    """Rows as a stream of a few files, one micro-batch each."""
+    rows.repartition(files).write.parquet(work.path(name))
+    return ix.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(work.path(name))
+
+
+@query("str01_live_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _live(ix: Index) -> DataFrame:
+    """Counts that are given anew after every change: the last ones are those of all rows."""
+    work, name = Workspace(ix.spark, "live"), f"live_{uuid.uuid4().hex}"
+    jb.live_counts(_streamed(ix, ix.events, work, "in", 3), "event_type", name, work.path("checkpoint")).awaitTermination()
+    return work.write(ix.spark.table(name), "out")
+
+
+@query(
+    "str02_scan",
+    """SELECT uri, display_name, CASE WHEN file_id % 11 <> 0 AND file_id % 10 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, processing_status FROM files
+       UNION ALL SELECT uri || '/new', 'new_' || display_name, size_bytes, 'DISCOVERED' FROM files WHERE file_id % 13 = 0""",
+    "files",
+)
+def _scan(ix: Index) -> DataFrame:
+    """A scan in three micro-batches, and a second one that finds nothing new."""
+    work = Workspace(ix.spark, "scan")
+    files = ChangeTable(ix.spark, work.path("files"), ["file_id"])
+    files.write(ix.files)
+    for again in ("first", "second"):
+        jb.scan_stream(_streamed(ix, ix.discovered, work, again, 3), files, work.path(f"checkpoint-{again}"), lambda: NOW).awaitTermination()
+    return files.read().select("uri", "display_name", "size_bytes", "processing_status")
+
+
+@query("str03_validation", f"SELECT folder_uri, CASE WHEN folder_uri LIKE '%A' THEN 'ACTIVE' ELSE 'NEEDS_REGRANT' END AS permission_state, {NOW} AS last_validated_at FROM folders", "folders")
+def _validation(ix: Index) -> DataFrame:
+    work = Workspace(ix.spark, "validation")
+    folders = SnapshotTable(ix.spark, work.path("folders"))
+    folders.write(ix.folders)
+    ticks = _streamed(ix, ix.spark.range(1), work, "ticks")
+    jb.validation_stream(ticks, folders, lambda: ix.folders.where("folder_uri LIKE '%A'"), work.path("checkpoint"), lambda: NOW).awaitTermination()
+    return folders.read().select("folder_uri", "permission_state", "last_validated_at")
+
+
+_KIND = "CASE event_id % 7 WHEN 0 THEN 'RESET' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'FAIL' WHEN 3 THEN 'FAIL' WHEN 4 THEN 'START' ELSE 'DONE' END"
+
+
+@query(
+    "str04_item_states",
+    f"""WITH e AS (SELECT event_id * 5 % 61 AS queue_id, {_KIND} AS kind, ts + to_milliseconds(event_id % 1000) AS ts, event_id FROM events WHERE event_id % 3 = 0),
+         o AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY ts, kind) AS seq, sum(CASE WHEN kind = 'RESET' THEN 1 ELSE 0 END) OVER (PARTITION BY queue_id ORDER BY ts, kind ROWS UNBOUNDED PRECEDING) AS era FROM e),
+         r AS (SELECT *, sum(CASE WHEN kind = 'FAIL' THEN 1 ELSE 0 END) OVER (PARTITION BY queue_id, era ORDER BY seq ROWS UNBOUNDED PRECEDING) AS retries FROM o),
+         l AS (SELECT queue_id, max_by(kind, seq) AS kind, max(seq) AS seq, max_by(retries, seq) AS retries, max_by(era, seq) AS era FROM r GROUP BY 1),
+         u AS (SELECT l.queue_id, max_by(epoch_us(r.ts) // 1000 + 15000 * CAST(pow(2, least(r.retries - 1, 4)) AS BIGINT), r.seq) AS until FROM l JOIN r ON r.queue_id = l.queue_id AND r.era = l.era AND r.kind = 'FAIL' GROUP BY 1),
+         f AS (SELECT l.*, coalesce(u.until, 0) AS until, l.kind = 'FAIL' AND l.retries < 3 AND u.until <= (SELECT max(epoch_us(ts) // 1000) FROM e) AS back FROM l LEFT JOIN u ON u.queue_id = l.queue_id)
+       SELECT queue_id, CASE WHEN back THEN 'PENDING' ELSE CASE kind WHEN 'FAIL' THEN 'FAILED' WHEN 'RESET' THEN 'PENDING' WHEN 'START' THEN 'IN_PROGRESS' ELSE 'DONE' END END AS status, CAST(retries AS INT) AS retry_count, CAST(until AS BIGINT) AS next_eligible_at FROM f""",
+)
+def _items(ix: Index) -> DataFrame:
+    """The newest state of every item, after its last event and after the waits that event time has passed."""
+    work = Workspace(ix.spark, "items")
+    kind = F.expr(_KIND)
+    at = F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + F.col("event_id") % 1000)
+    rows = ix.events.where("event_id % 3 = 0").select((F.col("event_id") * 5 % 61).alias("queue_id"), kind.alias("kind"), at.alias("at"))
+    states = jb.item_states(_streamed(ix, rows, work, "in"))
+    run = states.writeStream.outputMode("append").format("parquet").option("path", work.path("out")).option("checkpointLocation", work.path("checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = ix.spark.read.parquet(work.path("out")).groupBy("queue_id").agg(F.max_by(F.struct("status", "retry_count", "next_eligible_at"), "seq").alias("x"))
+    return last.select("queue_id", "x.*")
+
+
+@query("str05_cached_frame", "SELECT 'within' AS asked, count(*) AS n FROM nation UNION ALL SELECT 'after', count(*) + 5 FROM nation")
+def _cached(ix: Index) -> DataFrame:
+    """A frame made once is given again within its time to live, and made anew after."""
+    now, frames = [0.0], [ix.nation.select("n_name"), ix.nation.select("n_name").unionByName(ix.region.select(F.col("r_name").alias("n_name")))]
+    cached = jb.CachedFrame(lambda: frames[int(now[0] >= 300)], clock=lambda: now[0])
+    counts = []
+    for asked, at in (("first", 0.0), ("within", 299.0), ("after", 300.0)):
+        now[0] = at
+        counts.append((asked, cached.get().count()))
+    return ix.spark.createDataFrame(counts[1:], "asked string, n long")
+
+
+@query("str06_throttle", "SELECT n_nationkey AS at_minute, n_nationkey % 10 = 0 AS ready FROM nation")
+def _throttled(ix: Index) -> DataFrame:
+    """Asked every minute, a sweep goes through every ten."""
+    now = [0.0]
+    throttle, said = jb.Throttle(clock=lambda: now[0]), []
+    for minute in sorted(r["n_nationkey"] for r in ix.nation.select("n_nationkey").collect()):
+        now[0] = minute * 60.0
+        said.append((minute, throttle.ready()))
+    return ix.spark.createDataFrame(said, "at_minute int, ready boolean")
+
+
+@query(
+    "str07_resume",
+    f"""WITH d AS (SELECT *, (status = 'PENDING' OR (status = 'FAILED' AND retry_count < 3)) AND next_eligible_at <= {NOW} AS due FROM queue)
+        SELECT queue_id, CASE WHEN due THEN 'DONE' ELSE status END AS status, retry_count FROM d""",
+    "queue",
+)
+def _resumed(ix: Index) -> DataFrame:
+    """A worker that dies in its first micro-batch, after files were written; the restarted one does the rest, and nothing twice."""
+    work = Workspace(ix.spark, "resume")
+    queue, files = ChangeTable(ix.spark, work.path("queue"), ["queue_id"]), ChangeTable(ix.spark, work.path("files"), ["file_id"])
+    queue.write(ix.queue)
+    files.write(ix.files)
+    ok = lambda due: due.select("file_id", F.lit(True).alias("ok"))
+
+    class Dying(ChangeTable):
+        def merge(self, rows, keys=None):
+            raise RuntimeError("killed")
+
+    for table in (Dying(ix.spark, work.path("queue"), ["queue_id"]), queue, queue):
+        ticks = ix.spark.range(1)
+        stream = _streamed(ix, ticks, work, "ticks") if table is not queue else ix.spark.readStream.schema(ticks.schema).parquet(work.path("ticks"))
+        run = jb.queue_stream(stream, table, files, {2: ok, 3: ok, 4: ok}, work.path("checkpoint"), lambda: NOW)
+        try:
+            run.awaitTermination()
+        except Exception as error:
+            if "killed" not in str(error):
+                raise
+    return queue.read().select("queue_id", "status", "retry_count")
+
+
+@query("str08_new_uris", "SELECT DISTINCT url AS uri FROM pages")
+def _fresh(ix: Index) -> DataFrame:
+    """Each URI once, over four micro-batches in which every one comes twice."""
+    work = Workspace(ix.spark, "fresh")
+    stream = jb.new_uris(_streamed(ix, ix.media.select("uri"), work, "in", 4))
+    stream.writeStream.format("parquet").option("path", work.path("out")).option("checkpointLocation", work.path("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return ix.spark.read.parquet(work.path("out"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.queue import drain
-from corvane.operators.scan import sync_scan
+from corvane.operators.queue import MAX_RETRIES, drain, eligible
+from corvane.operators.scan import refresh_permissions, sync_scan
 from corvane.operators.store import SnapshotTable
 
 SCAN_INTERVAL = "4 hours"
 VALIDATION_INTERVAL = "24 hours"
 SWEEP_THROTTLE_S = 600
 CORPUS_TTL_S = 300
+FIRST_WAIT_MS = 15_000
 
 
 def trigger(once: bool, interval: str) -> dict:
@@ -29,7 +31,10 @@ def new_uris(discovered: DataFrame) -> DataFrame:
 
 
 def scan_stream(discovered: DataFrame, files: SnapshotTable, checkpoint: str, now_ms: Callable[[], int], once: bool = True, on_change: Callable[[DataFrame], None] | None = None):
-    """Sync every micro-batch of discovered files into the index; a batch that is run again finds nothing to do."""
+    """Sync every micro-batch of discovered files into the index; a batch that is run again finds nothing to do.
+
+    Only new and changed files are written (as one version of the table).
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if df.isEmpty():
@@ -37,7 +42,7 @@ def scan_stream(discovered: DataFrame, files: SnapshotTable, checkpoint: str, no
         merged, touched = sync_scan(df, files.read(), now_ms())
         changed = touched.persist()
         if not changed.isEmpty():
-            files.write(merged)
+            files.merge(merged.join(changed.select("file_id"), "file_id", "left_semi"), ["file_id"])
             if on_change is not None:
                 on_change(changed)
         changed.unpersist()
@@ -46,16 +51,73 @@ def scan_stream(discovered: DataFrame, files: SnapshotTable, checkpoint: str, no
 
 
 def queue_stream(ticks: DataFrame, queue: SnapshotTable, files: SnapshotTable, stages: dict[int, Callable], checkpoint: str, now_ms: Callable[[], int], once: bool = True):
-    """Drain the queue once for every micro-batch of ticks; state is in the tables, so a restart goes on where it was."""
+    """Drain the queue once for every micro-batch of ticks; state is in the tables, so a restart goes on where it was.
+
+    Files are written before the queue: after a crash in between, items run again on files that have their
+    results already, which gives the same rows. Only items that were due, and their files, are written.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        items, rows = drain(queue.read(), files.read(), stages, now_ms())
-        files.write(rows)
-        queue.write(items)
+        now = now_ms()
+        before = queue.read()
+        due = eligible(before, now).select("queue_id", "file_id").persist()
+        if not due.isEmpty():
+            items, rows = drain(before, files.read(), stages, now)
+            files.merge(rows.join(due.select("file_id").distinct(), "file_id", "left_semi"), ["file_id"])
+            queue.merge(items.join(due.select("queue_id"), "queue_id", "left_semi"), ["queue_id"])
+        due.unpersist()
 
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger(once, "1 minute")).start()
 
 
+def validation_stream(ticks: DataFrame, folders: SnapshotTable, granted: Callable[[], DataFrame], checkpoint: str, now_ms: Callable[[], int], once: bool = True):
+    """Check the permissions of all folders once for every micro-batch of ticks, every day."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        folders.merge(refresh_permissions(folders.read(), granted(), now_ms()), ["folder_uri"])
+
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger(once, VALIDATION_INTERVAL)).start()
+
+
+ITEM_STATE = "status string, retry_count int, next_eligible_at long, seq long"
+ITEM_ROWS = "queue_id long, seq long, status string, retry_count int, next_eligible_at long"
+
+
+def item_states(events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+    """The queue as keyed state: (queue_id, seq, status, retry_count, next_eligible_at) after every change of an item.
+
+    events: a stream (queue_id, kind, at timestamp) of kinds RESET, START, DONE and FAIL. A failed item with
+    retries left waits in its state; when event time passes its next time, it is PENDING again. Rows of
+    an item are numbered by seq. State is one row an item, in the checkpoint.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        status, retries, until, seq = state.get if state.exists else ("PENDING", 0, 0, 0)
+        out = []
+        if state.hasTimedOut:
+            status, seq = "PENDING", seq + 1
+            out.append((key[0], seq, status, retries, until))
+        else:
+            rows = pd.concat(list(frames)).sort_values(["at", "kind"])
+            for kind, at in zip(rows["kind"], rows["at"]):
+                if kind == "RESET":
+                    status, retries, until = "PENDING", 0, 0
+                elif kind == "FAIL":
+                    status, until, retries = "FAILED", int(at.value // 1_000_000) + (FIRST_WAIT_MS << min(retries, 4)), retries + 1
+                else:
+                    status = "IN_PROGRESS" if kind == "START" else "DONE"
+                seq += 1
+            out.append((key[0], seq, status, retries, until))
+        state.update((status, retries, until, seq))
+        if status == "FAILED" and retries < MAX_RETRIES:
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["queue_id", "seq", "status", "retry_count", "next_eligible_at"])
+
+    timed = events.withWatermark("at", watermark).groupBy("queue_id")
+    return timed.applyInPandasWithState(step, ITEM_ROWS, ITEM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def live_counts(stream: DataFrame, key: str, name: str, checkpoint: str):
     """Counts by key, given anew as a whole after every change."""
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
