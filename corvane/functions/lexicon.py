@@ -14,24 +14,45 @@ regards etc na n/a page pages figure fig table section appendix index content su
 tuesday wednesday thursday friday saturday sunday january february september october november december
 """.split()
 
-# Keywords of each category with their weights (1 where none is given).
-_LEXICON = {
-    "Education": "course:1.2, lecture, syllabus:1.2, syllabi, assignment, homework, exam, quiz, textbook, notes, handout, lab, thesis:1.2, dissertation, university:1.5, college:1.5, school, study, student:1.2, professor, degree:1.2, semester, grade, transcript:1.2, tutorial, worksheet, curriculum, module, lesson, scholarship:1.2, fellowship",
-    "Career": "resume:1.5, cv:1.4, curriculum, job:1.2, career, offer letter:1.3, interview, salary, payroll:1.5, benefits, onboarding, training, performance review:1.2, appraisal, offer, employment:1.2, employee, referral, portfolio, nondisclosure:1.2, nda, professional, recruit, hire",
-    "Finance": "invoice:1.5, receipt:1.5, tax:1.3, bank statement:1.3, mortgage, loan:1.2, credit, debit, balance, payment:1.2, billing, bill:1.2, salary slip:1.3, pay stub:1.3, financial:1.2, finance, budget, investment:1.2, stock, shares, mutual fund:1.2, insurance:1.2, premium, return filing:1.2, gst:1.2, vat, income, expense:1.2, transaction, interest, reimbursement:1.2, claim",
-    "Identity": "passport:1.5, aadhaar:1.5, pan card:1.5, license:1.3, driver, voter, visa:1.3, certificate:1.2, birth, citizenship, national identity:1.3, identity, identification, ration card:1.3, social security:1.3, abn:1.3, tfn:1.3, sin:1.3",
-    "Photos": "",
-    "Uncategorized": "",
+# Keywords of each category with their weights.
+_LEXICON: dict[str, list[tuple[str, float]]] = {
+    "Education": [
+        ("course", 1.2), ("lecture", 1.0), ("syllabus", 1.2), ("syllabi", 1.0), ("assignment", 1.0), ("homework", 1.0),
+        ("exam", 1.0), ("quiz", 1.0), ("textbook", 1.0), ("notes", 1.0), ("handout", 1.0), ("lab", 1.0),
+        ("thesis", 1.2), ("dissertation", 1.0), ("university", 1.5), ("college", 1.5), ("school", 1.0), ("study", 1.0),
+        ("student", 1.2), ("professor", 1.0), ("degree", 1.2), ("semester", 1.0), ("grade", 1.0), ("transcript", 1.2),
+        ("tutorial", 1.0), ("worksheet", 1.0), ("curriculum", 1.0), ("module", 1.0), ("lesson", 1.0),
+        ("scholarship", 1.2), ("fellowship", 1.0),
+    ],
+    "Career": [
+        ("resume", 1.5), ("cv", 1.4), ("curriculum", 1.0), ("job", 1.2), ("career", 1.0), ("offer letter", 1.3),
+        ("interview", 1.0), ("salary", 1.0), ("payroll", 1.5), ("benefits", 1.0), ("onboarding", 1.0),
+        ("training", 1.0), ("performance review", 1.2), ("appraisal", 1.0), ("offer", 1.0), ("employment", 1.2),
+        ("employee", 1.0), ("referral", 1.0), ("portfolio", 1.0), ("nondisclosure", 1.2), ("nda", 1.0),
+        ("professional", 1.0), ("recruit", 1.0), ("hire", 1.0),
+    ],
+    "Finance": [
+        ("invoice", 1.5), ("receipt", 1.5), ("tax", 1.3), ("bank statement", 1.3), ("mortgage", 1.0), ("loan", 1.2),
+        ("credit", 1.0), ("debit", 1.0), ("balance", 1.0), ("payment", 1.2), ("billing", 1.0), ("bill", 1.2),
+        ("salary slip", 1.3), ("pay stub", 1.3), ("financial", 1.2), ("finance", 1.0), ("budget", 1.0),
+        ("investment", 1.2), ("stock", 1.0), ("shares", 1.0), ("mutual fund", 1.2), ("insurance", 1.2),
+        ("premium", 1.0), ("return filing", 1.2), ("gst", 1.2), ("vat", 1.0), ("income", 1.0), ("expense", 1.2),
+        ("transaction", 1.0), ("interest", 1.0), ("reimbursement", 1.2), ("claim", 1.0),
+    ],
+    "Identity": [
+        ("passport", 1.5), ("aadhaar", 1.5), ("pan card", 1.5), ("license", 1.3), ("driver", 1.0), ("voter", 1.0),
+        ("visa", 1.3), ("certificate", 1.2), ("birth", 1.0), ("citizenship", 1.0), ("national identity", 1.3),
+        ("identity", 1.0), ("identification", 1.0), ("ration card", 1.3), ("social security", 1.3), ("abn", 1.3),
+        ("tfn", 1.3), ("sin", 1.3),
+    ],
+    "Photos": [],
+    "Uncategorized": [],
 }
 CATEGORIES = list(_LEXICON)
 MAX_SUFFIX = 3
 
 #: (category order, category, term order, term, weight)
-LEXICON = [
-    (c, name, t, entry.partition(":")[0], float(entry.partition(":")[2] or 1))
-    for c, (name, words) in enumerate(_LEXICON.items())
-    for t, entry in enumerate(w.strip() for w in words.split(",") if w.strip())
-]
+LEXICON = [(c, name, t, term, weight) for c, (name, words) in enumerate(_LEXICON.items()) for t, (term, weight) in enumerate(words)]
 
 
 def lexicon_frame(spark: SparkSession) -> DataFrame:

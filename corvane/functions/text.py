@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions.lexicon import STOP_WORDS
 
+# What parts tokens, and the patterns of dates and years.
 TOKEN_SPLIT = "[^a-z0-9+.#-]"
+ISO_DATE = r"\b((?:19|20)\d{2}[-/.]\d{1,2}[-/.]\d{1,2})\b"
+US_DATE = r"\b(\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d{2})\b"
+YEAR = r"\b((?:19|20)\d{2})\b"
 
 
 def tokens(text: Column) -> Column:
@@ -22,13 +26,13 @@ def bigrams(toks: Column) -> Column:
 
 def iso_date_tags(text: Column) -> Column:
     """date:yyyy-m-d for every span of the kind yyyy-m-d, yyyy/m/d or yyyy.m.d of the years 19xx and 20xx."""
-    spans = F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2}[-/.]\d{1,2}[-/.]\d{1,2})\b"), F.lit(1))
+    spans = F.regexp_extract_all(text, F.lit(ISO_DATE), F.lit(1))
     return F.transform(spans, lambda s: F.concat(F.lit("date:"), F.translate(s, "/.", "--")))
 
 
 def us_date_tags(text: Column) -> Column:
     """date:yyyy-mm-dd for every span month, day, year; no check of ranges."""
-    spans = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d{2})\b"), F.lit(1))
+    spans = F.regexp_extract_all(text, F.lit(US_DATE), F.lit(1))
 
     def tag(span: Column) -> Column:
         part = F.split(span, "[-/.]")
@@ -39,7 +43,7 @@ def us_date_tags(text: Column) -> Column:
 
 def year_tags(text: Column) -> Column:
     """year:yyyy for every year 19xx or 20xx, those within dates too."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: F.concat(F.lit("year:"), y))
+    return F.transform(F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)), lambda y: F.concat(F.lit("year:"), y))
 
 
 def date_tags(text: Column) -> Column:
