@@ -9,6 +9,9 @@ The class model is log-bilinear: a prediction r = C1 R[w-1] + C2 R[w-2] from vec
 classes, scored by r . Q[class] + b[class]. It is trained in numpy by noise-contrastive estimation with
 the class frequencies as noise, on the counts of all (context, context, class) triples of all training
 texts. Batched matrix products give its scores and exact normalisers for all pairs of contexts at once.
+A step draws ``BATCH`` triples in proportion to their counts; there are ``STEPS`` steps up to ``UNIT``
+training tokens, and beyond that as many more as the cube root of the tokens. The model's own size (classes
+and contexts) is fixed: what grows with the corpus are the counts of words and triples and the steps.
 
 Learning texts: crc32(id as text) mod 10 is not 0. Cases: null text counts as empty (its end alone is
 scored); null ids count as the empty text for the split; repeated rows are scored alike (each is
@@ -39,6 +42,8 @@ END = CLASSES - 1
 CONTEXT_OWN = 31
 CONTEXTS = 64  # 0: nothing before, then frequent words, then last letters
 FLUSH = 4_000_000
+STEPS, BATCH = 1500, 2048
+UNIT = 8_000_000  # training tokens that STEPS are for
 
 
 def _letters(data, starts, ends):
@@ -140,6 +145,10 @@ def triple_counts(docs: DataFrame, vocabulary: _Vocabulary) -> DataFrame:
     return docs.mapInArrow(tidy(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def training_steps(tokens: int) -> int:
+    return round(STEPS * max(1.0, tokens / UNIT) ** (1 / 3))
+
+
 class LogBilinear:
     """The class model."""
 
@@ -150,7 +159,7 @@ class LogBilinear:
         self.target = rng.normal(0, 0.1, (CLASSES, size))
         self.bias = np.full(CLASSES, -np.log(CLASSES))
 
-    def train(self, code: np.ndarray, n: np.ndarray, steps: int = 1500, batch: int = 2048, noise: int = 100, rate: float = 0.03, seed: int = 6) -> None:
+    def train(self, code: np.ndarray, n: np.ndarray, steps: int = STEPS, batch: int = BATCH, noise: int = 100, rate: float = 0.03, seed: int = 6) -> None:
         """Noise-contrastive estimation; every step draws triples in proportion to their counts (Adam updates)."""
         if not len(code):
             return
@@ -275,7 +284,7 @@ def score_texts(docs: DataFrame, text: str = "text", id: str = "doc_id", folds:
     triples = triple_counts(learning, vocabulary).toArrow()
     model = LogBilinear()
     by_code = np.argsort(triples.column("code").to_numpy())
-    model.train(triples.column("code").to_numpy()[by_code].astype(np.int64), triples.column("n").to_numpy()[by_code])
+    model.train(triples.column("code").to_numpy()[by_code].astype(np.int64), triples.column("n").to_numpy()[by_code], training_steps(total))
     scored = _scored(picked, vocabulary, model, np.log10(mass), float(np.log10(total + 0.1 * (distinct + 1))))
     scored.write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(work.path("scored"))
     rows = work.read("scored", "row long, doc_id long, held_out boolean, h long, n long, known long, base double, score double, kind string")

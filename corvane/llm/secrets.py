@@ -5,10 +5,14 @@ Beside them, every run of ``SHORTEST`` and more characters of an encoding alphab
 encoding is inferred from its characters (hexadecimal, base 32, base 64). Against "drawn uniformly from
 that alphabet" stand a chi-squared test of uniformity, a runs test about the median symbol and a test of
 lag-one serial correlation, joined by Fisher's method; a candidate that fails them isn't random. Against
-"an ordinary word" stand its letter repetitions and its changes between letters, cases and digits,
-whose probabilities depend on its length, joined likewise. Of the candidates that look random, those
-survive for which "an ordinary word" is rejected by the Benjamini-Hochberg procedure at ``FDR`` within
-their text, with weights that grow with their length. They are spans of kind random; known ones stay.
+"an ordinary word" (or several written together) stand its letter repetitions and its changes between
+letters, cases and digits, whose probabilities depend on its length and encoding, joined likewise. Of the
+candidates that look random, those survive for which "an ordinary word" is rejected by the
+Benjamini-Hochberg procedure at ``FDR`` within their text, with weights that grow with their length. They
+are spans of kind random; known ones stay.
+
+Measured on generated tokens alone in a text (tests/llm): of random ones of 32 to 64 characters over nine in
+ten are found (base 32: six in ten at 32), of 20 characters about half; of words written together, names and paths under 2 in 100.
 
 Cases: null text counts as empty; offsets are code points, ends exclusive; repeated rows are scanned
 alike; null ids keep their rows. Columns named like the results are replaced. Scale: a map, no shuffle.
@@ -43,7 +47,8 @@ _HEX_SET = [set("0123456789abcdef"), set("0123456789ABCDEF")]
 _ALPHABETS = {"hex": 16, "base32": 32, "base64": 64}
 _BASE32 = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 #: Of ordinary words: the chance that two letters are equal, the same for three, and changes of class for each character.
-_PAIR, _TRIPLE, _CHANGES, _CHANGES_EACH = 0.065, 0.0058, 0.5, 0.02
+_PAIR, _TRIPLE, _CHANGES = 0.065, 0.0058, 0.5
+_CHANGES_EACH = {"hex": 0.06, "base32": 0.11, "base64": 0.17}  # words written together in one case, or in both
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -135,8 +140,12 @@ def ordinariness(token: str) -> float:
     var = 4 * n**3 * (_TRIPLE - _PAIR**2) + 2 * n * n * _PAIR
     few = _normal_tail((mean - squares) / math.sqrt(var))
     classes = [_class(c) for c in token]
-    changes = sum(x != y for x, y in zip(classes, classes[1:]) if 3 not in (x, y))
-    return _fisher([few, _poisson_tail(changes, _CHANGES + _CHANGES_EACH * n)])
+    changes = 0
+    for i in range(1, n):
+        x, y = classes[i - 1 : i + 1]
+        begins = x == 1 and y == 0 and (i == 1 or classes[i - 2] != 1)  # a capital at the head of a word
+        changes += x != y and 3 not in (x, y) and not begins
+    return _fisher([few, _poisson_tail(changes, _CHANGES + _CHANGES_EACH[infer_encoding(token)] * n)])
 
 
 def random_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

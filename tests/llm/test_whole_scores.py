@@ -1,0 +1,209 @@
+"""Trained scores, languages and secrets against plain versions written anew."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+DOCS = "doc_id long, text string, lang string, score string, n_known int"
+
+
+def corpus(n=120, seed=2):
+    rng = random.Random(seed)
+    words = {"en": "the of and was with that hand stone other thing under".split(), "fr": "le la des une \u00eatre \u00e9aux pour ment entre ouvre".split(), "de": "der die das und nicht \u00fcber stra\u00dfe haus wird mit".split()}
+    rows = []
+    for i in range(n):
+        lang = rng.choice(sorted(words))
+        text = " ".join(rng.choice(words[lang]) + rng.choice(["", "s", "er", "ing", "."]) for _ in range(rng.choice([2, 20, 60, 150])))
+        rows.append((i, text, lang, "clash", 1))
+    return rows + [(500, None, None, "clash", 1), (501, "", "en", None, 1), (502, " \n\t ", "fr", None, 1), (None, rows[3][1], "en", None, 1), (3, rows[3][1], "en", None, 1), (503, "word " * 60_000, "en", None, 1)]
+
+
+def test_trained_scores(spark, monkeypatch):
+    """Every score from the trained model's own vectors: class after two contexts, times the word within its class."""
+    from corvane.llm import lmscore as lm
+
+    models = []
+    plain_train = lm.LogBilinear.train
+    monkeypatch.setattr(lm.LogBilinear, "train", lambda self, *a, **k: (models.append(self), plain_train(self, *a, **k))[1])
+    rows = corpus()
+    got = [(r["doc_id"], r["score"], r["base_score"], r["held_out"]) for r in lm.score_texts(spark.createDataFrame(rows, DOCS)).collect()]
+    model = models[0]
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    counts = Counter(w for i, t, *_ in rows if not held(i) for w in split(t))
+    from corvane.llm.kernel import hash_word
+
+    top = sorted(counts, key=lambda w: (-counts[w], hash_word(w) - (1 << 64) if hash_word(w) >> 63 else hash_word(w)))
+    order = {w: k for k, w in enumerate(sorted(top[: lm.HEAD], key=lambda w: (-counts[w], hash_word(w)))[: lm.OWN])}
+
+    def classes(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        cls, ctx = (int(x[0]) for x in lm._letters(raw, np.array([0]), np.array([len(raw)])))
+        own = order.get(word)
+        return (own if own is not None else cls), (own + 1 if own is not None and own < lm.CONTEXT_OWN else ctx)
+
+    mass = Counter({c: 0.1 for c in range(lm.CLASSES)})
+    for w, n in counts.items():
+        if w not in order:
+            mass[classes(w)[0]] += n + 0.1
+
+    def log_p(one, two, cls):
+        r = model.context[one] @ model.first + model.context[two] @ model.second
+        s = model.target @ r + model.bias
+        return (s[cls] - np.log(np.exp(s - s.max()).sum()) - s.max()) / np.log(10)
+
+    memo = {}
+
+    def score(text):
+        one, two, total = 0, 0, 0.0
+        for w in [*split(text), None]:
+            cls, ctx = classes(w) if w is not None else (lm.END, 0)
+            if (one, two, cls) not in memo:
+                memo[one, two, cls] = log_p(one, two, cls)
+            total += memo[one, two, cls]
+            if lm.OWN <= cls < lm.END:
+                total += math.log10(counts[w] + 0.1) - math.log10(mass[cls])
+            one, two = ctx, one
+        return total
+
+    want = Counter((i, round(score(t), 4)) for i, t, *_ in rows)
+    assert Counter((i, round(s, 4)) for i, s, _, _ in got) == want
+    assert sum(s for i, s, b, h in got if h) > sum(b for i, s, b, h in got if h)
+
+
+def test_steps_grow_with_the_corpus():
+    from corvane.llm.lmscore import STEPS, UNIT, training_steps
+
+    assert training_steps(1000) == STEPS and training_steps(8 * UNIT) == 2 * STEPS and training_steps(1000 * UNIT) == 10 * STEPS
+
+
+def test_languages_against_plain_profiles(spark):
+    """The same languages and scores as profiles and out-of-place distances counted one by one."""
+    from corvane.llm.language import identify, train_profiles
+
+    def grams(text):
+        letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+        runs, c = letters, Counter()
+        out, last = [], " "
+        for x in runs:
+            if x != " " or last != " ":
+                out.append(x)
+            last = x
+        if out and runs[0] == " " and out[0] != " ":
+            pass
+        s = "".join(out)
+        for i, x in enumerate(s):
+            if x != " ":
+                c[x] += 1
+            if i + 1 < len(s):
+                c[s[i : i + 2]] += 1
+            if i + 2 < len(s) and s[i + 1] != " ":
+                c[s[i : i + 3]] += 1
+        return c
+
+    rows = corpus()
+    k = 40
+    by_lang = {}
+    for _, t, lang, *_ in rows:
+        if lang is not None and t is not None:
+            by_lang.setdefault(lang, Counter()).update(grams(t))
+    profiles = {lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:k])} for lang, c in by_lang.items()}
+    frame = spark.createDataFrame(rows, DOCS)
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in identify(frame, train_profiles(frame, k=k), k=k).collect()}
+    agree = 0
+    for i, t, *_ in rows:
+        c = grams(t)
+        ranked = [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].replace(" ", "\0")))[:k]]
+        if not ranked:
+            assert got[i, t] == ("und", 0.0)
+            continue
+        distance = {lang: sum(abs(p[g] - n) if g in p else k for n, g in enumerate(ranked)) for lang, p in profiles.items()}
+        best = min(sorted(distance), key=lambda x: distance[x])
+        agree += got[i, t][0] == best and abs(got[i, t][1] - (1 - distance[best] / (k * len(ranked)))) < 0.02
+    assert agree >= 0.97 * sum(bool(grams(t)) for _, t, *_ in rows)
+
+
+def plain_base(text):
+    """The three known kinds, found by walking over the text."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, at = [], 0
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(name, at):
+                p = at + len(name)
+                p += p < len(text) and text[p] in "\"'"
+                while p < len(text) and text[p] == " ":
+                    p += 1
+                if p < len(text) and text[p] in ":=":
+                    p += 1
+                    while p < len(text) and text[p] == " ":
+                        p += 1
+                    p += p < len(text) and text[p] in "\"'"
+                    q = p
+                    while q < len(text) and text[q] in value:
+                        q += 1
+                    if q > p:
+                        end = (p, q)
+                        break
+        if end:
+            if end[1] - end[0] >= 6:
+                out.append(("assign", at, end[1]))
+            at = end[1]
+        else:
+            at += 1
+    for kind, start, alphabet, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            if text.startswith(start, at) and (start or text[at] in alphabet):
+                end = at + len(start)
+                while end < len(text) and text[end] in alphabet:
+                    end += 1
+                if end > at + len(start) or not start:
+                    if end - at >= least:
+                        out.append((kind, at, end))
+                    at = end
+                    continue
+            at += 1
+    kinds = ["assign", "access", "hex"]
+    return sorted(out, key=lambda s: (s[1], kinds.index(s[0])))
+
+
+def test_base_spans_against_a_walk(spark):
+    """Known kinds in texts full of their beginnings; nulls, megabytes and repeated rows; spans of all kinds contain them."""
+    from corvane.llm.secrets import scan_secrets
+
+    rng = random.Random(6)
+    parts = ["password", "PassWord", "passwd", "secret", "token", "api_key", "APIKEY", "api__key", '"', "'", " ", "  ", "\t", ":", "=", "==", "AKIA", "AKIAAKIA", "A1B2C3D4E5F6G7H8", "abcdef0123456789", "deadbeef", "g", "\u00e9", "\U0001f600", "hunter22", "x.y-z_/+=", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += [texts[5]] * 3 + [None, "", "x " * 400_000 + " token=abcdef1234", "k" * 300_000]
+    frame = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, spans string, n_hex int")
+    for r in scan_secrets(frame).collect():
+        want = plain_base(texts[r["doc_id"]] or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), (texts[r["doc_id"]], want)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex"))
+        assert set(listed.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_random_tokens_are_told_from_words():
+    """Measured: nine of ten random tokens of the usual lengths are found, and of words, names and paths hardly any."""
+    from corvane.llm.secrets import random_spans
+
+    rng = random.Random(7)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.choice([32, 40, 48, 64]))) for a in alphabets for _ in range(200)]
+    found = sum(bool(random_spans(f"see {t} there", [])) for t in tokens)
+    words = "the of and was with that hand stone other thing under configuration manager service internal handle request response buffer number".split()
+    plain = ["".join(rng.choice(words).capitalize() for _ in range(5)) for _ in range(300)]
+    plain += ["_".join(rng.choice(words) for _ in range(5)) for _ in range(300)] + ["/".join(rng.choice(words) for _ in range(6)) for _ in range(300)]
+    plain += ["-" * 40, "=" * 30 + "a" * 30, "abcabcabcabcabcabcabcabc", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "1234567890" * 4, "0" * 32]
+    wrong = sum(bool(random_spans(f"see {t} there", [])) for t in plain)
+    assert found >= 0.9 * len(tokens), found / len(tokens)
+    assert wrong <= 0.02 * len(plain), wrong / len(plain)
