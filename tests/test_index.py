@@ -205,7 +205,9 @@ def test_streams(spark, tmp_path):
 def test_query_intent():
     from corvane.operators.search import parse_intent, parse_match
 
-    assert parse_intent("Find my Finanse documents related to tax 2023", ["Finance", "Career"]) == {"album": "Finance", "dates": ["2023"], "text": "documents related to tax"} or parse_intent("find my finanse tax 2023", ["Finance"]) == {"album": "Finance", "dates": ["2023"], "text": "tax"}
+    assert parse_intent("Find my Finanse documents related to tax 2023", ["Finance", "Career"]) == {"album": "Finance", "dates": ["2023"], "text": "tax"}
+    assert parse_intent("find my finanse tax 2023-1-5", ["Finance"]) == {"album": "Finance", "dates": ["2023-1-5"], "text": "tax"}
+    assert parse_intent("", ["Finance"]) == {"album": None, "dates": [], "text": ""}
     assert parse_match('a "b c" OR name:d*') == [[(None, ["a"], False), (None, ["b", "c"], False)], [("name", ["d"], True)]]
 
 
@@ -215,3 +217,140 @@ def test_settings(spark):
     spark.conf.set("corvane.related_top_k", "3")
     assert Settings().override(spark).related_top_k == 3 and settings_rows(spark, Settings()).count() == 23
     spark.conf.unset("corvane.related_top_k")
+
+
+def cosine(a, b):
+    return sum(v * b.get(k, 0.0) for k, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+
+def test_reconcile_against_a_plain_sweep(spark):
+    """Clusters, cohesion (by vectors where all members have one, else by terms), names, parents and verdicts, counted one by one."""
+    from corvane.functions.lexicon import LEXICON
+    from corvane.operators.cluster import cluster_candidates, reconcile
+    from corvane.schema import ALBUMS, EMBEDDINGS, FILES
+
+    rng = random.Random(8)
+    topics = [["garden", "flower", "soil", "seed", "spade"], ["invoice", "payment", "budget", "ledger", "receipt"], ["sail", "boat", "harbour", "anchor", "mast"], ["piano", "violin", "chord", "tempo", "sonata"]]
+    files, vectors = [], {}
+    for i in range(40):
+        topic = i % 5
+        words = [rng.choice(topics[topic]) for _ in range(30)] if topic < 4 else [f"odd{rng.randrange(1000)}" for _ in range(8)]
+        name = f"{'invoice' if topic == 1 else 'note'}_{i}.txt"
+        files.append({"file_id": i, "display_name": name, "extracted_text": " ".join(words), "processing_status": "CONTENT_DONE", "is_deleted": False, "date_first_indexed": 1000 - i})
+        if topic != 2 or i % 10:
+            v = np.array([1.0 if k == topic else 0.05 * rng.random() for k in range(6)])
+            vectors[i] = v / np.linalg.norm(v)
+    frame = spark.createDataFrame([tuple(f.get(c) for c in FILES.names) for f in files], FILES)
+    embeddings = spark.createDataFrame([(i, "m1", [float(x) for x in v], 6, 0) for i, v in vectors.items()], EMBEDDINGS)
+    albums = spark.createDataFrame([(1, "Finance", None, "PREDEFINED", None, False, None, None, None), (2, "Music", None, "USER_CREATED", None, False, None, None, None)], ALBUMS)
+    music = np.zeros(6)
+    music[3] = 1.0
+    centroids = spark.createDataFrame([(2, [float(x) for x in music])], "album_id long, centroid array<double>")
+    got = {r["cluster"]: r for r in reconcile(frame, embeddings, albums, centroids).collect()}
+
+    members = {}
+    for r in cluster_candidates(frame, F.col("extracted_text")).collect():
+        members.setdefault(r["cluster"], []).append(r["file_id"])
+    known, want = {f["file_id"]: f for f in files}, {}
+    for c, ids in members.items():
+        if len(ids) < 3:
+            continue
+        profiles = [{w: known[i]["extracted_text"].split().count(w) for w in known[i]["extracted_text"].split()} for i in ids]
+        pairs = [(a, b) for a in range(len(ids)) for b in range(a)]
+        if all(i in vectors for i in ids):
+            cohesion = sum(float(vectors[ids[a]] @ vectors[ids[b]]) for a, b in pairs) / len(pairs)
+        else:
+            cohesion = sum(cosine(profiles[a], profiles[b]) for a, b in pairs) / len(pairs)
+        own = [vectors[i] for i in ids if i in vectors]
+        mean = sum(own) / np.linalg.norm(sum(own)) if own else None
+        distinct = 1 - min(max(float(mean @ music), 0), 1) if own else 0.0
+        if len(ids) >= 5 and cohesion >= 0.78 and distinct >= 0.35:
+            verdict = "AUTO_CREATE"
+        elif cohesion >= 0.65:
+            verdict = "SUGGEST_TO_USER"
+        else:
+            continue
+        df = {}
+        for p in profiles:
+            for w in p:
+                if len(w) >= 4:
+                    df[w] = df.get(w, 0) + 1
+        name = min(df, key=lambda w: (-df[w], w)).capitalize()
+        said = {w for i in ids for w in known[i]["display_name"].replace("_", " ").replace(".txt", "").split()}
+        finance = sum(x for _, cat, _, term, x in LEXICON if cat == "Finance" and term in said) / 2.5 >= 0.35
+        confidence = min(max(cohesion, 0.60), 0.84) if verdict == "SUGGEST_TO_USER" else cohesion
+        want[c] = (len(ids), round(cohesion, 4), name, 1 if finance else None, verdict, round(confidence, 4), sorted(ids))
+    assert len(want) >= 3 and {v[4] for v in want.values()} == {"AUTO_CREATE", "SUGGEST_TO_USER"}
+    assert {c: (r["n"], round(r["cohesion"], 4), r["name"], r["parent_album_id"], r["verdict"], round(r["confidence"], 4), r["file_ids"]) for c, r in got.items()} == want
+
+
+def test_version_pairs_in_blocks(spark, monkeypatch):
+    """A stem that many files have is compared in blocks, and no pair is lost or given twice."""
+    from corvane.operators import dedup
+    from corvane.schema import Settings
+
+    monkeypatch.setattr(dedup, "STEM_BLOCK", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    files = spark.createDataFrame([(i, f"img (v{i}).png" if i < 50 else f"other_{i % 3}.txt") for i in range(60)], "file_id long, display_name string")
+    vectors = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "file_id long, vector array<double>")
+    got = sorted((r["file_a"], r["file_b"]) for r in dedup.version_pairs(files, vectors, Settings(version_cosine_threshold=0.5)).collect())
+    stem = lambda i: "img" if i < 50 else "other"
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if stem(i) == stem(j) and round(float(x[i] @ x[j]), 6) >= 0.5]
+
+
+def test_products_in_blocks(spark, monkeypatch):
+    from corvane.operators import products, search
+    from corvane.operators.classify import centroid_evidence
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(80, 6)).round(2), rng.normal(size=(7, 4)).round(2)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(80)] + [(80, None)], "file_id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, [float(v) for v in q[i]]) for i in range(7)], "query_id long, vector array<double>")
+    score = np.round(q @ x[:, :4].T, 6)
+    for side in (2, 1000):
+        monkeypatch.setattr(products, "SIDE", side)
+        got = {(r["query_id"], r["rank"]): (r["file_id"], r["score"]) for r in search.nearest(asked, rows.where("file_id < 80"), 3).collect()}
+        for i in range(7):
+            order = sorted((-score[i, j], j) for j in range(80) if j != i)[:3]
+            assert [got[i, k + 1] for k in range(3)] == [(j, pytest.approx(-s, abs=1e-6)) for s, j in order]
+        near = {r["file_id"]: r["centroid_score"] for r in centroid_evidence(rows, asked.select(F.col("query_id").alias("album_id"), F.col("vector").alias("centroid"))).collect()}
+        assert near[80] == 0.0 and all(near[j] == pytest.approx(min(max(score[:, j].max(), 0), 1), abs=1e-6) for j in range(80))
+    assert centroid_evidence(rows, asked.limit(0).select(F.col("query_id").alias("album_id"), F.col("vector").alias("centroid"))).count() == 0
+
+
+def test_image_seam(spark, tmp_path):
+    """Images are measured, sampled and decoded by functions that are handed in; one that can't be read stays without pixels."""
+    from corvane.sources.discovery import read_images
+
+    for name, size in (("a.img", "3000x2000"), ("b.img", "64x64"), ("c.img", "broken")):
+        (tmp_path / name).write_text(size)
+
+    def bounds(content):
+        parts = content.decode().split("x")
+        return (int(parts[0]), int(parts[1])) if len(parts) == 2 else None
+
+    rows = {r["uri"][-5:]: r for r in read_images(spark, str(tmp_path), bounds, lambda content, sample: [(sample, 0, 255)] * 64).collect()}
+    assert (rows["a.img"]["sample"], rows["b.img"]["sample"], rows["c.img"]["sample"]) == (4, 1, None) and rows["c.img"]["rgb"] is None and len(rows["a.img"]["rgb"]) == 64 and rows["a.img"]["rgb"][0]["r"] == 4
+
+
+def test_change_table(spark, tmp_path):
+    """Changes cost what they hold, readers see the newest rows, compaction keeps them, and a second writer of a version fails."""
+    from corvane.operators.store import ChangeTable, SnapshotTable
+
+    t = ChangeTable(spark, str(tmp_path / "t"), ["id"])
+    t.write(spark.range(10).withColumn("x", F.lit("old")))
+    for n in range(4):
+        t.merge(spark.range(n, n + 2).withColumn("x", F.lit(f"new{n}")))
+    want = {0: "new0", 1: "new1", 2: "new2", 3: "new3", 4: "new3", **{i: "old" for i in range(5, 10)}}
+    assert {r["id"]: r["x"] for r in t.read().collect()} == want
+    t.compact(2)
+    assert {r["id"]: r["x"] for r in t.read().collect()} == want and len(list((tmp_path / "t").glob("v=*"))) == 1
+    s = SnapshotTable(spark, str(tmp_path / "s"))
+    s.write(spark.range(3))
+    (tmp_path / "s" / "v=2").mkdir()
+    s.version = lambda: 1
+    with pytest.raises(RuntimeError):
+        s.write(spark.range(4))
+    assert s.read().count() == 3
