@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.vector import clamp
@@ -12,6 +12,8 @@ from corvane.operators.products import top_products
 from corvane.operators.reads import ascii_lower
 from corvane.schema import Settings
 
+FEW_TERMS = 1000
+ROW_GROUP = 4 << 20
 _WORD = "[^a-z0-9\\x80-\\x{10FFFF}]+"
 
 
@@ -30,6 +32,24 @@ def inverted_index(files: DataFrame, columns: dict[str, str] | None = None) -> D
     return out.select("term", "file_id", "col", "pos")
 
 
+def store_index(index: DataFrame, path: str) -> None:
+    """Write an inverted index in order of its terms, so that a few terms are read from few row groups."""
+    index.repartitionByRange("term", "file_id").sortWithinPartitions("term", "file_id").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
+def stored_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, file_id long, col string, pos int").parquet(path)
+
+
+def stored_keyword_scores(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """keyword_scores from a stored index; up to FEW_TERMS words are looked up by a filter that reaches the files."""
+    index = stored_index(spark, path)
+    terms = queries.select(F.explode(words(F.col("query"))).alias("term")).distinct().limit(FEW_TERMS + 1).collect()
+    if len(terms) <= FEW_TERMS:
+        index = index.where(F.col("term").isin([r["term"] for r in terms]))
+    return keyword_scores(index, queries)
+
+
 def parse_match(query: str) -> list[list[tuple[str | None, list[str], bool]]]:
     """A match query as alternatives of conditions (column, words, whether the last word is a prefix).
 

@@ -31,11 +31,12 @@ DUPLICATE_GROUPS = _struct("group_id long, group_type string, representative_fil
 DUPLICATE_MEMBERS = _struct("group_id long, file_id long, similarity_score double")
 FOLDERS = _struct("folder_uri string, granted_at long, last_validated_at long, permission_state string")
 SUGGESTIONS = _struct("suggestion_id long, file_id long, source_album_id long, suggested_album_id long, confidence double, reasons array<string>, status string, created_at long")
+DISMISSED = _struct("file_a long, file_b long")
 DISCOVERED = _struct("uri string, display_name string, mime_type string, size_bytes long, date_modified_source long")
 
 KEYS = {
     "files": ["file_id"], "albums": ["album_id"], "file_album": ["file_id", "album_id"], "tags": ["tag_id"], "file_tag": ["file_id", "tag_id"], "embeddings": ["file_id", "model_version"],
-    "queue": ["queue_id"], "corrections": ["correction_id"], "duplicate_groups": ["group_id"], "duplicate_members": ["group_id", "file_id"], "folders": ["folder_uri"], "suggestions": ["suggestion_id"],
+    "queue": ["queue_id"], "corrections": ["correction_id"], "duplicate_groups": ["group_id"], "duplicate_members": ["group_id", "file_id"], "folders": ["folder_uri"], "suggestions": ["suggestion_id"], "dismissed": ["file_a", "file_b"],
 }
 
 #: The domains of enumerated columns.

@@ -354,3 +354,37 @@ def test_change_table(spark, tmp_path):
     with pytest.raises(RuntimeError):
         s.write(spark.range(4))
     assert s.read().count() == 3
+
+
+def test_facade(spark, tmp_path):
+    """A scan, content, classification, corrections, the queue and searches through the one entry point."""
+    from corvane.fixtures import Index
+    from corvane.index import FileIndex
+
+    ix = Index(spark, SF)
+    index = FileIndex(spark, str(tmp_path / "index"), now_ms=lambda: 5)
+    index.seed_albums()
+    index.create_album("Boats", 1)
+    assert index.album_tree().count() == 7 and index.read("albums").where("name = 'Boats'").first()["parent_album_id"] == 1
+    found = ix.discovered.limit(60)
+    assert index.sync(found).count() == 60 and index.sync(found).count() == 0
+    rows = index.read("files").withColumns({"processing_status": F.lit("CONTENT_DONE"), "extracted_text": F.when(F.col("file_id") % 2 == 0, "invoice receipt payment mortgage loan tax budget").otherwise("nothing of the kind")})
+    index.tables["files"].merge(rows)
+    said = index.classify()
+    assert said.where("decision != 'NONE'").count() == 30 and index.read("file_album").count() + index.read("suggestions").count() == 30
+    pending = index.read("suggestions").select("file_id", "suggested_album_id")
+    index.accept(pending.limit(5))
+    index.reject(pending.orderBy(F.desc("file_id")).limit(3))
+    assert index.read("file_album").count() + index.read("suggestions").where("status != 'ACCEPTED'").count() == 30
+    index.correct(spark.createDataFrame([(1, 7)], "file_id long, album_id long"))
+    assert index.read("files").where("file_id = 1").first()["primary_album_id"] == 7 and index.read("corrections").count() == 1
+    index.enqueue(index.files(), 2)
+    index.enqueue(index.files(), 2)
+    index.drain({2: lambda due: due.select("file_id", (F.col("file_id") % 2 == 0).alias("ok"))})
+    assert {(r["status"], r["count"]) for r in index.read("queue").groupBy("status").count().collect()} == {("DONE", 30), ("FAILED", 30)}
+    index.build_search()
+    assert index.match("mortgage").count() == 30 and index.search(spark.createDataFrame([(1, "kind of Invoice")], "query_id long, query string")).where("keyword > 0.5").count() == 30
+    assert index.status().first()["live"] == 60 and index.duplicates().count() >= 0 and index.sweep().count() >= 0
+    index.mark_missing(found.limit(50))
+    index.compact()
+    assert index.files().count() == 50
