@@ -492,10 +492,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", with
     with _few_rows(spark, max(1, 4 * BLOCK_BYTES[0] // limit)):
         hashes = _deal_hashes(blocks, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(tidy_group(_answer_hashes), "block long, bucket long, answer binary")
         shared = work.write(hashes.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("shared")), "shared")
-        told = blocks.join(shared, "block", "left")
+        each = blocks.count()  # a partition a block: bodies and answers of a few blocks in a task
+        dealt = lambda rows: rows.repartition(max(each, 1), "block")
+        told = dealt(blocks).join(dealt(shared), "block", "left")
         contexts = _deal_contexts(told, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(tidy_group(_answer_contexts), "block long, bucket long, which binary, least binary")
         answers = work.write(contexts.groupBy("block").agg(F.collect_list(F.struct("bucket", "which", "least")).alias("answers")), "answers")
-        result = work.write(_measured(told.join(answers, "block", "left"), bits, with_text), "result")
+        result = work.write(_measured(told.join(dealt(answers), "block", "left"), bits, with_text), "result")
     work.drop("blocks", "shared", "answers")
     return result
 
