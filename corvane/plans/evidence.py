@@ -157,10 +157,10 @@ def _made_hashes(ix: Index) -> DataFrame:
     return ix.hashes.unionByName(ix.hashes.where("file_id % 3 = 0").select((F.col("file_id") + 1000000).alias("file_id"), changed.alias("phash")))
 
 
-query("join15_hamming_default", f"WITH al AS ({_MADE}), mh AS (SELECT min(file_id) AS file_id, phash FROM al GROUP BY phash) {_NEAR_SQL}", "hashes")(lambda ix: dd.hamming_pairs(_made_hashes(ix)))
+query("join15_hamming", f"WITH al AS ({_MADE}), mh AS (SELECT min(file_id) AS file_id, phash FROM al GROUP BY phash) {_NEAR_SQL}", "hashes")(lambda ix: dd.hamming_pairs(_made_hashes(ix)))
 
 query(
-    "ker34_duplicate_groups",
+    "ker34_duplicates",
     f"""WITH RECURSIVE al AS ({_MADE}), mh AS (SELECT min(file_id) AS file_id, phash FROM al GROUP BY phash), np AS ({_NEAR_SQL}), ed AS (SELECT file_a AS a, file_b AS b FROM np UNION SELECT file_b, file_a FROM np),
           rc(a, b) AS (SELECT a, b FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON ed.a = rc.b), cl AS (SELECT file_id, min(distance) AS d FROM (SELECT file_a AS file_id, distance FROM np UNION ALL SELECT file_b, distance FROM np) x GROUP BY 1),
           eg AS (SELECT sha256_hash, min(file_id) AS first FROM files WHERE NOT is_deleted GROUP BY 1 HAVING count(*) > 1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -26,7 +28,9 @@ def shared_root(spark: SparkSession) -> str:
         if not root:
             if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="corvane-")
+            folder = tempfile.mkdtemp(prefix="corvane-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = f"file://{folder}"
             spark.conf.set("corvane.local.shared", root)
     return root.rstrip("/")
 
