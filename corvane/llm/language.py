@@ -7,7 +7,8 @@ for one that the profile lacks. The nearest profile wins, the first in code-poin
 
 Cases: null text, empty text or no letters: ``und`` with score 0. No labelled text at all: everything
 is ``und``. Null ids are kept and count as the empty text for the split. Repeated rows are predicted
-alike. Columns named like the results are replaced.
+alike. Columns named like the results are replaced. Texts of over ``LONG`` bytes are counted in pieces,
+with the same counts.
 
 Scale: training sums n-gram counts in each task before one shuffle whose size depends on alphabets, not
 on the corpus; the profiles (languages x K rows) are the only thing sent to executors; prediction is a
@@ -27,6 +28,8 @@ from corvane.llm.kernel import slices, text_buffer, tidy
 from corvane.runtime import arrow_rows, ship_package
 
 K = 300
+LONG = 4 << 20  # bytes of a text from which it is read in pieces
+PIECE = 1 << 20
 _POINTS = 0x110000
 _tables: dict[str, np.ndarray] = {}
 
@@ -99,6 +102,45 @@ def _code_of(gram: str, dense: dict[int, int], size: int) -> int | None:
     return (a * (size + 1) + b) * (size + 1) + c
 
 
+def _pieces(data: np.ndarray):
+    """A text in pieces of about PIECE bytes, each of which ends with an ASCII character that is no letter."""
+    at = 0
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data):
+            part = data[end : end + PIECE]
+            gaps = np.flatnonzero((part < 0x80) & ~(((part | 0x20) >= 0x61) & ((part | 0x20) <= 0x7A)))
+            if len(gaps):
+                end += int(gaps[0]) + 1
+                break
+            end += PIECE
+        yield data[at:end]
+        at = end
+
+
+def _long_counts(data: np.ndarray) -> dict[str, int]:
+    """N-gram counts of one text, from its pieces.
+
+    A piece after the first word begins after a gap: it is read behind a word of one letter, which is taken
+    off again.
+    """
+    total: dict[str, int] = {}
+    before = False
+    for piece in _pieces(data):
+        raw = np.concatenate([np.frombuffer(b"a ", np.uint8), piece]) if before else piece
+        symbols, owner, alphabet = _symbols(raw, np.array([0, len(raw)]))
+        if len(symbols):
+            keys, counts = np.unique(_grams(symbols, owner, len(alphabet))[0], return_counts=True)
+            for key, count in zip(keys.tolist(), counts.tolist()):
+                gram = _text_of(key, alphabet)
+                total[gram] = total.get(gram, 0) + count
+            if before:
+                total["a"] -= 1
+                total["a "] -= 1
+            before = True
+    return {gram: n for gram, n in total.items() if n}
+
+
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, n): n-gram counts over all texts of each language; null languages are left out."""
     ship_package(docs.sparkSession)
@@ -112,6 +154,10 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             for first, last in slices(offsets):
                 if offsets[first] == offsets[last]:
                     continue
+                if offsets[last] - offsets[first] > LONG:
+                    for gram, count in _long_counts(data[offsets[first] : offsets[last]]).items():
+                        total[str(langs[first]), gram] = total.get((str(langs[first]), gram), 0) + count
+                    continue
                 symbols, owner, alphabet = _symbols(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 codes, owner = _grams(symbols, owner, len(alphabet))
                 names, which = np.unique(langs[first:last].astype(str), return_inverse=True)
@@ -169,7 +215,9 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", k: int =
             data, offsets = text_buffer(batch.column(column))
             best, score = np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1)
             for first, last in slices(offsets):
-                if names and offsets[first] < offsets[last]:
+                if names and offsets[last] - offsets[first] > LONG:
+                    best[first], score[first] = _nearest_of_long(data[offsets[first] : offsets[last]], union, ranks, k)
+                elif names and offsets[first] < offsets[last]:
                     best[first:last], score[first:last] = _nearest(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], union, ranks, k)
             return [pa.array([names[i] if i >= 0 else "und" for i in best.tolist()], pa.string()), pa.array(score, pa.float64())]
 
@@ -212,6 +260,20 @@ def _nearest(data, offsets, union, ranks, k):
     return best, np.where(size > 0, 1 - np.where(size > 0, least, 0) / (k * np.maximum(size, 1)), 0.0)
 
 
+def _nearest_of_long(data, union, ranks, k):
+    """The same for one long text."""
+    counts = _long_counts(data)
+    order = lambda gram: tuple(0 if c == " " else ord(c) for c in gram) + (_POINTS,) * (3 - len(gram))  # noqa: E731  as codes are
+    top = sorted(counts, key=lambda gram: (-counts[gram], order(gram)))[:k]
+    if not top:
+        return -1, 0.0
+    at = {gram: i for i, gram in enumerate(union)}
+    rank = ranks[[at.get(gram, len(union)) for gram in top]]
+    distance = np.where(rank < 0, k, np.abs(rank - np.arange(len(top))[:, None])).sum(axis=0)
+    best = int(distance.argmin())
+    return best, 1 - distance[best] / (k * len(top))
+
+
 def op9_language_id(spark, sf_dir):
     """Contract query: profiles from texts with crc32(doc_id) mod 5 != 0, prediction for every document."""
     from corvane.runtime import table

@@ -207,3 +207,36 @@ def test_random_tokens_are_told_from_words():
     wrong = sum(bool(random_spans(f"see {t} there", [])) for t in plain)
     assert found >= 0.9 * len(tokens), found / len(tokens)
     assert wrong <= 0.02 * len(plain), wrong / len(plain)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """The same profiles and predictions whether texts are counted whole or in pieces of a few bytes."""
+    from corvane.llm import language
+
+    rows = corpus(40) + [(600, " 12 \u00e9t\u00e9 " * 30 + "x", "fr", None, 1), (601, "\u4e2d\u6587" * 50, "zh", None, 1), (602, " . , ; 1234 " * 20, "en", None, 1), (603, "a b " * 40 + "\u00df", "de", None, 1)]
+    frame = spark.createDataFrame(rows, DOCS)
+    both = []
+    for long, piece in ((1 << 30, 1 << 20), (3, 7)):
+        batch = [np.frombuffer((t or "").encode(), np.uint8) for _, t, *_ in rows]
+        monkeypatch.setattr(language, "LONG", long)
+        monkeypatch.setattr(language, "PIECE", piece)
+        counts = []
+        for data in batch:
+            if long == 3:
+                counts.append(language._long_counts(data))
+            else:
+                symbols, owner, alphabet = language._symbols(data, np.array([0, len(data)]))
+                keys, n = np.unique(language._grams(symbols, owner, len(alphabet))[0], return_counts=True)
+                counts.append({language._text_of(k, alphabet): c for k, c in zip(keys.tolist(), n.tolist())})
+        both.append(counts)
+    assert both[0] == both[1]
+    profiles = [(r["lang"], r["gram"], r["rank"]) for r in language.train_profiles(frame, k=60).collect()]
+    union = sorted({g for _, g, _ in profiles})
+    names = sorted({x for x, _, _ in profiles})
+    ranks = np.full((len(union) + 1, len(names)), -1)
+    for lang, gram, rank in profiles:
+        ranks[union.index(gram), names.index(lang)] = rank
+    monkeypatch.setattr(language, "PIECE", 7)
+    for data in batch:
+        best, score = language._nearest(data, np.array([0, len(data)]), union, ranks, 60) if len(data) else (np.array([-1]), np.array([0.0]))
+        assert language._nearest_of_long(data, union, ranks, 60) == (best[0], score[0])
