@@ -84,6 +84,15 @@ def may_match(gram: Column) -> Column:
     return first(4).isin(sorted({t[:n] for t in terms for n in range(1, 5)})) | first(3).isin(sorted(t for t in terms if len(t) == 3)) | first(2).isin(sorted(t for t in terms if len(t) == 2))
 
 
+def lexicon_grams(toks: Column) -> Column:
+    """Distinct tokens and neighbour pairs that may match; a pair is joined only where its first token allows it."""
+    token = lambda i: F.get(toks, i)
+    firsts = F.filter(F.sequence(F.lit(0), F.size(toks) - 2), lambda i: may_match(token(i)) | (F.length(token(i)) < 4))
+    pairs = F.transform(firsts, lambda i: F.concat(token(i), F.lit(" "), token(i + 1)))
+    every = F.filter(F.when(F.size(toks) < 2, toks).otherwise(F.concat(toks, pairs)), may_match)
+    return F.array_distinct(every)
+
+
 def match_terms(grams: DataFrame, gram: str = "gram") -> DataFrame:
     """grams joined with the lexicon where the term matches: two equi-joins in one, on shortened forms.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions.lexicon import match_terms, may_match
+from corvane.functions.lexicon import lexicon_grams, match_terms
 from corvane.functions.vector import clamp
 from corvane.operators.products import best_product
 from corvane.schema import Settings
@@ -21,16 +21,15 @@ WEIGHTS = {"keyword": 0.45, "centroid": 0.35, "agreement": 0.15, "history": 0.05
 NEUTRAL_HISTORY = 0.5
 
 
-def grams(files: DataFrame, text: Column, id: str = "file_id", keep=None) -> DataFrame:
-    """(id, gram): the distinct tokens and neighbour pairs of each text; keep: which of them, as a condition of one."""
+def grams(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:
+    """(id, gram): the distinct tokens and neighbour pairs of each text that may match a term of the lexicon."""
     toks = files.select(id, tx.tokens(text).alias("toks"))
-    every = F.concat("toks", tx.bigrams(F.col("toks")))
-    return toks.select(id, F.explode(F.array_distinct(every if keep is None else F.filter(every, keep))).alias("gram"))
+    return toks.select(id, F.explode(lexicon_grams(F.col("toks"))).alias("gram"))
 
 
 def term_hits(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:
     """(id, cat_ord, category, term_ord, term, weight): every lexicon term that a text matches, once."""
-    return match_terms(grams(files, text, id, may_match)).select(id, "cat_ord", "category", "term_ord", "term", "weight").distinct()
+    return match_terms(grams(files, text, id)).select(id, "cat_ord", "category", "term_ord", "term", "weight").distinct()
 
 
 def category_scores(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:

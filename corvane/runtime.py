@@ -103,4 +103,16 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by its folder."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, least: int = 4 << 20, most: int = 256 << 20) -> DataFrame:
+    """Rows of a single file of a few megabytes dealt to all cores, because a file with one row group would be one task.
+
+    Larger inputs, and those of several files, are read as they are.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if least <= size <= most and cores > 1 and len(df.inputFiles()) == 1:
+        return df.repartition(cores)
+    return df
