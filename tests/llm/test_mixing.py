@@ -5,6 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tests.llm.common import texts, words
+
+
 DOCS = "doc_id long, text string, source string, size string, sid int"
 
 
@@ -62,3 +65,32 @@ def test_null_ids_long_texts_and_reruns(spark):
     one, two = (sorted(map(key, mix(d).collect())) for d in (docs, docs.repartition(7)))
     assert one == two and len(one) == len(rows())
     assert all(0 <= taken <= 2 * size for *_, size, taken in one) and max(size for *_, size, _ in one) == 50_000
+
+
+def test_mixing(docs, empty, spark):
+    from corvane.llm.mixing import mix, permuted
+
+    for n in (1, 2, 7, 100, 1001):
+        p = permuted(spark.range(n), "p", F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"))
+        assert sorted(r["p"] for r in p.collect()) == list(range(n))
+    out = mix(docs.select("doc_id", "text", "source"), block_words=4).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((i, len(words(x))) for i, x in texts(docs))
+    sizes = Counter()
+    for r in out:
+        sizes[r["source"]] += r["size"]
+    left, weights, target = dict(sizes), {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}, {}
+    total = 1.5 * sum(sizes.values())
+    while left:
+        level = (total - sum(target.values())) / sum(weights[s] for s in left)
+        over = [s for s in left if level * weights[s] > 2 * sizes[s]]
+        for s in over or list(left):
+            target[s] = 2 * sizes[s] if over else level * weights[s]
+            del left[s]
+    taken = Counter()
+    for r in out:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 8 for s, t in target.items())
+    again = mix(docs.select("doc_id", "text", "source"), block_words=4).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
+    assert sorted(map(key, out)) == sorted(map(key, again)) and mix(empty).count() == 0

@@ -7,10 +7,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tests.llm.test_whole import leaked
-from tests.llm.test_whole_neardup import components
+from tests.llm.common import DOCS, components, corpus, shingles
+from tests.llm.test_decontamination import leaked
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, mixed_id string, score int"
+
+STAGED = "doc_id long, text string, lang string, source string, n_chars long, mixed_id string, score int"
 
 
 def rows():
@@ -38,7 +39,7 @@ def staged(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("stages"))
     listed, item = rows()
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    docs = spark.createDataFrame(listed, DOCS)
+    docs = spark.createDataFrame(listed, STAGED)
     seen = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs.write.parquet(f"{folder}/{k}")
@@ -74,7 +75,7 @@ def test_mixing_stage(spark, staged):
     from corvane.llm.mixing import mix
 
     before, after = staged[0][3], staged[0][4]
-    frame = spark.createDataFrame(before, DOCS)
+    frame = spark.createDataFrame(before, STAGED)
     taken = {r["doc_id"]: r for r in mix(frame).collect()}
     times = Counter(r[0] for r in after)
     assert {r for r in after} <= {r for r in before} and len(taken) == len(before)
@@ -101,10 +102,10 @@ def test_stages_of_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame([], DOCS)
+    docs = spark.createDataFrame([], STAGED)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == [c.split(" ")[0] for c in DOCS.split(", ")] and docs.count() == 0
+        assert docs.columns == [c.split(" ")[0] for c in STAGED.split(", ")] and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
 
 
@@ -113,7 +114,7 @@ def test_null_ids_through_the_stages(spark, tmp_path):
     import corpus_pipeline
 
     text = " ".join(f"word{'abcdefghij'[i % 10]}{'klmno'[i % 5]}" for i in range(40))
-    docs = spark.createDataFrame([(None, text, "en", "a", 1, "x", 5), (None, text, "en", "a", 1, "x", 5), (1, text, "en", "a", 1, "x", 5), (2, text + " more", "en", None, 1, "x", 5)], DOCS)
+    docs = spark.createDataFrame([(None, text, "en", "a", 1, "x", 5), (None, text, "en", "a", 1, "x", 5), (1, text, "en", "a", 1, "x", 5), (2, text + " more", "en", None, 1, "x", 5)], STAGED)
     spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     near = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
     assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "None", "None"]
@@ -122,3 +123,23 @@ def test_null_ids_through_the_stages(spark, tmp_path):
     mixed = corpus_pipeline.mixing_stage(spark, clean, str(tmp_path))
     assert mixed.count() in (2, 4) and mixed.columns == docs.columns
     assert corpus_pipeline.token_stage(spark, mixed, str(tmp_path)).count() == mixed.count()
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(corpus(), DOCS)
+    rng = random.Random(4)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
+    docs = docs.unionByName(spark.createDataFrame([(500, "the of and " + item, "en", "s0", 9)], DOCS))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{len(seen)}")
+        docs = spark.read.parquet(f"{tmp_path}/{len(seen)}")
+        seen[name] = Counter(r["doc_id"] for r in docs.collect())
+    lang, near, clean, mixed, last = seen.values()
+    assert not {100, 101, 102, 103} & set(lang) and max(near.values()) == 1 and 500 in near and 500 not in clean and mixed == last and set(mixed) <= set(clean)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == sum(last.values())
