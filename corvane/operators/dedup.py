@@ -76,7 +76,7 @@ def _close_files(t: pa.Table, floor: float) -> pa.Table:
     return pa.table({"file_a": np.minimum(i, j)[keep], "file_b": np.maximum(i, j)[keep], "cosine": s[keep]})
 
 
-def group_members(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def group_members(pairs: DataFrame) -> DataFrame:
     """(file_id, group_id): groups of linked files, named by their smallest file.
 
     Each round a file takes the smallest name among its neighbours and their names' names; rounds end
@@ -88,15 +88,15 @@ def group_members(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     edges = pairs.select(F.col("file_a").alias("a"), F.col("file_b").alias("b"))
     edges = work.write(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = work.write(edges.select(F.col("a").alias("file_id"), F.col("a").alias("group_id")).distinct(), "labels-0")
-    for i in range(1, rounds):
+    i, changed = 0, True
+    while changed:
+        i += 1
         around = edges.join(labels.select(F.col("file_id").alias("b"), "group_id"), "b").groupBy("a").agg(F.min("group_id").alias("least"))
         step = labels.join(around, F.col("file_id") == F.col("a")).select("file_id", F.least("group_id", "least").alias("group_id"), F.col("group_id").alias("before"))
         jump = step.join(step.select(F.col("file_id").alias("via"), F.col("group_id").alias("far")), F.col("group_id") == F.col("via"), "left")
         new = work.write(jump.select("file_id", F.least("group_id", F.coalesce("far", "group_id")).alias("group_id"), "before"), f"labels-{i}")
         changed = not new.where("group_id != before").isEmpty()
         labels = new.select("file_id", "group_id")
-        if not changed:
-            break
     return labels
 
 
