@@ -98,7 +98,8 @@ def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = index.select("term", "file_id").distinct().join(wanted, "term").groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("k"))
+    some = index.select("term", "file_id").join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = some.distinct().join(wanted, "term").groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("k"))
     return hits.join(size, "query_id").select("query_id", "file_id", F.round(F.col("k") / F.col("n"), 6).alias("keyword"))
 
 

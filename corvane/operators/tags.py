@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions.lexicon import LEXICON, match_terms
+from corvane.functions.lexicon import LEXICON, match_terms, may_match
 from corvane.functions.vector import smoothed_idf
 
 MOST_TAGS = 10
@@ -14,9 +14,10 @@ MIN_IDF = 1.8
 DATE_SCORE = 0.9
 
 
-def term_frequencies(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:
-    """(id, term, tf, first): counts of tokens and where each comes first."""
-    toks = files.select(id, F.posexplode(tx.tokens(text)).alias("pos", "term"))
+def term_frequencies(files: DataFrame, text: Column, id: str = "file_id", keep=None) -> DataFrame:
+    """(id, term, tf, first): counts of tokens and where each comes first; keep: a condition for a token, before places are counted."""
+    toks = tx.tokens(text) if keep is None else F.filter(tx.tokens(text), keep)
+    toks = files.select(id, F.posexplode(toks).alias("pos", "term"))
     return toks.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first"))
 
 
@@ -53,9 +54,10 @@ def extract_tags(files: DataFrame, text: Column, sample: DataFrame, sample_text:
     tf = term_frequencies(files, text, id)
     size = sample.agg(F.count(F.lit(1)).alias("corpus"))
     by_corpus = corpus_tags(tf.crossJoin(F.broadcast(size)), document_frequencies(sample, sample_text), F.col("corpus"), id)
-    dates = files.select(id, F.posexplode(tx.date_tags(text)).alias("pos", "tag")).select(id, "tag", F.lit(DATE_SCORE).alias("score"), (F.col("pos") + (1 << 40)).alias("rank"))
-    dates = dates.join(tf.select(id).distinct(), id, "left_semi")  # a text without tokens has no tags
-    return best_tags(lexicon_tags(tf, id).unionByName(by_corpus).unionByName(dates), most, id)
+    worded = files.where(F.size(tx.tokens(text)) > 0)  # a text without tokens has no tags
+    dates = worded.select(id, F.posexplode(tx.date_tags(text)).alias("pos", "tag")).select(id, "tag", F.lit(DATE_SCORE).alias("score"), (F.col("pos") + (1 << 40)).alias("rank"))
+    lexical = lexicon_tags(term_frequencies(files, text, id, may_match), id)
+    return best_tags(lexical.unionByName(by_corpus).unionByName(dates), most, id)
 
 
 def persist_tags(tags: DataFrame, file_tag: DataFrame, extracted: DataFrame, confidence: DataFrame) -> tuple[DataFrame, DataFrame]:
