@@ -39,6 +39,7 @@ from corvane.runtime import Workspace, arrow_rows, ship_package, table
 
 END_ID = 2
 CUT_WINDOW = 16
+_CUT_BASE = 0xD6E8FEB86659FD93
 CUT_MASK = np.uint64(1023)  # a cut every 1024 ids in the mean
 LEAST, MOST = 128, 4096
 PLACES = 1 << 20  # of parts remembered, twice
@@ -203,8 +204,9 @@ class Encoder:
             for way, pick, place in ((0, free, one), (1, ~free, two)):
                 slot = place[first[pick]]
                 self.key[way][slot], self.check[way][slot], self.start[way][slot], self.size[way][slot] = key[first[pick]], check[first[pick]], at[pick], n[pick]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        kind = np.int32 if max(self.used, upto[-1]) < 1 << 31 else np.int64
+        flat = self.ids[np.repeat((start - upto[:-1]).astype(kind), size) + np.arange(upto[-1], dtype=kind)]
         before = upto[np.searchsorted(cuts, offsets)]
         return np.insert(flat, before[1:], END_ID), before + np.arange(len(before))
 
@@ -212,9 +214,11 @@ class Encoder:
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Ends of all chunks: where the rolling hash of the last CUT_WINDOW ids says so, within LEAST and MOST ids, and at each text's end."""
     value = _ID_VALUE[ids % len(_ID_VALUE)]
-    h = value.copy()
-    for j in range(1, CUT_WINDOW):
-        h[j:] += value[:-j] << np.uint64(j * 3 % 61)
+    h, width = value, 1
+    while width < CUT_WINDOW:  # of the last 2, 4, 8 .. ids
+        before, h = h, h.copy()
+        h[width:] += before[:-width] * np.uint64(pow(_CUT_BASE, width, 1 << 64))
+        width *= 2
     marks = np.flatnonzero((mix(h) & CUT_MASK) == 0) + 1
     ends: list[int] = []
     for first, last, lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), np.searchsorted(marks, bounds[:-1] + CUT_WINDOW).tolist(), np.searchsorted(marks, bounds[1:]).tolist()):
