@@ -23,21 +23,34 @@ from corvane.sources import discovery as di
 # --- sources -------------------------------------------------------------------------------------
 
 
+#: Where a document's file lies: in plain, hidden, thumbnail, underscored and deep folders, under plain, hidden and underscored names.
+_PLACE = """source || '/' || CASE doc_id % 11 WHEN 0 THEN '.trash/' WHEN 1 THEN '.thumbnails/' WHEN 2 THEN '_archive/' WHEN 3 THEN 'a/b/c/' WHEN 4 THEN 'a/b/c/d/' WHEN 5 THEN '.git/a/' ELSE '' END
+  || CASE doc_id % 5 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || 'doc' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' ELSE '' END"""
+
+
 @query(
     "src01_tree_walk",
-    """SELECT 'region=' || n_regionkey AS folder, count(DISTINCT n_regionkey) AS files, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes,
-         'text/plain' AS mime_type FROM nation GROUP BY n_regionkey""",
+    f"""WITH p AS (SELECT {_PLACE} AS place, strlen(text) AS size_bytes, doc_id FROM documents)
+       SELECT place, regexp_extract(place, '[^/]*$') AS display_name, CASE doc_id % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type,
+         size_bytes, CAST(length(place) - length(replace(place, '/', '')) AS INT) AS depth FROM p WHERE doc_id % 11 NOT IN (0, 1, 4, 5)""",
 )
 def _tree_walk(ix: Index) -> DataFrame:
-    """A tree of text files, one a region, beside a hidden folder, a thumbnail folder and one that lies too deep."""
-    work = Workspace(ix.spark, "tree")
-    names = ix.nation.select("n_name", F.col("n_regionkey").alias("region")).coalesce(1)
-    names.write.partitionBy("region").text(work.path("tree"))
-    for hidden in (".trash", ".thumbnails", "a/b/c/d"):
-        names.select("n_name").write.text(work.path(f"tree/{hidden}"))
-    found = di.walk_tree(ix.spark, work.path("tree"), max_depth=3)
-    folder = F.element_at(F.split("uri", "/"), -2)
-    return found.groupBy(folder.alias("folder"), "mime_type").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).select("folder", "files", "bytes", "mime_type")
+    """A tree with a file for every document; four folders deep."""
+    root = Workspace(ix.spark, "tree").path("tree")
+    places = ix.documents.select(F.expr(_PLACE).alias("place"), F.encode("text", "UTF-8").alias("content"))
+
+    def write(batches):
+        for batch in batches:
+            for place, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, path = di.file_system(f"{root}/{place}")
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content)
+            yield batch.select(["place"])
+
+    places.mapInArrow(write, "place string").write.format("noop").mode("overwrite").save()
+    found = di.walk_tree(ix.spark, root, max_depth=4)
+    return found.select(F.element_at(F.split("uri", "/tree/"), -1).alias("place"), "display_name", "mime_type", "size_bytes", "depth")
 
 
 @query(

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import islice
+
 import pandas as pd
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.runtime import ship_package
+from corvane.runtime import Workspace, ship_package
 
 MAX_BYTES = 512 * 1024 * 1024
+ENTRIES = 10_000  # of a folder that are a batch
+#: Fixed value: the folder that galleries keep small images in.
+THUMBNAILS = ".thumbnails"
 DISCOVERED = ["uri", "display_name", "mime_type", "size_bytes", "date_modified_source"]
 
 # MIME types by file ending.
@@ -20,16 +32,83 @@ def mime_of(name: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in _MIME.items() for x in pair])[ending], F.lit("application/octet-stream"))
 
 
-def walk_tree(spark: SparkSession, root: str, max_depth: int = 8) -> DataFrame:
-    """All files below a folder: metadata only, hidden and thumbnail folders left out, at most max_depth folders deep."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    plain = root.rstrip("/").split("://")[-1]  # Spark reports paths with a scheme of its own
-    below = F.element_at(F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), "\\Q" + "/" + plain.lstrip("/") + "/" + "\\E", 2), 2)
-    parts = F.filter(F.split(below, "/"), lambda p: p != "")
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    shown = ~F.exists(folders, lambda p: F.startswith(p, F.lit("."))) & (F.size(folders) <= max_depth)
-    name = F.coalesce(F.element_at(parts, -1), F.lit("unnamed"))
-    return found.where(shown).select(F.col("path").alias("uri"), name.alias("display_name"), mime_of(name).alias("mime_type"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("date_modified_source"))
+def list_folder(uri: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(name, whether it is a folder, bytes, milliseconds of its last change) of all that is in a folder; nothing if it has gone.
+
+    Local folders are read entry by entry, those of other stores through pyarrow's file systems. Anything
+    that is neither a file nor a folder, and links that lead nowhere, are left out. A folder that can't be
+    read is an error: without it, its files would count as missing.
+    """
+    system, path = file_system(uri)
+    if isinstance(system, LocalFileSystem):
+        try:
+            entries = os.scandir(path)
+        except FileNotFoundError:
+            return
+        with entries:
+            for entry in entries:
+                try:
+                    folder, told = entry.is_dir(), entry.stat()
+                except FileNotFoundError:
+                    continue
+                if folder or entry.is_file():
+                    yield os.fsencode(entry.name).decode("utf-8", "replace"), folder, 0 if folder else told.st_size, told.st_mtime_ns // 1_000_000
+        return
+    for told in system.get_file_info(FileSelector(path, allow_not_found=True)):
+        if told.type in (FileType.Directory, FileType.File):
+            yield told.base_name, told.type == FileType.Directory, told.size or 0, (told.mtime_ns or 0) // 1_000_000
+
+
+def file_system(uri: str) -> tuple[FileSystem, str]:
+    """pyarrow's file system of a URI, and the path in it; characters of the path stand for themselves."""
+    scheme, host, path = re.fullmatch(r"(?:([a-z][a-z0-9+.-]*):)?(?://([^/]*))?(.*)", uri, re.S).groups()
+    if scheme in (None, "file"):
+        return LocalFileSystem(), path or "/"
+    system, base = FileSystem.from_uri(f"{scheme}://{host or ''}/")
+    return system, base.rstrip("/") + path
+
+
+def _resolved(spark: SparkSession, uri: str) -> str:
+    """A URI with its scheme, mount points of the cluster's own schemes resolved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri.rstrip("/") or "/")
+    try:
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(path).toString()
+    except Py4JJavaError:
+        return uri.rstrip("/")
+
+
+def walk_tree(spark: SparkSession, root: str, max_depth: int = 8, lister: Callable[[str], Iterable[tuple[str, bool, int, int]]] = list_folder) -> DataFrame:
+    """All files below a folder: metadata only, with the depth of their folder (the root's is 0), at most max_depth.
+
+    Folders whose name starts with a dot, and thumbnail folders, are never entered; files of any name are
+    listed. Each round lists the folders of one depth, dealt to all tasks, and keeps what it finds in a
+    working table; the next round's folders are rows of it. Nothing but the number of folders of a round
+    comes to the driver. lister: how a folder is listed, for stores that list_folder doesn't know.
+    """
+    ship_package(spark)
+    work, root, rounds = Workspace(spark, "walk"), _resolved(spark, root), []
+    if root.rsplit("/", 1)[-1].startswith("."):
+        max_depth = -1
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = iter(lister(folder))
+                while entries := list(islice(found, ENTRIES)):
+                    names, folders, sizes, times = zip(*entries)
+                    uris = [f"{folder.rstrip('/')}/{name}" for name in names]
+                    yield pa.RecordBatch.from_arrays([pa.array(uris), pa.array(names), pa.array(folders), pa.array(sizes, pa.int64()), pa.array(times, pa.int64())], ["uri", "name", "is_folder", "size_bytes", "changed"])
+
+    schema = "uri string, name string, is_folder boolean, size_bytes long, changed long"
+    folders, n, most = spark.createDataFrame([(root,)], "uri string"), 1, 4 * spark.sparkContext.defaultParallelism
+    while n and len(rounds) <= max_depth:
+        listed = folders.repartition(min(n, most), "uri").mapInArrow(run, schema)  # a stated number, so that few small rows aren't put into one task
+        rounds.append(work.write(listed, f"depth-{len(rounds)}").withColumn("depth", F.lit(len(rounds))))
+        shown = ~F.startswith("name", F.lit(".")) & (F.col("name") != THUMBNAILS)
+        folders = rounds[-1].where(F.col("is_folder") & shown).select("uri")
+        n = folders.count() if len(rounds) <= max_depth else 0
+    found = reduce(DataFrame.unionByName, rounds) if rounds else spark.createDataFrame([], f"{schema}, depth int")
+    return found.where(~F.col("is_folder")).select("uri", F.when(F.col("name") == "", "unnamed").otherwise(F.col("name")).alias("display_name"), mime_of(F.col("name")).alias("mime_type"), "size_bytes", F.col("changed").alias("date_modified_source"), "depth")
 
 
 def media_catalog(media: DataFrame) -> DataFrame:
