@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.fixtures import Index, with_views
 
 NOW = 1_705_000_000_000
-_MODULES = ("catalog", "records", "evidence", "streams")
+_MODULES = ("catalog", "records", "evidence", "streams", "stores")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
