@@ -16,8 +16,11 @@ Cases: null text counts as empty, a null role as "user"; JSON that can't be read
 beside calls, and bodies not read in full or with repeated identifiers, stay verbatim as content; a
 repeated identifier counts once, its first call by turn; results without a call, and calls without a
 result, are marked. Calls belong to their row, so rows that share conversation and turn keep their own.
-Null is a conversation like any other; null turns come first. A schema that is no object checks nothing.
-Other columns play no part.
+Null is a conversation like any other; null turns come first. A schema that is no object checks nothing,
+nor does a type or a required name that isn't a string; a list of types holds if one does. Truth values are
+no numbers, 1.0 is an integer. Lone halves of surrogate pairs are no identifiers or names, stay escapes in
+arguments, and are U+FFFD in content; arguments that JSON can't write (infinite numbers, or nested too deep)
+are null and not valid. Other columns play no part.
 
 Scale: one row a message. Conversations with up to ``TOGETHER`` calls that wait for others are ordered
 each in one group of that bounded size; in longer ones, of any length, levels cost one join each.
@@ -26,7 +29,7 @@ each in one group of that bounded size; in longer ones, of any length, levels co
 from __future__ import annotations
 
 import json
-import math
+import re
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,34 +44,86 @@ _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 TOGETHER = 10_000  # waits of a conversation that are ordered in one group
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Canonical JSON; halves of surrogate pairs, which UTF-8 can't hold, stay escapes."""
+    written = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE.sub(lambda half: f"\\u{ord(half.group()):04x}", written)
+
+
+def _text(value: str) -> str:
+    """A string as UTF-8 can hold it: lone halves of surrogate pairs become U+FFFD."""
+    return _LONE.sub("\ufffd", value)
+
+
+def _name(value) -> bool:
+    """Whether a value can name something: a string that UTF-8 can hold."""
+    return isinstance(value, str) and not _LONE.search(value)
+
+
+def same(a, b) -> bool:
+    """Whether two JSON values are equal: truth values are no numbers, 1 and 1.0 are one number."""
+    open_ = [(a, b)]
+    while open_:
+        a, b = open_.pop()
+        if isinstance(a, bool) or isinstance(b, bool):
+            if a is not b:
+                return False
+        elif isinstance(a, dict) and isinstance(b, dict):
+            if a.keys() != b.keys():
+                return False
+            open_ += [(a[k], b[k]) for k in a]
+        elif isinstance(a, list) and isinstance(b, list):
+            if len(a) != len(b):
+                return False
+            open_ += zip(a, b)
+        elif a != b:
+            return False
+    return True
+
+
+def _is(value, kind) -> bool:
+    """Whether a value is of a JSON type; anything but the name of a type holds for all values."""
+    if isinstance(kind, list):
+        return any(_is(value, k) for k in kind if isinstance(k, str)) or not any(isinstance(k, str) for k in kind)
+    if kind in ("number", "integer"):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return not isinstance(kind, str) or kind not in _KINDS or isinstance(value, _KINDS[kind])
 
 
 def schema_errors(value, schema: dict, path: str = "$") -> list[str]:
-    """What a value breaks of a JSON schema (the keywords named above)."""
-    if not isinstance(schema, dict):
-        return []
-    kind = schema.get("type")
-    if kind in ("number", "integer"):
-        ok = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or (math.isfinite(value) and float(value).is_integer()))
-    else:
-        ok = kind not in _KINDS or (isinstance(value, _KINDS[kind]) and not (kind != "boolean" and isinstance(value, bool)))
-    if not ok:
-        return [f"{path}: not {kind}"]
-    out = [] if not isinstance(schema.get("enum"), list) or value in schema["enum"] else [f"{path}: not in enum"]
-    if isinstance(value, dict):
-        known = schema["properties"] if isinstance(schema.get("properties"), dict) else {}
-        required = schema["required"] if isinstance(schema.get("required"), list) else []
-        out += [f"{path}.{k}: missing" for k in required if k not in value]
-        for k, v in value.items():
-            if k in known:
-                out += schema_errors(v, known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{path}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
-        out += [e for i, v in enumerate(value) for e in schema_errors(v, schema["items"], f"{path}[{i}]")]
-    return out
+    """What a value breaks of a JSON schema (the keywords named above), in the order of the value."""
+    out, open_ = [], [((value,), schema, path)]
+    while open_:
+        value, schema, path = open_.pop()
+        if isinstance(value, str):  # an error, ready to be told
+            out.append(path)
+            continue
+        value, inner = value[0], []
+        if not isinstance(schema, dict):
+            continue
+        kind = schema.get("type")
+        if not _is(value, kind):
+            out.append(f"{path}: not {' or '.join(k for k in kind if isinstance(k, str)) if isinstance(kind, list) else kind}")
+            continue
+        if isinstance(schema.get("enum"), list) and not any(same(value, e) for e in schema["enum"]):
+            out.append(f"{path}: not in enum")
+        if isinstance(value, dict):
+            known = schema["properties"] if isinstance(schema.get("properties"), dict) else {}
+            required = schema["required"] if isinstance(schema.get("required"), list) else []
+            out += [f"{path}.{k}: missing" for k in required if isinstance(k, str) and k not in value]
+            for k, v in value.items():
+                if k in known:
+                    inner.append(((v,), known[k], f"{path}.{k}"))
+                elif schema.get("additionalProperties") is False:
+                    inner.append(("", None, f"{path}.{k}: unknown"))
+        if isinstance(value, list) and "items" in schema:
+            inner += [((v,), schema["items"], f"{path}[{i}]") for i, v in enumerate(value)]
+        open_ += reversed(inner)
+    return [_text(e) for e in out]
 
 
 def declared_tools(text: str) -> list[dict]:
@@ -83,8 +138,11 @@ def declared_tools(text: str) -> list[dict]:
     out = []
     for tool in listed if isinstance(listed, list) else []:
         tool = tool.get("function", tool) if isinstance(tool, dict) else {}
-        if isinstance(tool, dict) and isinstance(tool.get("name"), str):
-            out.append({"name": tool["name"], "schema": json.dumps(tool.get("parameters"))})
+        if isinstance(tool, dict) and _name(tool.get("name")):
+            try:
+                out.append({"name": tool["name"], "schema": json.dumps(tool.get("parameters"))})
+            except RecursionError:
+                out.append({"name": tool["name"], "schema": "null"})
     return out
 
 
@@ -105,11 +163,11 @@ def _objects(text: str) -> tuple[list[dict], list[dict]]:
             value = None
         listed = value.get("tool_calls", [value]) if isinstance(value, dict) else []
         listed = listed if isinstance(listed, list) else []
-        good = [c for c in listed if isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str)]
+        good = [c for c in listed if isinstance(c, dict) and _name(c.get("id")) and _name(c.get("name"))]
         ids = {c["id"] for c in good}
         pieces.append({"text": verbatim, "ids": sorted(ids) if len(ids) == len(listed) and not ids & seen else []})
         if isinstance(value, dict) and "tool_calls" in value and isinstance(value.get("content"), str) and pieces[-1]["ids"]:
-            pieces.append({"text": value["content"], "ids": []})
+            pieces.append({"text": _text(value["content"]), "ids": []})
         seen |= ids
         out += good
     return out, pieces
@@ -142,9 +200,9 @@ def parse_messages(messages: DataFrame) -> DataFrame:
                         value = json.loads(text)
                     except (ValueError, RecursionError):
                         value = None
-                    if isinstance(value, dict) and isinstance(value.get("tool_call_id"), str):
+                    if isinstance(value, dict) and _name(value.get("tool_call_id")):
                         result_of, content = value["tool_call_id"], value.get("content", "")
-                        text = content if isinstance(content, str) else json.dumps(content, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                        text = _text(content) if isinstance(content, str) else _result(content)
                 roles.append(role)
                 contents.append(text)
                 calls.append(found)
@@ -161,6 +219,16 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, _PARSED)
 
 
+def _result(content) -> str:
+    """A result that is no string, as JSON; numbers that JSON lacks are written as Python writes them."""
+    try:
+        return canonical(content)
+    except RecursionError:
+        return ""
+    except ValueError:
+        return _text(json.dumps(content, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
 def _call(c: dict) -> dict:
     arguments = c.get("arguments", {})
     if isinstance(arguments, str):
@@ -170,10 +238,10 @@ def _call(c: dict) -> dict:
             pass
     try:
         written, finite = canonical(arguments), True
-    except ValueError:
+    except (ValueError, RecursionError):
         written, finite = "null", False
     after = c.get("after") if isinstance(c.get("after"), list) else []
-    return {"id": c["id"], "name": c["name"], "arguments": written, "finite": finite, "after": [a for a in after if isinstance(a, str)]}
+    return {"id": c["id"], "name": c["name"], "arguments": written, "finite": finite, "after": [_text(a) for a in after if isinstance(a, str)]}
 
 
 def _conv() -> Column:
@@ -193,7 +261,7 @@ def validate(calls: DataFrame, schemas: dict[str, dict] | None) -> DataFrame:
             errors = []
             for name, arguments, schema, finite in zip(*(named[c].to_pylist() for c in ("name", "arguments", "schema", "finite"))):
                 schema = json.loads(schema) if schema is not None else known.get(name, {})
-                errors.append(schema_errors(json.loads(arguments), schema) if finite else ["$: no finite number"])
+                errors.append(schema_errors(json.loads(arguments), schema) if finite else ["$: can't be written as JSON"])
             yield pa.RecordBatch.from_arrays([*(named[c] for c in columns), pa.array(errors, pa.list_(pa.string()))], names=[*columns, "errors"])
 
     kinds = dict(calls.dtypes)
@@ -264,6 +332,17 @@ def call_table(parsed: DataFrame, work: Workspace, schemas: dict[str, dict] | No
     return checked.drop("after").join(call_levels(checked, work), ["conv", "call_id"], "left")
 
 
+def quoted(text: Column) -> Column:
+    """A string as canonical JSON: escapes for quotes, backslashes and control characters only, hexadecimal ones in small letters."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c in "\n\t\r":
+        out = F.replace(out, F.lit(c), F.lit(json.dumps(c)[1:-1]))
+    rare = out
+    for c in (chr(i) for i in range(32) if chr(i) not in "\n\t\r"):
+        rare = F.replace(rare, F.lit(c), F.lit(json.dumps(c)[1:-1]))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(out), F.lit('"'))
+
+
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, label: str = "chat") -> DataFrame:
     """One row a message: conv_id, turn, role, n_calls, n_valid, n_answered, level, result_of, linked, message (canonical JSON).
 
@@ -283,7 +362,6 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, lab
     has = F.col("own").isNotNull()
     said = lambda p: (F.size(p["ids"]) > 0) & (F.size(F.array_except(p["ids"], F.transform("own", lambda x: x["call_id"]))) == 0)
     beside = F.array_join(F.transform(F.filter("pieces", lambda p: ~said(p)), lambda p: p["text"]), "")
-    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'^\{"x":(.*)\}$', "$1")
     each_call = F.transform("own", lambda x: F.concat(F.lit('{"arguments":'), x["arguments"], F.lit(',"id":'), quoted(x["call_id"]), F.lit(',"name":'), quoted(x["name"]), F.lit("}")))
     body = F.concat(F.lit('{"content":'), quoted(F.when(has, beside).otherwise(F.col("content"))), F.lit(',"role":'), quoted(F.col("role")))
     own_calls = F.concat(F.lit(',"tool_calls":['), F.array_join(each_call, ","), F.lit("]}"))

@@ -144,3 +144,43 @@ def test_chat(spark):
     assert got[(1, 2)]["linked"] and got[(1, 2)]["level"] == 2 and m[(1, 2)]["content"] == '{"a":[2],"z":1}'
     assert got[(1, 3)]["linked"] is False and got[(1, 4)]["n_calls"] == 1 and m[(None, None)] == {"content": "", "role": "user"} and m[(2, 0)]["content"] == "{broken"
     assert format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_odd_schemas(spark):
+    from corvane.llm.chat import same, schema_errors
+
+    assert schema_errors(None, {"type": ["string", "null"]}) == [] and schema_errors(3, {"type": ["string", "null"]}) == ["$: not string or null"]
+    assert schema_errors(3, {"type": [["x"], 7]}) == [] and schema_errors(3, {"type": {"a": 1}}) == [] and schema_errors(3, {"type": 5}) == []
+    assert schema_errors(10**400, {"type": "integer"}) == [] and schema_errors(2.0, {"type": "integer"}) == [] and schema_errors(float("inf"), {"type": "integer"}) != []
+    assert schema_errors({}, {"required": [["q"], {"a": 1}, 3, "z"]}) == ["$.z: missing"]
+    assert schema_errors(1, {"enum": [True]}) != [] and schema_errors(True, {"enum": [1]}) != [] and schema_errors(1, {"enum": [1.0]}) == []
+    assert schema_errors({"a": [True]}, {"enum": [{"a": [1]}]}) != [] and same({"a": [1, {"b": None}]}, {"a": [1.0, {"b": None}]})
+    assert schema_errors({"b": [1, "x", 2], "a": 1, "c": 0}, {"properties": {"b": {"items": {"type": "string"}}, "a": {"type": "string"}}, "additionalProperties": False}) == ["$.b[0]: not string", "$.b[2]: not string", "$.a: not string", "$.c: unknown"]
+    deep, value = {"type": "string"}, 1
+    for _ in range(5000):
+        deep, value = {"properties": {"x": deep}}, {"x": value}
+    assert len(schema_errors(value, deep)) == 1
+
+
+def test_odd_json_of_calls_and_texts(spark):
+    from corvane.llm.chat import format_chat
+
+    big = "9" * 400
+    nested = "[" * 900 + "]" * 900
+    calls = [
+        '{"id":"a","name":"find","arguments":{"q":"\\ud800","n":' + big + ',"c":"\\u001f\\u2028"}}',
+        '{"id":"\\udc00","name":"find","arguments":{}}',
+        '{"id":"b","name":"find","arguments":{"q":1e999},"after":["\\ud800"]}',
+        '{"id":"c","name":"find","arguments":{"q":null,"deep":' + nested + "}}",
+    ]
+    schema = {"type": "object", "required": ["q", ["q"]], "properties": {"q": {"type": ["string", "null"]}, "n": {"type": "integer"}}}
+    text = 'a b c\u0085d\x1f\x00\x7f"\\\n\r\t\x0b end \\u001F'
+    rows = [(1, 0, "system", json.dumps({"tools": [{"name": "find", "parameters": schema}]})), *((1, i + 1, "assistant", c) for i, c in enumerate(calls)), (1, 8, "tool", '{"tool_call_id":"a","content":"x\\ud800y"}'), (1, 9, "tool", '{"tool_call_id":"\\ud800","content":1}'), (1, 10, "tool", '{"tool_call_id":"c","content":{"\\udfff":[1e999]}}'), (1, 11, "user", text), (1, 12, text, "role")]
+    got = {r["turn"]: r for r in format_chat(spark.createDataFrame(rows, SCHEMA)).collect()}
+    said = {t: json.loads(r["message"]) for t, r in got.items()}
+    assert [got[t]["n_calls"] for t in (1, 2, 3, 4)] == [1, 0, 1, 1] and [got[t]["n_valid"] for t in (1, 3, 4)] == [1, 0, 1]
+    assert said[1]["tool_calls"][0]["arguments"] == {"q": "\ud800", "n": int(big), "c": "\x1f "} and "\\ud800" in got[1]["message"] and "\\u001f" in got[1]["message"]
+    assert said[2]["content"] == calls[1] and said[3]["tool_calls"][0]["arguments"] is None
+    assert got[8]["linked"] and said[8]["content"] == "x�y" and got[9]["linked"] is None and said[9]["content"] == rows[6][3]
+    assert got[10]["linked"] and said[11] == {"content": text, "role": "user"} and said[12]["role"] == text
+    assert got[11]["message"] == json.dumps({"content": text, "role": "user"}, separators=(",", ":"), ensure_ascii=False)
