@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from corvane import schema
 from corvane.functions import text as tx
 from corvane.operators import albums, classify, cluster, dedup, queue, reads, scan, search, tags
+from corvane.operators.postings import NameIndex, TextIndex
 from corvane.operators.store import ChangeTable
+from corvane.operators.vectorindex import VectorIndex
 from corvane.schema import KEYS, Settings
 
 _SCHEMAS = {
@@ -30,6 +32,7 @@ class FileIndex:
         self.spark, self.folder, self.now_ms = spark, folder.rstrip("/"), now_ms
         self.settings = Settings().override(spark)
         self.tables = {name: ChangeTable(spark, f"{self.folder}/{name}", KEYS[name]) for name in _SCHEMAS}
+        self.words, self.names, self.vectors = TextIndex(spark, f"{self.folder}/words"), NameIndex(spark, f"{self.folder}/names"), VectorIndex(spark, f"{self.folder}/vectors")
         for name, table in self.tables.items():
             if not table.version():
                 table.write(spark.createDataFrame([], _SCHEMAS[name]))
@@ -140,18 +143,54 @@ class FileIndex:
     # search and duplicates -----------------------------------------------------------------------
 
     def build_search(self) -> None:
-        """Write the inverted index anew."""
-        search.store_index(search.inverted_index(reads.live(self.read("files"))), f"{self.folder}/search")
+        """Write the stored indexes of words, names and vectors of the live files anew."""
+        live = reads.live(self.read("files"))
+        self.words.write(live)
+        self.names.write(live)
+        self.vectors.write(self.read("embeddings").join(live.select("file_id"), "file_id", "left_semi"))
+
+    def _live(self, found: DataFrame) -> DataFrame:
+        return reads.live(self.read("files")).join(found, "file_id", "left_semi").orderBy("file_id")
 
     def match(self, query: str) -> DataFrame:
-        return search.matching_files(search.stored_index(self.spark, f"{self.folder}/search"), self.read("files"), query)
+        """Live files that fit a match query."""
+        return self._live(self.words.match(query))
+
+    def find_names(self, term: str, n: int = 50) -> DataFrame:
+        """(file_id, display_name) of live files whose name contains a term; % and _ are wildcards."""
+        found = self.names.search(term).join(reads.live(self.read("files")).select("file_id"), "file_id", "left_semi")
+        return found.select("file_id", F.col("name").alias("display_name")).orderBy("display_name", "file_id").limit(n)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, file_id, keyword) of (query_id, query), from the stored index."""
-        return search.stored_keyword_scores(self.spark, f"{self.folder}/search", queries)
-
-    def nearest(self, vectors: DataFrame, k: int = 10) -> DataFrame:
-        return search.nearest(vectors, self.read("embeddings"), k)
+        return self.words.keyword_scores(queries)
+
+    def nearest(self, vectors: list[tuple[int, list[float]]], k: int = 10) -> DataFrame:
+        """(query_id, rank, file_id, score) of stated vectors, from the stored index."""
+        return self.vectors.search(vectors, k)
+
+    def hybrid(self, query: str, vector: list[float] | None = None, k: int = 30) -> DataFrame:
+        """(file_id, score): candidates by words and by vector together, ranked by all their scores.
+
+        The score of a name is the share of the query's words that it holds, that of the metadata the same
+        for the file's tags.
+        """
+        keyword = self.words.search(query, k).withColumn("query_id", F.lit(0))
+        semantic = self.vectors.search([(0, vector)], k, exclude_self=False) if vector is not None else keyword.select("query_id", "file_id", F.lit(0.0).alias("score")).limit(0)
+        semantic = semantic.select(F.lit(0).alias("query_id"), "file_id", F.col("score").alias("semantic"))
+        candidates = keyword.select("file_id").unionByName(semantic.select("file_id")).distinct()
+        asked = F.array_distinct(search.words(F.lit(query)))
+        share = lambda text: F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, search.words(text))) / F.size(asked)).otherwise(0.0)
+        few = reads.live(self.read("files")).join(F.broadcast(candidates), "file_id").select(F.lit(0).alias("query_id"), "file_id", "display_name", "extracted_text", F.coalesce("tags_concat", F.lit("")).alias("tags"))  # at most 2 k candidates
+        told = few.select("query_id", "file_id", F.round(share(F.concat_ws(" ", "display_name", "extracted_text")), 6).alias("keyword"), F.round(share(F.col("display_name")), 6).alias("filename"), F.round(share(F.col("tags")), 6).alias("metadata"))
+        keys = ["query_id", "file_id"]
+        return search.hybrid(told.select(*keys, "keyword"), semantic, told.select(*keys, "filename"), told.select(*keys, "metadata"), 2 * k, self.settings).select("file_id", "score").orderBy(F.desc("score"), "file_id")
+
+    def related(self, file_ids: list[int]) -> DataFrame:
+        """(query_id, file_id, score) of the files most like some stated files."""
+        own = self.read("embeddings").where(F.col("file_id").isin(file_ids)).select("file_id", "vector")
+        near = self.vectors.search([(r["file_id"], r["vector"]) for r in own.collect()], self.settings.related_top_k)  # the stated files
+        return search.related(near, self.read("file_album"), self.read("file_tag"), self.read("files"), self.settings)
 
     def duplicates(self) -> DataFrame:
         files = self.read("files")

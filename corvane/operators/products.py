@@ -2,7 +2,7 @@
 
 The side (queries, centroids) is read in blocks of ``SIDE`` vectors; each block is sent to the tasks and
 costs one pass over the rows, so neither memory nor a broadcast grows with either side, and no pair is
-ever a row. Vectors of different lengths are multiplied over the shorter length; a null vector counts as
+ever a row. Products are made in tiles of ``TILE`` rows a side, so a worker holds a few tiles at most. Vectors of different lengths are multiplied over the shorter length; a null vector counts as
 empty.
 """
 
@@ -16,9 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.runtime import ship_package
+from corvane.runtime import arrow_rows, ship_package
 
 SIDE = 1 << 14
+TILE = 1 << 11
 TIE = 2e-6  # scores are rounded to six places later
 
 
@@ -52,13 +53,16 @@ def best_product(rows: DataFrame, id: str, vector: str, side: DataFrame, side_ve
     """(id, best): the largest product of each row with any vector of the side; nothing without a side."""
     spark, kind, found = rows.sparkSession, dict(rows.dtypes)[id], None
     ship_package(spark)
+    arrow_rows(spark, TILE)
     picked = rows.select(id, vector)
     for _, block in _blocks(side.withColumn("_", F.lit(0)), "_", side_vector):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             for batch in batches:
-                best = _product(_matrix(batch.column(1)), shared.value).max(axis=1) if batch.num_rows else np.zeros(0)
+                x, best = _matrix(batch.column(1)), np.full(batch.num_rows, -np.inf)
+                for at in range(0, len(shared.value), TILE):
+                    np.maximum(best, _product(x, shared.value[at : at + TILE]).max(axis=1), out=best)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=[id, "best"])
 
         part = picked.mapInArrow(run, f"{id} {kind}, best double")
@@ -72,6 +76,7 @@ def top_products(rows: DataFrame, id: str, vector: str, queries: DataFrame, quer
     """(query, id, score) of at least the k rows with the largest products of each query, ties with the last one included."""
     spark, kinds, found = rows.sparkSession, (dict(queries.dtypes)[query], dict(rows.dtypes)[id]), None
     ship_package(spark)
+    arrow_rows(spark, TILE)
     picked = rows.select(id, vector)
     for keys, block in _blocks(queries, query, query_vector):
         shared = spark.sparkContext.broadcast((np.array(keys), block))
@@ -79,16 +84,18 @@ def top_products(rows: DataFrame, id: str, vector: str, queries: DataFrame, quer
         def run(batches, shared=shared):
             names, block = shared.value
             for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = _product(block, _matrix(batch.column(1)))
-                if exclude_self:
-                    scores[names[:, None] == own[None, :]] = -np.inf
-                if scores.shape[1] > k:
-                    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                else:
-                    floor = np.full(len(names), -np.inf)
-                q, r = np.nonzero((scores >= floor[:, None] - TIE) & (scores > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), batch.column(0).take(pa.array(r)), pa.array(scores[q, r])], names=[query, id, "score"])
+                own, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+                for at in range(0, len(names), TILE):
+                    asked = names[at : at + TILE]
+                    scores = _product(block[at : at + TILE], x)
+                    if exclude_self:
+                        scores[asked[:, None] == own[None, :]] = -np.inf
+                    if scores.shape[1] > k:
+                        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    else:
+                        floor = np.full(len(asked), -np.inf)
+                    q, r = np.nonzero((scores >= floor[:, None] - TIE) & (scores > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[q]), batch.column(0).take(pa.array(r)), pa.array(scores[q, r])], names=[query, id, "score"])
 
         part = picked.mapInArrow(run, f"{query} {kinds[0]}, {id} {kinds[1]}, score double")
         found = part if found is None else found.unionByName(part)

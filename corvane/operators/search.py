@@ -123,16 +123,19 @@ def fuse(keyword, semantic, filename, metadata, settings: Settings = Settings())
 
 
 def hybrid(keyword: DataFrame, semantic: DataFrame, filename: DataFrame, metadata: DataFrame, k: int = 30, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, rank, file_id, score): candidates of the keyword and vector searches together, all four scores for each.
+    """(query_id, rank, file_id, score): the k best by words and all by vector, with all four scores for each.
 
-    Each input is (query_id, file_id, its score under its name).
+    Each input is (query_id, file_id, its score under its name), a file once a query. They meet in one sum
+    by query and file; the candidates and their ranks are windows of a query.
     """
-    top = Window.partitionBy("query_id").orderBy(F.desc("keyword"), "file_id")
-    some = keyword.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("query_id", "file_id")
-    keys = ["query_id", "file_id"]
-    candidates = some.unionByName(semantic.select(keys)).distinct()
-    for side in (keyword, semantic, filename, metadata):
-        candidates = candidates.join(side, keys, "left")
+    sides = {"keyword": keyword, "semantic": semantic, "filename": filename, "metadata": metadata}
+    rows = None
+    for name, side in sides.items():
+        own = side.select("query_id", "file_id", *[(F.col(c) if c == name else F.lit(None)).cast("double").alias(c) for c in sides])
+        rows = own if rows is None else rows.unionByName(own)
+    met = rows.groupBy("query_id", "file_id").agg(*[F.max(c).alias(c) for c in sides])
+    by_words = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("keyword"), "file_id")
+    candidates = met.withColumn("r", F.row_number().over(by_words)).where((F.col("keyword").isNotNull() & (F.col("r") <= k)) | F.col("semantic").isNotNull())
     scored = candidates.withColumn("score", fuse(F.col("keyword"), F.col("semantic"), F.col("filename"), F.col("metadata"), settings))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_id")
     return scored.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "file_id", "score")

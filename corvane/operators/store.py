@@ -8,6 +8,7 @@ and renames it; readers see a whole version.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,17 +177,23 @@ class ChangeTable(SnapshotTable):
         return max((int(n[6:]) for n in names if n.startswith("whole-")), default=0)
 
     def read(self) -> DataFrame:
-        first, last = self._whole(), self.version()
-        paths = [f"{self.path}/v={n}" for n in range(max(first, 1), last + 1)]
-        rows = None
-        for n, path in enumerate(paths):
-            part = self.spark.read.parquet(path).withColumn("_version", F.lit(n))
-            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-        if len(paths) == 1:
-            return rows.drop("_version")
-        columns = [c for c in rows.columns if c != "_version"]
-        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "_version").alias("_row"))
-        return newest.select("_row.*")
+        """Rows of the newest whole version whose key no change has (an anti-join with the changed keys alone), and the newest change of every key.
+
+        The base isn't grouped; where the changed keys are few enough to be sent to all tasks, which Spark
+        decides by the size of their files, it isn't shuffled either.
+        """
+        first, last = max(self._whole(), 1), self.version()
+        base, changes = self.spark.read.parquet(f"{self.path}/v={first}"), None
+        for n in range(first + 1, last + 1):
+            part = self.spark.read.parquet(f"{self.path}/v={n}").withColumn("_version", F.lit(n))
+            changes = part if changes is None else changes.unionByName(part, allowMissingColumns=True)
+        if changes is None:
+            return base
+        columns = [c for c in changes.columns if c != "_version"]
+        newest = changes.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "_version").alias("_row")).select("_row.*")
+        told = changes.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys])
+        return base.join(told, same, "left_anti").unionByName(newest, allowMissingColumns=True)
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
         """The whole table, as a new version."""

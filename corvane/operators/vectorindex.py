@@ -71,6 +71,14 @@ def _padded(x: np.ndarray, length: int) -> np.ndarray:
     return np.pad(x[:, :length], ((0, 0), (0, length - min(length, x.shape[1]))))
 
 
+def _best(scored: DataFrame, k: int, queries: int) -> DataFrame:
+    """The k best of each query with their rank; those of a single query need no shuffle."""
+    if queries == 1:
+        scored = scored.orderBy(F.desc("rounded"), "file_id").limit(k)
+    order = Window.partitionBy("query").orderBy(F.desc("rounded"), "file_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -129,8 +137,7 @@ class VectorIndex:
                 first[i, order[: int(np.searchsorted(np.cumsum(sizes[order]), k + 1)) + 1]] = True
             ids = [i for i, _ in queries]
             seeds = self._products(numbers[first.any(axis=0)].tolist(), None, q, ids, first, numbers, k, exclude_self)
-            rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "file_id"))
-            best = seeds.withColumn("rank", rank).where(F.col("rank") <= k).toArrow()  # at most k rows a stated query
+            best = _best(seeds.withColumn("rounded", F.round("score", 6)), k, len(queries)).drop("rounded", "rank").toArrow()  # at most k rows a stated query
             by, scores = best.column("query").to_numpy(), best.column("score").to_numpy()
             floors = np.array([scores[by == i].min() if (by == i).sum() == k else -np.inf for i in range(len(q))]) - TIE
             if floor is not None:
@@ -145,13 +152,11 @@ class VectorIndex:
                 found = more if found is None else found.unionByName(more)
         if found is None:
             return self.spark.createDataFrame([], "query_id long, rank int, file_id long, score double")
-        named = self.spark.createDataFrame(list(enumerate(ids)), "query int, query_id long")
-        scored = found.withColumn("score", F.round("score", 6))
+        scored = found.withColumn("rounded", F.round("score", 6))
         if floor is not None:
-            scored = scored.where(F.col("score") >= floor)
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "file_id")
-        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        return ranked.join(F.broadcast(named), "query").select("query_id", "rank", "file_id", "score")  # one row a stated query
+            scored = scored.where(F.col("rounded") >= floor)
+        named = F.array(*[F.lit(i).cast("long") for i in ids])[F.col("query")]
+        return _best(scored, k, len(queries)).select(named.alias("query_id"), "rank", "file_id", F.col("rounded").alias("score"))
 
     def _products(self, cells: list[int], least: list[float] | None, q: np.ndarray, ids: list, visits: np.ndarray, numbers: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
         """At least the k largest products of each query with the vectors of the cells that it visits, ties included."""
