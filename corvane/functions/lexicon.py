@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,13 +86,48 @@ def may_match(gram: Column) -> Column:
     return first(4).isin(sorted({t[:n] for t in terms for n in range(1, 5)})) | first(3).isin(sorted(t for t in terms if len(t) == 3)) | first(2).isin(sorted(t for t in terms if len(t) == 2))
 
 
-def lexicon_grams(toks: Column) -> Column:
-    """Distinct tokens and neighbour pairs that may match; a pair is joined only where its first token allows it."""
-    token = lambda i: F.get(toks, i)
-    firsts = F.filter(F.sequence(F.lit(0), F.size(toks) - 2), lambda i: may_match(token(i)) | (F.length(token(i)) < 4))
-    pairs = F.transform(firsts, lambda i: F.concat(token(i), F.lit(" "), token(i + 1)))
-    every = F.filter(F.when(F.size(toks) < 2, toks).otherwise(F.concat(toks, pairs)), may_match)
-    return F.array_distinct(every)
+#: Tokens of a lower-cased text, as tokens() parts them.
+TOKEN = re.compile(r"[a-z0-9+.#-]{2,}")
+REMEMBERED = 1 << 18
+
+
+class TermMatcher(dict):
+    """Numbers of the LEXICON's entries that a gram matches, for use on executors; those asked for are remembered."""
+
+    def __init__(self):
+        super().__init__()
+        self.stop = frozenset(STOP_WORDS)
+        self.whole: dict[str, list[int]] = {}
+        self.cut: dict[str, list[int]] = {}
+        for n, (*_, term, _weight) in enumerate(LEXICON):
+            self.whole.setdefault(term, []).append(n)
+            for less in range(1, min(MAX_SUFFIX, len(term) - 1) + 1):
+                self.cut.setdefault(term[:-less], []).append(n)
+        #: first words of terms of two words: no other pair of tokens matches what its first token doesn't
+        self.firsts = frozenset(t.split(" ")[0] for t in self.whole if " " in t)
+
+    def __missing__(self, gram: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = set(self.cut.get(gram, ()))
+        for more in range(min(MAX_SUFFIX, len(gram) - 1) + 1):
+            found.update(self.whole.get(gram[: len(gram) - more], ()))
+        self[gram] = out = tuple(sorted(found))
+        return out
+
+    def tokens(self, lowered: str) -> list[str]:
+        return [t for t in TOKEN.findall(lowered) if t not in self.stop]
+
+    def hits(self, lowered: str) -> list[int]:
+        """Entries that the tokens of a lower-cased text, or neighbours among them, match."""
+        toks = self.tokens(lowered)
+        distinct = set(toks)
+        found = {n for t in distinct for n in self[t]}
+        if not self.firsts.isdisjoint(distinct):
+            for a, b in zip(toks, toks[1:]):
+                if a in self.firsts:
+                    found.update(self[f"{a} {b}"])
+        return sorted(found)
 
 
 def match_terms(grams: DataFrame, gram: str = "gram") -> DataFrame:

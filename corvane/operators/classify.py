@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions.lexicon import lexicon_grams, match_terms
+from corvane.functions.lexicon import LEXICON, TermMatcher
 from corvane.functions.vector import clamp
 from corvane.operators.products import best_product
+from corvane.runtime import arrow_rows, ship_package
 from corvane.schema import Settings
 
 SATURATION = 2.5
@@ -21,15 +23,29 @@ WEIGHTS = {"keyword": 0.45, "centroid": 0.35, "agreement": 0.15, "history": 0.05
 NEUTRAL_HISTORY = 0.5
 
 
-def grams(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:
-    """(id, gram): the distinct tokens and neighbour pairs of each text that may match a term of the lexicon."""
-    toks = files.select(id, tx.tokens(text).alias("toks"))
-    return toks.select(id, F.explode(lexicon_grams(F.col("toks"))).alias("gram"))
-
-
 def term_hits(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:
-    """(id, cat_ord, category, term_ord, term, weight): every lexicon term that a text matches, once."""
-    return match_terms(grams(files, text, id)).select(id, "cat_ord", "category", "term_ord", "term", "weight").distinct()
+    """(id, cat_ord, category, term_ord, term, weight): every lexicon term that a text matches, once.
+
+    The lexicon is a constant of the library, so texts meet it in a map over Arrow batches: a text is parted
+    once, and only its matches leave the map. As columns, every token would be an element of an interpreted
+    filter, or a row of a shuffle.
+    """
+    ship_package(files.sparkSession)
+    arrow_rows(files.sparkSession)
+    kind = dict(files.dtypes)[id]
+    fields = list(zip(*LEXICON))
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64()]
+
+    def run(batches):
+        matcher, columns = TermMatcher(), [pa.array(f, k) for f, k in zip(fields, kinds)]
+        for batch in batches:
+            found = [matcher.hits(t) if t else [] for t in batch.column(1).to_pylist()]
+            own = pa.array([i for i, hits in enumerate(found) for _ in hits], pa.int64())
+            at = pa.array([n for hits in found for n in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), *(c.take(at) for c in columns)], [id, "cat_ord", "category", "term_ord", "term", "weight"])
+
+    rows = files.select(id, F.lower(text).alias("lowered"))
+    return rows.mapInArrow(run, f"{id} {kind}, cat_ord int, category string, term_ord int, term string, weight double").distinct()
 
 
 def category_scores(files: DataFrame, text: Column, id: str = "file_id") -> DataFrame:
