@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,19 +35,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-BANDS = 4
-
-
-def bands(hash: Column) -> Column:
-    """The 16-bit bands of a 64-bit hash, lowest first."""
-    return F.array(*[F.shiftrightunsigned(hash, 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(BANDS)])
-
-
-def near_masks(reach: int) -> Column:
-    """All differences of two bands of at most so many bits, the smallest first."""
-    return F.array(*[F.lit(sum(1 << b for b in bits)) for n in range(reach + 1) for bits in combinations(range(16), n)])
-
-
 def smoothed_idf(documents: Column, frequency: Column) -> Column:
     return F.log((documents + 1.0) / (frequency + 1.0)) + 1.0
 

@@ -159,6 +159,11 @@ def _made_hashes(ix: Index) -> DataFrame:
 
 query("join15_hamming", f"WITH al AS ({_MADE}), mh AS (SELECT min(file_id) AS file_id, phash FROM al GROUP BY phash) {_NEAR_SQL}", "hashes")(lambda ix: dd.hamming_pairs(_made_hashes(ix)))
 
+query(
+    "join15_hamming_links",
+    f"WITH al AS ({_MADE}), c AS (SELECT phash, min(file_id) AS class_id, count(*) AS n FROM al GROUP BY phash), l AS (SELECT a.phash, a.class_id, sum(b.n) - 1 AS n_links FROM c a JOIN c b ON bit_count(CAST(xor(a.phash, b.phash) AS HUGEINT)) <= 10 GROUP BY ALL) SELECT al.file_id, l.class_id, CAST(l.n_links AS BIGINT) AS n_links FROM al JOIN l ON l.phash = al.phash",
+    "hashes",
+)(lambda ix: dd.hamming_links(_made_hashes(ix)))
 query(
     "ker34_duplicates",
     f"""WITH RECURSIVE al AS ({_MADE}), mh AS (SELECT min(file_id) AS file_id, phash FROM al GROUP BY phash), np AS ({_NEAR_SQL}), ed AS (SELECT file_a AS a, file_b AS b FROM np UNION SELECT file_b, file_a FROM np),

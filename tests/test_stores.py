@@ -195,3 +195,53 @@ def test_empty_vector_index(spark, tmp_path):
     assert index.search([(1, [1.0, 2.0])], 3).count() == 0
     one = vi.VectorIndex(spark, str(tmp_path / "j")).write(spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 1.0])], "file_id long, vector array<float>"))
     assert [tuple(r) for r in one.search([(1, [2.0, 0.0]), (2, [2.0, 0.0])], 3).collect()] == [(2, 1, 1, 2.0)] and one.search([], 3).count() == 0
+
+
+# --- hashes --------------------------------------------------------------------------------------
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def close(hashes, distance):
+    """Pairs of class representatives by brute force."""
+    first = {}
+    for i, h in sorted(hashes, key=lambda x: x[0]):
+        if h is not None:
+            first.setdefault(h, i)
+    items = sorted((i, h) for h, i in first.items())
+    return sorted((i, j, (g ^ h).bit_count()) for n, (i, g) in enumerate(items) for j, h in items[n + 1 :] if (g ^ h).bit_count() <= distance)
+
+
+@pytest.mark.parametrize("kind", ["spread", "flat", "skewed"])
+@pytest.mark.parametrize(("distance", "parts", "hot"), [(10, None, 4096), (10, 2, 20), (10, 3, 4096), (10, 7, 5), (4, 4, 30), (1, None, 3), (0, None, 4096)])
+def test_hashes_within_a_distance(spark, kind, distance, parts, hot):
+    from corvane.operators.dedup import hamming_links, hamming_pairs
+
+    rng = random.Random(f"{kind}{distance}")
+    near = lambda h, k: h ^ sum(1 << b for b in rng.sample(range(64), k))
+    if kind == "spread":
+        base = [rng.getrandbits(64) for _ in range(60)]
+        rows = base + [near(rng.choice(base), rng.randrange(14)) for _ in range(120)]
+    elif kind == "flat":  # flat images: no bit set, or few
+        rows = [near(0, rng.randrange(8)) for _ in range(60)] + [0, 0, (1 << 64) - 1, near((1 << 64) - 1, 3)]
+    else:  # half of the bits never change
+        rows = [(rng.getrandbits(32) << 32) | 0xF0F0F0F0 for _ in range(80)]
+        rows += [near(h, 5) for h in rows[:40]]
+    hashes = [*enumerate(rows), (500, None), (501, rows[0]), (502, rows[0])]
+    frame = spark.createDataFrame([(i, None if h is None else signed(h)) for i, h in hashes], "file_id long, phash long")
+    got = hamming_pairs(frame, distance, 5, parts, hot).collect()
+    assert sorted((r["file_a"], r["file_b"], r["distance"]) for r in got) == close(hashes, distance)
+    assert all(r["kind"] == ("NEAR" if r["distance"] <= 5 else "SIMILAR") for r in got)
+    if parts is None and hot == 4096:
+        links = {r["file_id"]: (r["class_id"], r["n_links"]) for r in hamming_links(frame, distance).collect()}
+        known = [(i, h) for i, h in hashes if h is not None]
+        assert links == {i: (min(j for j, g in known if g == h), sum((g ^ h).bit_count() <= distance for _, g in known) - 1) for i, h in known}
+
+
+def test_more_hashes_make_longer_keys():
+    from corvane.operators.dedup import cheapest_parts
+
+    parts = [cheapest_parts(10**k, 10) for k in range(2, 13)]
+    assert parts == sorted(parts, reverse=True) and parts[0] > parts[-1]
