@@ -44,8 +44,8 @@ def _worked_ids(ix: Index) -> DataFrame:
     return rows.select("text", F.array_join(wp.wordpiece_ids(rows, "text", _VOCABULARY, 8), " ").alias("ids"))
 
 
-query("txt13_normalise", "SELECT doc_id AS file_id, md5(array_to_string(list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda w: w <> ''), ' ')) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F\u00c0-\u00ff]')")(
-    lambda ix: ix.documents.where(~F.col("text").rlike("[^\\x00-\\x7F\u00c0-\u00ff]")).select(F.col("doc_id").alias("file_id"), F.md5(F.array_join(wp.normalised(F.col("text")), " ")).alias("digest"))
+query("txt13_normalise", "SELECT doc_id AS file_id, md5(array_to_string(list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda w: w <> ''), ' ')) AS digest FROM documents")(
+    lambda ix: ix.documents.select(F.col("doc_id").alias("file_id"), F.md5(F.array_join(wp.normalised(F.col("text")), " ")).alias("digest"))
 )
 
 #: A vocabulary of letters and a few longer pieces, so that ids follow from a recursive query.
@@ -55,19 +55,19 @@ _PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *_LETTERS, *[f"##{c}" for c in _L
 _PIECE_SQL = "pc(piece, id) AS (VALUES " + ", ".join(f"('{p}', {i})" for i, p in enumerate(_PIECES)) + ")"
 _MOST = 24
 _WORDPIECE = f"""{_PIECE_SQL},
-  tx AS (SELECT doc_id AS file_id, list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F\u00c0-\u00ff]')),
-  wd AS (SELECT DISTINCT unnest(ws[1:{_MOST}]) AS word FROM tx),
+  tx AS (SELECT doc_id AS file_id, list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda w: w <> '') AS ws FROM documents),
+  wd AS (SELECT DISTINCT unnest(ws) AS word FROM tx),
   gr AS (SELECT word, 0 AS done, CAST([] AS INTEGER[]) AS ids, false AS bad FROM wd
     UNION ALL SELECT word, done + coalesce(hit.len, 100000), list_append(ids, coalesce(hit.id, 1)), hit.id IS NULL
     FROM (SELECT gr.*, (SELECT max_by({{'len': length(p.body), 'id': p.id}}, length(p.body)) FROM (SELECT CASE WHEN piece LIKE '##%' THEN piece[3:] ELSE piece END AS body, piece LIKE '##%' AS inner_piece, id FROM pc WHERE piece NOT LIKE '[%') p
         WHERE p.inner_piece = (gr.done > 0) AND substr(gr.word, gr.done + 1, length(p.body)) = p.body) AS hit FROM gr WHERE done < length(word)) x),
   ok AS (SELECT word, CASE WHEN max(done) >= 100000 THEN [1] ELSE max_by(ids, done) END AS ids FROM gr GROUP BY 1),
   id AS (SELECT tx.file_id, flatten(list(ok.ids ORDER BY w.pos)) AS ids FROM tx, (SELECT file_id, unnest(ws[1:{_MOST}]) AS word, unnest(range(1, least(len(ws), {_MOST}) + 1)) AS pos FROM tx) w, ok WHERE w.file_id = tx.file_id AND ok.word = w.word GROUP BY 1),
-  fin AS (SELECT file_id, [2] || ids[1:{_MOST - 2}] || [3] AS ids FROM id)"""
+  fin AS (SELECT tx.file_id, [2] || coalesce(ids[1:{_MOST - 2}], CAST([] AS INTEGER[])) || [3] AS ids FROM tx LEFT JOIN id ON id.file_id = tx.file_id)"""
 
 
 def _token_ids(ix: Index) -> DataFrame:
-    rows = ix.documents.where(~F.col("text").rlike("[^\\x00-\\x7F\u00c0-\u00ff]") & F.col("text").rlike("\\S"))
+    rows = ix.documents
     vocabulary = {p: i for i, p in enumerate(_PIECES)}
     return rows.select(F.col("doc_id").alias("file_id"), wp.wordpiece_ids(rows, "text", vocabulary, _MOST).alias("ids"))
 
@@ -80,10 +80,9 @@ query("txt16_attention_mask", f"WITH RECURSIVE {_WORDPIECE} SELECT file_id, CAST
 
 
 def _word_pieces(ix: Index) -> DataFrame:
-    rows = ix.documents.where(~F.col("text").rlike("[^\\x00-\\x7F\u00c0-\u00ff]"))
-    words = rows.select(F.explode(F.slice(wp.normalised(F.col("text")), 1, _MOST)).alias("word")).distinct()
+    words = ix.documents.select(F.explode(F.array_distinct(wp.normalised(F.col("text")))).alias("word")).distinct()
     vocabulary = {p: i for i, p in enumerate(_PIECES)}
-    ids = F.filter(wp.wordpiece_ids(words, "word", vocabulary, 256), lambda i: (i != 0) & (i != 2) & (i != 3))
+    ids = F.filter(wp.wordpiece_ids(words, "word", vocabulary, 1 << 12), lambda i: (i != 0) & (i != 2) & (i != 3))  # no word has as many pieces
     return words.select("word", F.array_join(ids, " ").alias("ids"))
 
 
