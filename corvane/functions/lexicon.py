@@ -67,6 +67,12 @@ def category_by_name(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([(i, c) for i, c in enumerate(CATEGORIES)], "cat_ord int, category string").where(F.lower("category") == name.lower())
 
 
+def categories_of(names: DataFrame, name: str) -> DataFrame:
+    """names with the category of each name, whatever its case; null for other names. The lexicon's few categories are sent to all tasks."""
+    known = names.sparkSession.createDataFrame([(c.lower(), c) for c in CATEGORIES], "_lower string, category string")
+    return names.join(F.broadcast(known), F.lower(name) == F.col("_lower"), "left").drop("_lower")
+
+
 def term_matches(term: Column, token: Column) -> Column:
     """Equal, or one is the other with one to three more characters at its end."""
     more = F.length(token) - F.length(term)

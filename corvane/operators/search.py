@@ -156,17 +156,21 @@ def related(near: DataFrame, file_album: DataFrame, file_tag: DataFrame, files:
     return told.select("query_id", "file_id", F.round(F.col("score") + boost, 6).alias("score")).where(F.col("score") >= settings.related_min_similarity)
 
 
+#: Phrases that say nothing about what is looked for, the longest first.
 STOCK_PHRASES = ("documents related to", "find my", "show me", "search for", "show", "find")
 
 
+#: Fixed value: a year, or a date that begins with one.
+DATE = r"\b((?:19|20)\d{2}(?:-\d{1,2}-\d{1,2})?)\b"
+
+
 def parse_intent(query: str, albums: list[str], most_edits: int = 2) -> dict:
     """Dates, album and free text of a query in words; an album is a word within two edits of its name."""
     rest = query.lower()
     for phrase in STOCK_PHRASES:
         rest = re.sub(rf"\b{phrase}\b", " ", rest)
-    dates = re.findall(r"\b(?:19|20)\d{2}(?:-\d{1,2}-\d{1,2})?\b", rest)
-    for d in dates:
-        rest = rest.replace(d, " ", 1)
+    dates = re.findall(DATE, rest)
+    rest = re.sub(DATE, " ", rest)
     album, left = None, []
     for word in rest.split():
         close = [a for a in albums if abs(len(a) - len(word)) <= most_edits and _edits(a.lower(), word) <= min(most_edits, max(0, len(a) // 4))]
@@ -177,6 +181,36 @@ def parse_intent(query: str, albums: list[str], most_edits: int = 2) -> dict:
     return {"album": album, "dates": dates, "text": " ".join(left)}
 
 
+def _deletions(word: Column, most: Column) -> Column:
+    """A word and all that is left of it when up to ``most`` (0 to 2) of its characters are deleted, each once."""
+    less = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    one = F.array_distinct(less(word))
+    two = F.flatten(F.transform(one, less))
+    return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, one).otherwise(F.array().cast("array<string>")), F.when(most >= 2, two).otherwise(F.array().cast("array<string>"))))
+
+
+def parse_intents(queries: DataFrame, albums: DataFrame, most_edits: int = 2) -> DataFrame:
+    """(query_id, album, dates, text) of queries in words (query_id, query), by the rules of parse_intent, for any number of albums (name).
+
+    Two words within two edits share what is left of them after up to two deletions: an equi-join on those
+    finds candidates, whose distance is then computed. Each distinct word is looked up once.
+    """
+    rest = F.lower("query")
+    for phrase in STOCK_PHRASES:
+        rest = F.regexp_replace(rest, rf"\b{phrase}\b", " ")
+    told = queries.select("query_id", rest.alias("rest")).select("query_id", F.regexp_extract_all("rest", F.lit(DATE), F.lit(1)).alias("dates"), F.filter(F.split(F.regexp_replace("rest", DATE, " "), r"\s+"), lambda w: w != "").alias("words"))
+    each = told.select("query_id", F.posexplode("words").alias("pos", "word"))
+    few = F.least(F.lit(most_edits), F.floor(F.length("name") / 4)).cast("int")
+    named = albums.select("name").where(F.col("name").isNotNull()).distinct().select("name", F.lower("name").alias("low"), few.alias("few"))
+    longest = named.agg(F.max(F.length("low")).alias("longest"))
+    asked = each.select("word").distinct().join(F.broadcast(longest), F.length("word") <= F.col("longest") + most_edits).select("word", F.explode(_deletions(F.col("word"), F.lit(most_edits))).alias("left"))
+    close = asked.join(named.select("name", "low", "few", F.explode(_deletions(F.col("low"), F.col("few"))).alias("left")), "left").select("word", "name", "low", "few").distinct()
+    best = close.withColumn("edits", F.levenshtein("word", "low")).where(F.col("edits") <= F.col("few")).groupBy("word").agg(F.min(F.struct("edits", "name"))["name"].alias("album"))
+    first = each.join(best, "word").groupBy("query_id").agg(F.min(F.struct("pos", "album")).alias("f"))
+    text = F.array_join(F.filter(F.transform("words", lambda w, i: F.when(F.coalesce(F.col("f.pos"), F.lit(-1)) != i, w)), lambda w: w.isNotNull()), " ")
+    return told.join(first, "query_id", "left").select("query_id", F.col("f.album").alias("album"), "dates", text.alias("text"))
+
+
 def _edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -604,9 +604,14 @@ query(
 )
 query(
     "txt04_lexicon",
-    f"WITH {_LEX} SELECT category, count(*) AS n, round(sum(weight), 6) AS weight FROM lex GROUP BY 1",
+    f"WITH {_hits_sql('extracted_text')} SELECT l.category, l.term, l.weight, count(h.file_id) AS files FROM lex l LEFT JOIN hits h ON h.cat_ord = l.cat_ord AND h.term_ord = l.term_ord GROUP BY 1, 2, 3",
+    "files",
 )(
-    lambda ix: lx.lexicon_frame(ix.spark).groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    lambda ix: (
+        lx.lexicon_frame(ix.spark)
+        .join(cl.term_hits(ix.files, F.col("extracted_text")).groupBy("cat_ord", "term_ord").agg(F.count("*").alias("files")), ["cat_ord", "term_ord"], "left")
+        .select("category", "term", "weight", F.coalesce("files", F.lit(0).cast("long")).alias("files"))
+    )
 )
 _SPANS = {"txt06_iso_dates": ("'\\b((?:19|20)\\d{2}[-/.]\\d{1,2}[-/.]\\d{1,2})\\b'", "'date:' || replace(replace(s, '/', '-'), '.', '-')", tx.iso_date_tags), "txt08_years": ("'\\b((?:19|20)\\d{2})\\b'", "'year:' || s", tx.year_tags)}
 for _name, (_pattern, _tag, _fn) in _SPANS.items():

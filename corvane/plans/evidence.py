@@ -24,8 +24,9 @@ from corvane.plans.registry import NOW, query
 
 query(
     "txt09_title_case",
-    f"WITH {_LEX} SELECT DISTINCT term, array_to_string(list_transform(string_split(term, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM lex",
-)(lambda ix: lx.lexicon_frame(ix.spark).select("term", tx.title_case(F.col("term")).alias("title")).distinct())
+    f"WITH {_hits_sql('extracted_text')} SELECT DISTINCT file_id, term, array_to_string(list_transform(string_split(term, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM hits",
+    "files",
+)(lambda ix: cl.term_hits(ix.files, F.col("extracted_text")).select("file_id", "term", tx.title_case(F.col("term")).alias("title")).distinct())
 
 # A vocabulary and the ids of a few texts, eight positions each.
 _VOCABULARY = {"[PAD]": 0, "[CLS]": 101, "[SEP]": 102, "[UNK]": 100, "hello": 7592, "world": 2088, "machine": 2600, "learning": 1550, "##ing": 1089, "the": 1996, "weather": 3565, "sunn": 2827, "##y": 2243}
@@ -38,10 +39,15 @@ _CASES = {
 }
 
 
-@query("txt15_worked_token_ids", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{i}')" for t, i in _CASES.items()) + ") v(text, ids)")
+@query(
+    "txt15_worked_token_ids",
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '101 7592 2088 100 100 102 0 0' WHEN 1 THEN '101 1996 2827 2243 3565 100 100 102' WHEN 2 THEN '101 2600 1550 100 100 102 0 0' ELSE '101 7592 2088 7592 2088 7592 2088 102' END AS ids FROM part",
+)
 def _worked_ids(ix: Index) -> DataFrame:
-    rows = ix.spark.createDataFrame([(t,) for t in _CASES], "text string")
-    return rows.select("text", F.array_join(wp.wordpiece_ids(rows, "text", _VOCABULARY, 8), " ").alias("ids"))
+    """The worked examples' words before the two words of every part's name, which have no pieces; the last ones are cut."""
+    before = F.when(F.col("p_partkey") % 4 == 0, "hello world").when(F.col("p_partkey") % 4 == 1, "the sunny weather").when(F.col("p_partkey") % 4 == 2, "machine learning").otherwise("hello world hello world hello world")
+    rows = ix.part.select("p_partkey", F.concat_ws(" ", before, "p_name").alias("text"))
+    return rows.select("p_partkey", F.array_join(wp.wordpiece_ids(rows, "text", _VOCABULARY, 8), " ").alias("ids"))
 
 
 query("txt13_normalise", "SELECT doc_id AS file_id, md5(array_to_string(list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda w: w <> ''), ' ')) AS digest FROM documents")(
@@ -86,19 +92,22 @@ def _word_pieces(ix: Index) -> DataFrame:
     return words.select("word", F.array_join(ids, " ").alias("ids"))
 
 
-@query(
+_ASKED = """SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'Show me ' WHEN 1 THEN 'find my ' ELSE '' END ||
+  CASE o_orderkey % 5 WHEN 0 THEN n_name WHEN 1 THEN substr(n_name, 1, 2) || substr(n_name, 4) WHEN 2 THEN n_name || 'xs' WHEN 3 THEN substr(n_name, 2, 1) || substr(n_name, 1, 1) || substr(n_name, 3) ELSE 'papers' END ||
+  ' documents related to yellow ' || substr(o_orderpriority, 3) || ' ' || CAST(1990 + o_orderkey % 45 AS STRING) || CASE o_orderkey % 2 WHEN 0 THEN '-1-12 end' ELSE ' 12345' END AS query
+  FROM {orders} JOIN {nation} ON n_nationkey = o_custkey % 25"""
+query(
     "txt19_query_intent",
-    """SELECT album_id AS query_id, name AS album, CAST(2000 + album_id % 25 AS VARCHAR) AS dates, 'yellow invoice' AS text FROM albums WHERE parent_album_id IS NULL AND album_id > 200
-       UNION ALL SELECT album_id + 1000, CASE WHEN length(name) >= 8 THEN name END, '', CASE WHEN length(name) >= 8 THEN 'papers' ELSE lower(name[1]) || 'zz' || lower(name[4:]) || ' papers' END FROM albums WHERE parent_album_id IS NULL AND album_id > 200""",
+    f"""WITH q AS ({_ASKED.replace("{", "").replace("}", "")}),
+      r AS (SELECT query_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(query), '\\bdocuments related to\\b', ' ', 'g'), '\\bfind my\\b', ' ', 'g'), '\\bshow me\\b', ' ', 'g'), '\\bsearch for\\b', ' ', 'g'), '\\bshow\\b', ' ', 'g'), '\\bfind\\b', ' ', 'g') AS rest FROM q),
+      w AS (SELECT query_id, array_to_string(regexp_extract_all(rest, '\\b((?:19|20)\\d{{2}}(?:-\\d{{1,2}}-\\d{{1,2}})?)\\b'), ' ') AS dates,
+        list_filter(string_split_regex(regexp_replace(rest, '\\b((?:19|20)\\d{{2}}(?:-\\d{{1,2}}-\\d{{1,2}})?)\\b', ' ', 'g'), '\\s+'), lambda x: x <> '') AS words FROM r),
+      e AS (SELECT query_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+      b AS (SELECT word, min_by(name, (levenshtein(word, lower(name)), name)) AS album FROM (SELECT DISTINCT word FROM e) d, albums WHERE levenshtein(word, lower(name)) <= least(2, length(name) // 4) GROUP BY 1),
+      f AS (SELECT query_id, min(pos) AS pos, min_by(album, pos) AS album FROM e JOIN b USING (word) GROUP BY 1)
+    SELECT w.query_id, f.album, w.dates, array_to_string(list_filter(words, lambda x, i: i <> coalesce(f.pos, 0)), ' ') AS text FROM w LEFT JOIN f ON f.query_id = w.query_id""",
     "albums",
-)
-def _intents(ix: Index) -> DataFrame:
-    """Queries in words: an album's name as it is, or with two letters changed, which fits a name of eight letters and more."""
-    tops = ix.albums.where("parent_album_id IS NULL AND album_id > 200").select("album_id", "name").collect()
-    asked = [(r["album_id"], f"Show me {r['name']} documents related to yellow invoice {2000 + r['album_id'] % 25}") for r in tops]
-    asked += [(r["album_id"] + 1000, f"find {r['name'][0]}zz{r['name'][3:]} papers") for r in tops]
-    found = [(i, se.parse_intent(q, [r["name"] for r in tops])) for i, q in asked]
-    return ix.spark.createDataFrame([(i, x["album"], " ".join(x["dates"]), x["text"]) for i, x in found], "query_id long, album string, dates string, text string")
+)(lambda ix: se.parse_intents(ix.spark.sql(_ASKED, orders=ix.orders, nation=ix.nation), ix.albums).select("query_id", "album", F.array_join("dates", " ").alias("dates"), "text"))
 
 
 # --- vectors -------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.fixtures import Index
 from corvane.functions import lexicon as lx
+from corvane.functions.lexicon import categories_of
 from corvane.functions.wordpiece import load_vocabulary
 from corvane.operators import albums as al
 from corvane.operators import cluster as cu
@@ -71,15 +72,25 @@ def _vocabulary(ix: Index) -> DataFrame:
 _SETTINGS = {**{f: str(getattr(Settings(), f)) for f in Settings.__dataclass_fields__}, "related_top_k": "3", "cloud_enabled": "True"}
 
 
-@query("src07_settings", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _SETTINGS.items()) + ") t(name, value)")
+@query(
+    "src07_settings",
+    "WITH d AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _SETTINGS.items()) + """) t(name, value)),
+         u AS (SELECT 'new_album_min_cluster_size' AS name, CAST(count(*) AS VARCHAR) AS value FROM region UNION ALL SELECT 'ocr_max_pages_per_doc', CAST(max(n_nationkey) AS VARCHAR) FROM nation
+           UNION ALL SELECT 'setting_' || n_nationkey, n_name FROM nation)
+       SELECT name, coalesce(u.value, d.value) AS value FROM d FULL JOIN u USING (name)""",
+)
 def _settings(ix: Index) -> DataFrame:
-    """Defaults and what the session overrides."""
+    """Settings as a table of names and values: defaults and what the session overrides, then updates twice; read as a whole."""
     for key, value in (("related_top_k", "3"), ("cloud_enabled", "true")):
         ix.spark.conf.set(f"corvane.{key}", value)
-    rows = settings_rows(ix.spark)
+    stored = st.ChangeTable(ix.spark, Workspace(ix.spark, "settings").path("t"), ["name"])
+    stored.write(settings_rows(ix.spark))
     for key in ("related_top_k", "cloud_enabled"):
         ix.spark.conf.unset(f"corvane.{key}")
-    return rows
+    named = ix.nation.select(F.concat(F.lit("setting_"), F.col("n_nationkey")).alias("name"), "n_name")
+    stored.merge(named.select("name", F.lower("n_name").alias("value")).unionByName(ix.region.agg(F.lit("new_album_min_cluster_size").alias("name"), F.count("*").cast("string").alias("value"))))
+    stored.merge(named.select("name", F.col("n_name").alias("value")).unionByName(ix.nation.agg(F.lit("ocr_max_pages_per_doc").alias("name"), F.max("n_nationkey").cast("string").alias("value"))))
+    return stored.read()
 
 
 query(
@@ -261,19 +272,19 @@ query(
     f"""SELECT row_number() OVER (ORDER BY score DESC, file_id) AS rank, file_id, score FROM (SELECT b.file_id, round({_DOT}, 6) AS score FROM embs a JOIN embs b ON a.file_id <> b.file_id WHERE a.file_id = 7) t ORDER BY score DESC, file_id LIMIT 5""",
     "embs",
 )(lambda ix: se.nearest(ix.embs.where("file_id = 7").select(F.col("file_id").alias("query_id"), "vector"), ix.embs, 5).select(F.col("rank").cast("long").alias("rank"), "file_id", "score"))
-query("txt05_category_by_name", "SELECT * FROM (VALUES ('FINANCE', 'Finance'), ('photos', 'Photos'), ('none', NULL)) t(wanted, category)")(
-    lambda ix: _categories(ix, ["FINANCE", "photos", "none"])
+query(
+    "txt05_category_by_name",
+    """WITH n AS (SELECT album_id, CASE album_id % 3 WHEN 0 THEN upper(name) WHEN 1 THEN lower(name) ELSE name END AS wanted FROM albums UNION ALL SELECT 1000 + p_partkey, upper(p_name) FROM part)
+       SELECT album_id, wanted, c AS category FROM n LEFT JOIN (SELECT unnest(['Education', 'Career', 'Finance', 'Identity', 'Photos', 'Uncategorized']) AS c) k ON lower(k.c) = lower(n.wanted)""",
+    "albums",
+)(
+    lambda ix: categories_of(
+        ix.albums.select("album_id", F.when(F.col("album_id") % 3 == 0, F.upper("name")).when(F.col("album_id") % 3 == 1, F.lower("name")).otherwise(F.col("name")).alias("wanted")).unionByName(ix.part.select((F.col("p_partkey") + 1000).alias("album_id"), F.upper("p_name").alias("wanted"))),
+        "wanted",
+    )
 )
 
 
-def _categories(ix: Index, names: list[str]) -> DataFrame:
-    out = None
-    for name in names:
-        one = lx.category_by_name(ix.spark, name).agg(F.min("category").alias("category")).select(F.lit(name).alias("wanted"), "category")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 query(
     "ker27_render_dpi",
     """WITH p AS (SELECT p_partkey, CAST(p_partkey * 37 % 3000 AS DOUBLE) AS w, p_size * 60.0e0 AS h FROM part)

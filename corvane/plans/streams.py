@@ -80,27 +80,17 @@ def _items(ix: Index) -> DataFrame:
     return last.select("queue_id", "x.*")
 
 
-@query("str05_cached_frame", "SELECT 'within' AS asked, count(*) AS n FROM nation UNION ALL SELECT 'after', count(*) + 5 FROM nation")
-def _cached(ix: Index) -> DataFrame:
-    """A frame made once is given again within its time to live, and made anew after."""
-    now, frames = [0.0], [ix.nation.select("n_name"), ix.nation.select("n_name").unionByName(ix.region.select(F.col("r_name").alias("n_name")))]
-    cached = jb.CachedFrame(lambda: frames[int(now[0] >= 300)], clock=lambda: now[0])
-    counts = []
-    for asked, at in (("first", 0.0), ("within", 299.0), ("after", 300.0)):
-        now[0] = at
-        counts.append((asked, cached.get().count()))
-    return ix.spark.createDataFrame(counts[1:], "asked string, n long")
-
-
-@query("str06_throttle", "SELECT n_nationkey AS at_minute, n_nationkey % 10 = 0 AS ready FROM nation")
-def _throttled(ix: Index) -> DataFrame:
-    """Asked every minute, a sweep goes through every ten."""
-    now = [0.0]
-    throttle, said = jb.Throttle(clock=lambda: now[0]), []
-    for minute in sorted(r["n_nationkey"] for r in ix.nation.select("n_nationkey").collect()):
-        now[0] = minute * 60.0
-        said.append((minute, throttle.ready()))
-    return ix.spark.createDataFrame(said, "at_minute int, ready boolean")
+def _spells(seconds: int, key: str) -> str:
+    """SQL of the requests of a key that are let through, one round a request, and the last one at or before each."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS t FROM events),
+         g(k, t) AS (SELECT k, min(t) FROM e GROUP BY 1 UNION ALL SELECT g.k, (SELECT min(e.t) FROM e WHERE e.k = g.k AND e.t >= g.t + {seconds}000000) AS n FROM g WHERE g.t IS NOT NULL),
+         l AS (SELECT e.*, (SELECT max(g.t) FROM g WHERE g.k = e.k AND g.t <= e.t) AS since FROM e)"""
+
+
+query("str05_cached_frame", f"{_spells(86400, 'user_id')} SELECT event_id, since AS made_at, since = t AS made FROM l")(
+    lambda ix: jb.spells(ix.events, "user_id", "ts", "event_id", 86400).select("event_id", F.unix_micros(F.col("since")).alias("made_at"), F.col("ready").alias("made"))
+)
+query("str06_throttle", f"{_spells(21600, 'event_type')} SELECT event_id, since = t AS ready FROM l")(lambda ix: jb.spells(ix.events, "event_type", "ts", "event_id", 21600).select("event_id", "ready"))
 
 
 @query(

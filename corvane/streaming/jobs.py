@@ -6,8 +6,10 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from corvane.operators.queue import MAX_RETRIES, drain, eligible
 from corvane.operators.scan import refresh_permissions, sync_scan
@@ -123,6 +125,34 @@ def live_counts(stream: DataFrame, key: str, name: str, checkpoint: str):
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def spells(requests: DataFrame, key: str, at: str, order: str, seconds: float) -> DataFrame:
+    """requests with ``since`` (the request of the same key that was let through last, at or before this one) and ``ready`` (whether it is this one).
+
+    A request is let through if none of its key was in so many seconds before: what a throttle does with
+    calls, and a cache with a time to live with reads (``since`` is then when the value was made). at: a
+    timestamp; equal times are ordered by ``order``; a request without a time is never ready. The requests of
+    a key are read in order, one after the other, as each depends on the one before; a task holds a batch.
+    """
+    columns, step, schema = requests.columns, int(seconds * 1_000_000), StructType([*requests.schema.fields, StructField("since", TimestampType()), StructField("ready", BooleanType())])
+    micros = requests.withColumns({"_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_none": F.col(key).isNull(), "_at": F.unix_micros(F.col(at).cast("timestamp"))})
+
+    def run(batches):
+        last_key, last = None, None
+        for batch in batches:
+            keys, times, since, ready = list(zip(batch.column("_key").to_pylist(), batch.column("_none").to_pylist())), batch.column("_at").to_pylist(), [], []
+            for k, t in zip(keys, times):
+                if k != last_key:
+                    last_key, last = k, None
+                through = t is not None and (last is None or t - last >= step)
+                last = t if through else last
+                since.append(last if t is not None else None)
+                ready.append(through)
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(since, pa.timestamp("us", tz="UTC")), pa.array(ready, pa.bool_())], [*columns, "since", "ready"])
+
+    return micros.repartition("_key", "_none").sortWithinPartitions("_key", "_none", "_at", order).mapInArrow(run, schema)
+
+
 class Throttle:
     """Lets a call through at most once in so many seconds."""
 

@@ -44,3 +44,42 @@ def test_long_words_and_many_of_them(monkeypatch):
     matcher = wp.WordPieces(vocabulary)
     assert matcher["a" * 200_001] == [1] + [3] * 100_000 and matcher["a" * 200_000 + "b"] == [0]
     assert [matcher["a" * n] for n in range(1, 40)] == [plain("a" * n, vocabulary, 0) for n in range(1, 40)] and len(matcher) <= 11
+
+
+def test_intents_like_the_plain_rules(spark):
+    from corvane.operators.search import parse_intent, parse_intents
+
+    rng = random.Random(4)
+    names = ["Finance", "Career", "Identity", "Photos", "Education", "Tax", "Pan Card", "École", "Finances", "Trip 2023"]
+    queries = ["", "find my Finanse documents related to tax 2023", "show FINANCES", "tax txa", "ecole école 1999-1-1 2001", "find show me search for", None]
+    for _ in range(150):
+        word = rng.choice(names).lower()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(word) + 1)
+            word = word[:at] + rng.choice(["", "x", "q"]) + word[at + rng.randrange(2) :]
+        queries.append(f"{rng.choice(['Show me', 'find', '', 'my'])} {word} {rng.choice(['2023', '1999-12-1', '', '20234'])} {rng.choice(names)}")
+    frame = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    albums = spark.createDataFrame([(n,) for n in [*names, "Finance", None]], "name string")
+    got = {r["query_id"]: (r["album"], r["dates"], r["text"]) for r in parse_intents(frame, albums).collect()}
+    for i, q in enumerate(queries):
+        if q is not None:
+            want = parse_intent(q, names)
+            assert got[i] == (want["album"], want["dates"], want["text"]), q
+    assert len(got) == len(queries)
+
+
+def test_spells(spark):
+    from datetime import datetime, timedelta
+
+    from corvane.streaming.jobs import spells
+
+    rng, start = random.Random(6), datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["a", "b", "", None]), start + timedelta(seconds=rng.randrange(5000))) for i in range(400)] + [(900, "a", None), (901, "c", start), (902, "c", start)]
+    got = {r["id"]: (r["since"], r["ready"]) for r in spells(spark.createDataFrame(rows, "id long, k string, at timestamp"), "k", "at", "id", 600).collect()}
+    for key in {r[1] for r in rows}:
+        last = None
+        for i, _, at in sorted((r for r in rows if r[1] == key and r[2]), key=lambda r: (r[2], r[0])):
+            ready = last is None or (at - last).total_seconds() >= 600
+            last = at if ready else last
+            assert got[i] == (last, ready)
+    assert got[900] == (None, False)
