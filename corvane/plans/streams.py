@@ -12,6 +12,7 @@ from corvane.operators.store import ChangeTable, SnapshotTable
 from corvane.plans.registry import NOW, query
 from corvane.runtime import Workspace
 from corvane.streaming import jobs as jb
+from corvane.streaming import views as vw
 
 
 def _streamed(ix: Index, rows: DataFrame, work: Workspace, name: str, files: int = 1) -> DataFrame:
@@ -28,6 +29,47 @@ def _live(ix: Index) -> DataFrame:
     return work.write(ix.spark.table(name), "out")
 
 
+def _changed(ix: Index, work: Workspace, name: str, table: DataFrame, keys: list[str], view, changes: list[DataFrame]):
+    """A view of a table that is refreshed after its first version and after every change."""
+    stored = ChangeTable(ix.spark, work.path(name), keys)
+    stored.write(table)
+    live = view(ix.spark, stored, work.path(f"{name}-view"), stored.read().schema)
+    for rows in [None, *changes]:
+        if rows is not None:
+            stored.merge(rows)
+        live.refresh().awaitTermination()
+    return live
+
+
+@query(
+    "str01_live_statuses",
+    """SELECT CASE WHEN file_id % 5 = 0 THEN 'INDEXED' ELSE processing_status END AS processing_status, count(*) AS total FROM (
+         SELECT file_id, processing_status, is_deleted OR file_id % 10 = 5 AS is_deleted FROM files UNION ALL SELECT file_id + 1000000, processing_status, is_deleted FROM files WHERE file_id % 4 = 1) t WHERE NOT is_deleted GROUP BY 1""",
+    "files",
+)
+def _live_statuses(ix: Index) -> DataFrame:
+    """Live files by status, kept up to date while some are added, change their status or are deleted."""
+    files = ix.files.select("file_id", "processing_status", "is_deleted")
+    added = files.where("file_id % 4 = 1").withColumn("file_id", F.col("file_id") + 1000000)
+    fifth = files.unionByName(added).where("file_id % 5 = 0").withColumn("processing_status", F.lit("INDEXED"))
+    gone = fifth.where("file_id % 10 = 5 and file_id < 1000000").withColumn("is_deleted", F.lit(True))
+    return _changed(ix, Workspace(ix.spark, "statuses"), "files", files, ["file_id"], vw.live_statuses, [added, fifth, gone]).read()
+
+
+@query(
+    "str01_live_albums",
+    """WITH l AS (SELECT DISTINCT file_id, CASE WHEN file_id % 3 = 0 THEN 101 ELSE album_id END AS album_id FROM file_album UNION SELECT file_id, album_id FROM file_album)
+       SELECT a.album_id, a.name, (SELECT count(*) FROM l WHERE l.album_id = a.album_id) AS file_count FROM albums a""",
+    "albums file_album",
+)
+def _live_albums(ix: Index) -> DataFrame:
+    """Albums with the number of their files, kept up to date while files are put into another album too, and again into their own."""
+    links = ix.file_album.select("file_id", "album_id", "confidence")
+    more = links.where("file_id % 3 = 0").withColumn("album_id", F.lit(101).cast("long"))
+    live = _changed(ix, Workspace(ix.spark, "links"), "links", links, ["file_id", "album_id"], vw.live_album_files, [more, links.where("file_id % 2 = 0").withColumn("confidence", F.lit(1.0))])
+    return vw.album_counts(ix.albums, live).select("album_id", "name", "file_count")
+
+
 @query(
     "str02_scan",
     """SELECT uri, display_name, CASE WHEN file_id % 11 <> 0 AND file_id % 10 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, processing_status FROM files
