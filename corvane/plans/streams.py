@@ -13,6 +13,7 @@ from corvane.plans.registry import NOW, query
 from corvane.runtime import Workspace
 from corvane.streaming import jobs as jb
 from corvane.streaming import views as vw
+from corvane.streaming.runner import EVENTS, QueueRunner
 
 
 def _streamed(ix: Index, rows: DataFrame, work: Workspace, name: str, files: int = 1) -> DataFrame:
@@ -96,6 +97,21 @@ def _validation(ix: Index) -> DataFrame:
     return folders.read().select("folder_uri", "permission_state", "last_validated_at")
 
 
+@query("str04_queue_runner", "SELECT file_id + 7 AS queue_id, file_id, CASE WHEN (file_id + 7) % 5 < 3 THEN 'DONE' ELSE 'FAILED' END AS status, CAST(least((file_id + 7) % 5, 3) AS INT) AS retry_count FROM files", "files")
+def _ran(ix: Index) -> DataFrame:
+    """An item for every file, which fails as often as its number says: it waits and runs again until it is done, or has no retries left."""
+    work, start, now = Workspace(ix.spark, "runner"), NOW // 1000, [0]
+    runner = QueueRunner(ix.spark, work.path("queue"), lambda due: due.select("queue_id", (F.col("retry_count") >= F.col("queue_id") % 5).alias("ok")), lambda: start + now[0])
+    stamped = lambda rows: rows.withColumn("at", F.timestamp_seconds(F.lit(start + now[0])))
+    tick = ix.spark.range(1).select(F.lit(None).cast("long").alias("queue_id"), F.lit(None).cast("long").alias("file_id"), F.lit("TICK").alias("kind"))
+    items = ix.files.select((F.col("file_id") + 7).alias("queue_id"), "file_id", F.lit("ENQUEUE").alias("kind"))
+    for seconds in (0, 5, 40, 45, 90, 95):
+        now[0] = seconds
+        stamped(tick if seconds else items.unionByName(tick)).write.mode("append").parquet(work.path("in"))
+        runner.start(ix.spark.readStream.schema(EVENTS).parquet(work.path("in"))).awaitTermination()
+    return runner.states().select("queue_id", "file_id", "status", "retry_count")
+
+
 _KIND = "CASE event_id % 7 WHEN 0 THEN 'RESET' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'FAIL' WHEN 3 THEN 'FAIL' WHEN 4 THEN 'START' ELSE 'DONE' END"
 
 

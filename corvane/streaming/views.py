@@ -46,7 +46,7 @@ class Gives(StatefulProcessor):
                 if newest is None or (row[0], row[3]) > (newest[0], newest[3]):
                     newest = row
         version, grp, amount = int(newest[0]), newest[1], int(newest[2])
-        had = self.now.get() if self.now.exists() else None
+        had = self.now.get()
         if had is not None and had[2] >= version:
             return
         self.now.update((grp, amount, version))
