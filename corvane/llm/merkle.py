@@ -216,3 +216,32 @@ def document_manifest(docs: DataFrame) -> DataFrame:
 def op11_merkle_manifest(spark, sf_dir):
     """Contract query over all documents."""
     return document_manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: The manifest in SQL: crc32 by table, levels by a recursive query over whole tables, paths by joins.
+OP11_SQL = """
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i)) x),
+  d AS (SELECT *, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS g,
+      coalesce(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 2 = 0, false) AS even
+    FROM documents, crc),
+  f AS (SELECT doc_id, g, even, text, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head FROM d),
+  h AS (SELECT doc_id, g, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+      sha256(head || CASE WHEN text IS NULL THEN '-' WHEN even THEN strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') ELSE strlen(text) || ':' || text END) AS checked FROM f),
+  n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, checked) - 1 AS pos FROM h),
+  up(g, lvl, pos, digest) AS (SELECT g, 0, pos, leaf FROM n
+    UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM up) u WHERE c > 1 GROUP BY g, lvl, pos // 3),
+  sub AS (SELECT g, max_by(digest, lvl) AS subroot FROM up GROUP BY 1),
+  sn AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos FROM sub),
+  top(lvl, pos, digest) AS (SELECT 0, pos, subroot FROM sn
+    UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM top) u WHERE c > 1 GROUP BY lvl, pos // 3),
+  every AS (SELECT g, lvl, pos, digest FROM up UNION ALL SELECT NULL, lvl, pos, digest FROM top),
+  sib AS (SELECT g, lvl, pos, coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, count(*) OVER (PARTITION BY g, lvl) AS c FROM every),
+  sp AS (SELECT sn.g, coalesce(list({'l': sib.l, 'r': sib.r} ORDER BY sib.lvl) FILTER (sib.lvl IS NOT NULL), []) AS path FROM sn LEFT JOIN sib ON sib.g IS NULL AND sib.c > 1 AND sib.pos = sn.pos // CAST(pow(3, sib.lvl) AS BIGINT) GROUP BY 1),
+  np AS (SELECT n.g, n.pos, any_value(n.doc_id) AS doc_id, any_value(n.leaf) AS leaf, any_value(n.checked) AS checked, coalesce(list({'l': sib.l, 'r': sib.r} ORDER BY sib.lvl) FILTER (sib.lvl IS NOT NULL), []) AS own
+    FROM n LEFT JOIN sib ON sib.g = n.g AND sib.c > 1 AND sib.pos = n.pos // CAST(pow(3, sib.lvl) AS BIGINT) GROUP BY 1, 2),
+  p AS (SELECT np.*, list_concat(own, sp.path) AS path, sub.subroot, (SELECT max_by(digest, lvl) FROM top) AS root FROM np JOIN sp ON sp.g = np.g JOIN sub ON sub.g = np.g),
+  o AS (SELECT *, list_reduce(list_prepend({'l': checked, 'r': ''}, path), lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''}).l AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o
+"""

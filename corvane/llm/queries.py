@@ -11,7 +11,7 @@ from corvane.llm.chat import OP4_SQL, op4_chat_format
 from corvane.llm.decontaminate import op7_decontaminate
 from corvane.llm.language import op9_language_id
 from corvane.llm.lmscore import op5_lm_score
-from corvane.llm.merkle import op11_merkle_manifest
+from corvane.llm.merkle import OP11_SQL, op11_merkle_manifest
 from corvane.llm.mixing import op8_mix_sources
 from corvane.llm.neardup import op3_minhash_neardup
 from corvane.llm.secrets import op6_secret_scan
@@ -47,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op4_chat_format": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
