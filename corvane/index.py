@@ -1,7 +1,7 @@
 """One entry point: the tables of a file index in a folder, and what can be asked of them or done to them.
 
-Tables are ``ChangeTable`` versions below the folder, so every call that changes something writes the
-changed rows only. Reads give DataFrames; nothing is collected here.
+Tables are a ``TableGroup`` below the folder: a call that changes several tables commits their changed rows
+at once, or nothing. Reads give DataFrames of the newest commit.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from corvane import schema
 from corvane.functions import text as tx
 from corvane.operators import albums, classify, cluster, dedup, queue, reads, scan, search, tags
 from corvane.operators.postings import NameIndex, TextIndex
-from corvane.operators.store import ChangeTable
+from corvane.operators.store import GroupedTable, TableGroup
 from corvane.operators.vectorindex import VectorIndex
 from corvane.schema import KEYS, Settings
 
@@ -31,21 +31,27 @@ class FileIndex:
     def __init__(self, spark: SparkSession, folder: str, now_ms=lambda: int(time.time() * 1000)):
         self.spark, self.folder, self.now_ms = spark, folder.rstrip("/"), now_ms
         self.settings = Settings().override(spark)
-        self.tables = {name: ChangeTable(spark, f"{self.folder}/{name}", KEYS[name]) for name in _SCHEMAS}
+        self.group = TableGroup(spark, f"{self.folder}/tables", {name: KEYS[name] for name in _SCHEMAS})
         self.words, self.names, self.vectors = TextIndex(spark, f"{self.folder}/words"), NameIndex(spark, f"{self.folder}/names"), VectorIndex(spark, f"{self.folder}/vectors")
-        for name, table in self.tables.items():
-            if not table.version():
-                table.write(spark.createDataFrame([], _SCHEMAS[name]))
+        self.tables = {name: GroupedTable(self.group, name) for name in _SCHEMAS}
+        missing = {name: spark.createDataFrame([], shape) for name, shape in _SCHEMAS.items() if name not in self.group.state()["tables"]}
+        if missing:
+            self.group.commit(missing)
 
     def read(self, name: str) -> DataFrame:
-        return self.tables[name].read().select(_SCHEMAS[name].names)
+        return self.group.read(name).select(_SCHEMAS[name].names)
 
-    def _merge(self, name: str, rows: DataFrame) -> None:
-        self.tables[name].merge(rows.select(_SCHEMAS[name].names))
+    def _merge(self, **changes: DataFrame) -> None:
+        """Commit changed rows of some tables at once."""
+        self.group.commit({name: rows.select(_SCHEMAS[name].names) for name, rows in changes.items()})
 
-    def _write_new(self, name: str, after: DataFrame, before: DataFrame) -> None:
+    @staticmethod
+    def _new(after: DataFrame, before: DataFrame) -> DataFrame:
         """Rows of after that before has not in this form."""
-        self._merge(name, after.select(before.columns).exceptAll(before))
+        return after.select(before.columns).exceptAll(before)
+
+    def _write_new(self, name: str, after: DataFrame, before: DataFrame) -> None:
+        self._merge(**{name: self._new(after, before)})
 
     # files ---------------------------------------------------------------------------------------
 
@@ -53,7 +59,7 @@ class FileIndex:
         """Take a scan over; (file_id, change_type) of new and changed files."""
         merged, touched = scan.sync_scan(discovered, self.read("files"), self.now_ms())
         touched = touched.persist()
-        self._merge("files", merged.join(touched.select("file_id"), "file_id", "left_semi"))
+        self._merge(files=merged.join(touched.select("file_id"), "file_id", "left_semi"))
         return touched
 
     def mark_missing(self, discovered: DataFrame) -> None:
@@ -96,14 +102,12 @@ class FileIndex:
     def assign(self, rows: DataFrame) -> None:
         """rows: (file_id, album_id, confidence, assigned_by, assigned_at)."""
         files, links = albums.assign(self.read("files"), self.read("file_album"), rows)
-        self._merge("files", files.join(rows.select("file_id").distinct(), "file_id", "left_semi"))
-        self._merge("file_album", links.join(rows.select("file_id", "album_id"), ["file_id", "album_id"], "left_semi"))
+        self._merge(files=files.join(rows.select("file_id").distinct(), "file_id", "left_semi"), file_album=links.join(rows.select("file_id", "album_id"), ["file_id", "album_id"], "left_semi"))
 
     def accept(self, keys: DataFrame) -> None:
         """keys: (file_id, suggested_album_id) of pending suggestions."""
         files, links, suggestions = albums.accept(self.read("files"), self.read("file_album"), self.read("suggestions"), keys, self.now_ms())
-        for name, after in (("files", files), ("file_album", links), ("suggestions", suggestions)):
-            self._write_new(name, after, self.read(name))
+        self._merge(files=self._new(files, self.read("files")), file_album=self._new(links, self.read("file_album")), suggestions=self._new(suggestions, self.read("suggestions")))
 
     def reject(self, keys: DataFrame) -> None:
         before = self.read("suggestions")
@@ -112,9 +116,11 @@ class FileIndex:
     def correct(self, rows: DataFrame) -> None:
         """rows: (file_id, album_id) that a user says."""
         files, links, corrections = albums.correct(self.read("files"), self.read("file_album"), self.read("corrections"), rows, self.now_ms())
+        changes = {}
         for name, after in (("files", files), ("file_album", links), ("corrections", corrections)):
             before = self.read(name)
-            self._write_new(name, after.select([c if c in after.columns else F.lit(None).cast(before.schema[c].dataType).alias(c) for c in before.columns]), before)
+            changes[name] = self._new(after.select([c if c in after.columns else F.lit(None).cast(before.schema[c].dataType).alias(c) for c in before.columns]), before)
+        self._merge(**changes)
 
     def extract_tags(self, files: DataFrame) -> DataFrame:
         return tags.extract_tags(files, F.col("extracted_text"), reads.text_sample(self.read("files"), 300), F.col("extracted_text"))
@@ -136,8 +142,7 @@ class FileIndex:
         before = self.read("queue")
         due = queue.eligible(before, now).select("queue_id", "file_id").persist()
         items, files = queue.drain(before, self.read("files"), stages, now, only_level)
-        self._merge("files", files.join(due.select("file_id").distinct(), "file_id", "left_semi"))
-        self._merge("queue", items.join(due.select("queue_id"), "queue_id", "left_semi"))
+        self._merge(files=files.join(due.select("file_id").distinct(), "file_id", "left_semi"), queue=items.join(due.select("queue_id"), "queue_id", "left_semi"))
         due.unpersist()
 
     # search and duplicates -----------------------------------------------------------------------
@@ -199,8 +204,7 @@ class FileIndex:
 
     def dismiss(self, pairs: DataFrame) -> None:
         """pairs: (file_a, file_b) that are no duplicates."""
-        self._merge("dismissed", pairs)
+        self._merge(dismissed=pairs)
 
     def compact(self) -> None:
-        for table in self.tables.values():
-            table.compact()
+        self.group.compact()

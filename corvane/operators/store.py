@@ -7,7 +7,9 @@ and renames it; readers see a whole version.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -158,6 +160,21 @@ class SnapshotTable:
             fs.delete(path, True)
 
 
+def newest_rows(spark: SparkSession, base: str, parts: list[str], keys: list[str]) -> DataFrame:
+    """Rows of a base whose key no part has, and the newest row of every key in the parts, which are in order."""
+    rows, changes = spark.read.parquet(base), None
+    for n, path in enumerate(parts):
+        part = spark.read.parquet(path).withColumn("_version", F.lit(n))
+        changes = part if changes is None else changes.unionByName(part, allowMissingColumns=True)
+    if changes is None:
+        return rows
+    columns = [c for c in changes.columns if c != "_version"]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_version").alias("_row")).select("_row.*")
+    told = changes.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(told, same, "left_anti").unionByName(newest, allowMissingColumns=True)
+
+
 class ChangeTable(SnapshotTable):
     """A table whose changes cost what they hold: versions are changed rows, and reading takes the newest row of each key.
 
@@ -183,17 +200,7 @@ class ChangeTable(SnapshotTable):
         decides by the size of their files, it isn't shuffled either.
         """
         first, last = max(self._whole(), 1), self.version()
-        base, changes = self.spark.read.parquet(f"{self.path}/v={first}"), None
-        for n in range(first + 1, last + 1):
-            part = self.spark.read.parquet(f"{self.path}/v={n}").withColumn("_version", F.lit(n))
-            changes = part if changes is None else changes.unionByName(part, allowMissingColumns=True)
-        if changes is None:
-            return base
-        columns = [c for c in changes.columns if c != "_version"]
-        newest = changes.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "_version").alias("_row")).select("_row.*")
-        told = changes.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
-        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys])
-        return base.join(told, same, "left_anti").unionByName(newest, allowMissingColumns=True)
+        return newest_rows(self.spark, f"{self.path}/v={first}", [f"{self.path}/v={n}" for n in range(first + 1, last + 1)], self.keys)
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
         """The whole table, as a new version."""
@@ -213,3 +220,147 @@ class ChangeTable(SnapshotTable):
             for old in range(1, last):
                 fs, path = self._at(f"v={old}")
                 fs.delete(path, True)
+
+
+class Conflict(RuntimeError):
+    """Another transaction has changed a table that this one read."""
+
+
+class TableGroup:
+    """Several tables with one log: a commit changes any of them at once, or nothing.
+
+    A commit writes the changed rows of each table to folders of their own, which nobody reads yet, and then
+    one small state, ``log/<n>``: for every table its base and the changes on it, in order. Readers take the
+    newest state, so they see all tables as of one commit; folders of a writer that died stay unread until
+    ``sweep``. A writer whose number another one took looks what that one changed: if it is a table that its
+    transaction has read or writes, the transaction runs again on the new state, else the commit
+    is written under the next number.
+
+    States are renamed into place as folders, which is one step where the file system renames at once;
+    the winner is who finds their own mark inside.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: dict[str, list[str]]):
+        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
+
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def version(self) -> int:
+        fs, folder = self._at("log")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def state(self, version: int | None = None) -> dict:
+        """Of a version (the newest): {"mark", "changed", "tables": {name: {"base", "parts"}}}."""
+        n = self.version() if version is None else version
+        if not n:
+            return {"mark": "", "changed": [], "tables": {}}
+        fs, path = self._at(f"log/{n}/state")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def read(self, name: str, state: dict | None = None) -> DataFrame:
+        table = (state or self.state())["tables"][name]
+        return newest_rows(self.spark, f"{self.folder}/{table['base']}", [f"{self.folder}/{p}" for p in table["parts"]], self.keys[name])
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = f"{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{part}")
+        return part
+
+    def _publish(self, n: int, state: dict) -> bool:
+        """Whether the state became version n."""
+        fs, ready = self._at(f"log/writing-{state['mark']}")
+        _, target = self._at(f"log/{n}")
+        if fs.exists(target):
+            return False
+        _, file = self._at(f"log/writing-{state['mark']}/state")
+        out = fs.create(file, True)
+        out.write(json.dumps(state).encode())
+        out.close()
+        fs.rename(ready, target)
+        won = fs.exists(target) and self.state(n)["mark"] == state["mark"]
+        if not won:
+            for left in (f"log/writing-{state['mark']}", f"log/{n}/writing-{state['mark']}"):
+                fs.delete(self._at(left)[1], True)
+        return won
+
+    def commit(self, changes: dict[str, DataFrame], whole: tuple[str, ...] = (), seen: int | None = None, reads: tuple[str, ...] = ()) -> int:
+        """Write changed rows of some tables (of those in ``whole``, all rows) as one version; its number.
+
+        seen: the version that the changes were made from; reads: the tables they depend on beside those changed.
+        """
+        seen = self.version() if seen is None else seen
+        parts = {name: self._write(name, rows) for name, rows in changes.items()}
+        mark, touched = uuid.uuid4().hex, {*changes, *reads}
+        while True:
+            n = self.version()
+            for other in range(seen + 1, n + 1):
+                if touched & {*self.state(other)["changed"]}:
+                    raise Conflict(f"version {other} changed {sorted(touched & {*self.state(other)['changed']})}")
+            tables = dict(self.state(n)["tables"]) if n else {}
+            for name, part in parts.items():
+                tables[name] = {"base": part, "parts": []} if name in whole or name not in tables else {"base": tables[name]["base"], "parts": [*tables[name]["parts"], part]}
+            if self._publish(n + 1, {"mark": mark, "changed": sorted(changes), "tables": tables}):
+                return n + 1
+
+    def transaction(self, change: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]], tries: int = 5) -> int:
+        """Commit what ``change`` makes of the tables (it gets a function that reads one); again from the new state if another was first."""
+        for turn in range(tries):
+            seen, used = self.version(), set()
+            state = self.state(seen)
+
+            def read(name: str, state=state, used=used) -> DataFrame:
+                used.add(name)
+                return self.read(name, state)
+
+            try:
+                return self.commit(change(read), seen=seen, reads=tuple(used))
+            except Conflict:
+                if turn == tries - 1:
+                    raise
+        raise AssertionError("unreachable")
+
+    def compact(self, most: int = 64) -> None:
+        """Write the tables with more than so many changes anew."""
+        state, seen = self.state(), self.version()
+        many = [n for n, t in state["tables"].items() if len(t["parts"]) > most]
+        if many:
+            self.commit({n: self.read(n, state) for n in many}, tuple(many), seen)
+
+    def sweep(self, keep: int = 10) -> None:
+        """Delete what no state of the newest ``keep`` names, and older states; no writer may be at work."""
+        last = self.version()
+        named = {p for n in range(max(1, last - keep + 1), last + 1) for t in self.state(n)["tables"].values() for p in (t["base"], *t["parts"])}
+        for name in self.keys:
+            fs, folder = self._at(name)
+            for found in fs.listStatus(folder) if fs.exists(folder) else []:
+                if f"{name}/{found.getPath().getName()}" not in named:
+                    fs.delete(found.getPath(), True)
+        fs, log = self._at("log")
+        for found in fs.listStatus(log):
+            if found.getPath().getName().startswith("writing-") or int(found.getPath().getName()) <= last - keep:
+                fs.delete(found.getPath(), True)
+
+
+class GroupedTable:
+    """One table of a group, with the reads and writes of a ChangeTable, for operators and streams that know one table."""
+
+    def __init__(self, group: TableGroup, name: str):
+        self.group, self.name, self.keys = group, name, group.keys[name]
+
+    def read(self) -> DataFrame:
+        return self.group.read(self.name)
+
+    def merge(self, rows: DataFrame, keys: list[str] | None = None) -> int:
+        """Changed and new rows, as a commit of their own."""
+        return self.group.commit({self.name: rows})
+
+    def write(self, df: DataFrame) -> int:
+        """The whole table, as a commit of its own."""
+        return self.group.commit({self.name: df}, (self.name,))
