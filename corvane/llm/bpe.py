@@ -11,8 +11,8 @@ rules only, which makes the chains finite), and the ``Encoder`` emits tokens as
 The encoder reads a text in pieces of ``PIECE`` characters. The pattern that parts words needs three
 characters of lookahead; a word that goes on beyond that (a run of one class of characters) is passed to
 the window of the merges while it is still open, so what is held is ``WINDOW + L`` bytes and a piece of
-text, whatever the length of a text or of its words. Short words are remembered with their ids, in a table
-that is emptied when it is full.
+text, whatever the length of a text or of its words. Short words are remembered with their ids, in two
+tables of a fixed number of words.
 
 The decoder maps ids to bytes and bytes to text by an incremental UTF-8 machine: bytes of a character that
 isn't complete wait for the next ids; those that can't be completed become U+FFFD.
@@ -50,7 +50,9 @@ PIECE = 1 << 16  # characters read at a time
 PART = 1 << 16  # ids in a row
 WINDOW = 1 << 12  # bytes of an open word that are merged at a time
 LONGEST = 48  # characters of a word that is remembered
-REMEMBERED = 1 << 17  # words
+REMEMBERED = 1 << 17  # words, twice
+SHORT = 64  # bytes that are merged without a heap
+_NEVER = (1 << 62, -1)
 
 #: The pattern that parts words before the merges of byte-level vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -112,9 +114,20 @@ class Merges:
         self.tails = {s[:k] for s in self.special for k in range(1, len(s))}
 
     def merge(self, raw: bytes) -> list[int]:
-        """Ids of bytes: lowest rank first, then leftmost."""
+        """Ids of bytes: lowest rank first, then leftmost. Few bytes: by looking at all pairs each time; many: by a heap."""
         ids: list = [self.of_byte[b] for b in raw]
         n, rules = len(ids), self.rules
+        if n <= SHORT:
+            due = [rules.get(pair, _NEVER) for pair in zip(ids, ids[1:])]
+            while due and (rule := min(due)) is not _NEVER:
+                i = due.index(rule)
+                ids[i : i + 2] = [rule[1]]
+                del due[i]
+                if i < len(due):
+                    due[i] = rules.get((ids[i], ids[i + 1]), _NEVER)
+                if i:
+                    due[i - 1] = rules.get((ids[i - 1], ids[i]), _NEVER)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         due = [(rank[0], i) for i in range(n - 1) if (rank := rules.get((ids[i], ids[i + 1])))]
         heapq.heapify(due)
@@ -135,20 +148,25 @@ class Merges:
 
 
 class _Words(dict):
-    """Ids of short words as packed bytes, computed when first asked for."""
+    """Ids of short words as packed bytes, computed when first asked for.
+
+    When the table is full, it becomes the one before, from which words that are asked for again are taken
+    over: so frequent words stay, whatever comes between.
+    """
 
     def __init__(self, merges: Merges):
         super().__init__()
-        self.merges = merges
+        self.merges, self.before = merges, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
         if len(word) > LONGEST:
+            raw = word.encode()
             window = _Window(self.merges)
             return window.feed(raw) + window.close()
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        self[word] = found = array("I", self.merges.merge(raw)).tobytes()
+        self[word] = found = self.before.get(word) or array("I", self.merges.merge(word.encode())).tobytes()
         return found
 
 
