@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import text as tx
 from corvane.functions.vector import clamp, normalize
-from corvane.operators.classify import predict_category, profiles
-from corvane.operators.products import best_product
-from corvane.runtime import ship_package
+from corvane.operators.classify import MIN_CATEGORY, best_category, category_scores, profiles
+from corvane.operators.products import TILE, _matrix, best_product
+from corvane.runtime import Workspace, arrow_rows, ship_package
 from corvane.schema import Settings
 
 CANDIDATES = 400
+GROUPS = 4096  # sums that a task holds
 JOIN_ABOVE = 0.5
 SUGGEST_SIZE = 3
 SUGGEST_COHESION = 0.65
@@ -64,24 +69,71 @@ def mean_profile(member_profiles: DataFrame) -> DataFrame:
     return member_profiles.groupBy("cluster", "term").agg(F.sum("tf").alias("total")).join(sizes, "cluster").select("cluster", "term", (F.col("total") / F.col("n")).alias("tf"))
 
 
-def mean_vectors(vectors: DataFrame, group: str) -> DataFrame:
-    """(group, n, centroid): normalised mean of the vectors of each group, null where their lengths differ.
+def partial_sums(vectors: DataFrame, group: str) -> DataFrame:
+    """(group, n, low, high, sums, squares): what the vectors of a group sum to, one row a task and group, or a few.
 
-    Sums are by (group, position), so a large group is aggregated in tasks before its rows meet.
+    low, high: the shortest and the longest length; squares: the sum of all squared numbers. Arrow batches are
+    summed as matrices, so that no number of a vector becomes a row; a task holds ``GROUPS`` sums.
     """
-    sizes = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"))
-    each = vectors.select(group, F.posexplode("vector").alias("pos", "x")).groupBy(group, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    summed = each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda v: v["s"]).alias("sums"))
-    return sizes.join(summed, group, "left").select(group, "n", F.when(F.col("low") == F.col("high"), normalize(F.col("sums"))).alias("centroid"))
+    ship_package(vectors.sparkSession)
+    arrow_rows(vectors.sparkSession, TILE)
+    kind = dict(vectors.dtypes)[group]
+
+    def rows_of(held, key_type):
+        keys, told = zip(*held.items())
+        n, low, high, sums, squares = zip(*told)
+        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(n, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64())), pa.array(squares, pa.float64())], [group, "n", "low", "high", "sums", "squares"])
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            column, key_type = batch.column(1), batch.column(0).type
+            x, lengths = _matrix(column), pc.list_value_length(column).to_pylist()
+            coded = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+            codes, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            sums, squares = np.zeros((len(keys), x.shape[1])), np.zeros(len(keys))
+            np.add.at(sums, codes, x)
+            np.add.at(squares, codes, (x * x).sum(axis=1))
+            for code, key in enumerate(keys):
+                own = [lengths[i] for i in np.flatnonzero(codes == code)]
+                known = [length for length in own if length is not None]
+                had = held.get(key)
+                now = (len(own), min(known, default=None), max(known, default=None), sums[code], squares[code])
+                if had is not None:
+                    wide = max(len(had[3]), len(now[3]))
+                    both = lambda f, i: f((v for v in (had[i], now[i]) if v is not None), default=None)
+                    now = (had[0] + now[0], both(min, 1), both(max, 2), np.pad(had[3], (0, wide - len(had[3]))) + np.pad(now[3], (0, wide - len(now[3]))), had[4] + now[4])
+                held[key] = now
+            if len(held) >= GROUPS:
+                yield rows_of(held, key_type)
+                held = {}
+        if held:
+            yield rows_of(held, key_type)
+
+    return vectors.select(group, "vector").mapInArrow(run, f"{group} {kind}, n long, low int, high int, sums array<double>, squares double")
+
+
+def _totals(vectors: DataFrame, group: str) -> DataFrame:
+    """(group, n, low, high, squares, sums): the partial sums of each group together, position by position."""
+    parts = Workspace(vectors.sparkSession, "sums").write(partial_sums(vectors, group), "parts")
+    sizes = parts.groupBy(group).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("squares").alias("squares"))
+    each = parts.select(F.col(group).alias("_group"), F.posexplode("sums").alias("pos", "x")).groupBy("_group", "pos").agg(F.sum("x").alias("s"))
+    summed = each.groupBy("_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda v: v["s"]).alias("sums"))
+    return sizes.join(summed, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+
+
+def mean_vectors(vectors: DataFrame, group: str) -> DataFrame:
+    """(group, n, centroid): normalised mean of the vectors of each group, null where their lengths differ."""
+    summed = F.when((F.col("low") == F.col("high")) & (F.col("high") > 0), normalize(F.slice("sums", F.lit(1), F.col("high"))))
+    return _totals(vectors, group).select(group, "n", summed.alias("centroid"))
 
 
 def cohesion(vectors: DataFrame, group: str) -> DataFrame:
-    """(group, n, cohesion): mean cosine of all pairs of unit vectors, from the length of their sum; 0 for one vector."""
-    each = vectors.select(group, F.posexplode("vector").alias("pos", "x")).groupBy(group, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("q"))
-    sizes = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = each.groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("whole"), F.sum("q").alias("own"))
+    """(group, n, cohesion): mean cosine of all pairs of unit vectors, from the length of their sum; 0 for one vector. Groups without numbers are left out."""
+    whole = F.aggregate("sums", F.lit(0.0), lambda total, s: total + s * s)
     pairs = F.col("n") * (F.col("n") - 1)
-    return sizes.join(total, group).select(group, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.round((F.col("whole") - F.col("own")) / pairs, 6)).alias("cohesion"))
+    told = _totals(vectors, group).where(F.col("high") > 0)
+    return told.select(group, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.round((whole - F.col("squares")) / pairs, 6)).alias("cohesion"))
 
 
 def verdict(size: Column, cohesive: Column, nearest: Column, settings: Settings = Settings()) -> Column:
@@ -106,11 +158,17 @@ def nearest_album(centroids: DataFrame, albums: DataFrame, group: str) -> DataFr
 
 
 def parent_albums(members: DataFrame, albums: DataFrame, group: str = "cluster") -> DataFrame:
-    """(group, parent_album_id): the seed album of the category of all file names together."""
-    joined = members.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_id", "display_name"))), lambda x: x["display_name"]), "\n").alias("names"))
-    said = predict_category(joined.withColumnRenamed(group, "file_id"), F.col("names")).withColumnRenamed("file_id", group)
-    seeds = F.broadcast(albums.where("parent_album_id IS NULL").select(F.col("name").alias("category"), F.col("album_id").alias("parent_album_id")))
-    return said.join(seeds, "category", "left").select(group, "parent_album_id")
+    """(group, parent_album_id): the seed album of the category of all file names together, in the order of their files.
+
+    A cluster's names are one text, but need not be one row: its terms are those of each name, and of the
+    last token of a name with the first one of the next.
+    """
+    ends = members.select(group, "file_id", tx.tokens(F.col("display_name")).alias("t")).where(F.size("t") > 0).select(group, "file_id", F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+    seams = ends.select(group, F.concat_ws(" ", F.lag("last").over(Window.partitionBy(group).orderBy("file_id", "first", "last")), "first").alias("text"))
+    scores = category_scores(members.select(group, F.col("display_name").alias("text")).unionByName(seams), F.col("text"), group)
+    said = best_category(scores, group).where(F.col("score") >= MIN_CATEGORY).select(group, "category")
+    seeds = F.broadcast(albums.where("parent_album_id IS NULL").select(F.col("name").alias("category"), F.col("album_id").alias("parent_album_id")))  # the seeds
+    return members.select(group).distinct().join(said.join(seeds, "category"), group, "left").select(group, "parent_album_id")
 
 
 def reconcile(files: DataFrame, embeddings: DataFrame, albums: DataFrame, album_centroids: DataFrame, settings: Settings = Settings(), candidates: DataFrame | None = None) -> DataFrame:

@@ -38,3 +38,51 @@ def test_tags_like_the_joins(spark):
         fast = tg.extract_tags(files, F.col("body"), sample, F.col("body"))
         slow = tg.extract_tags(files, F.col("body"), sample, F.col("body"), few=-1)
         assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+
+
+def test_mean_vectors_and_cohesion_like_plain_sums(spark, monkeypatch):
+    import numpy as np
+
+    from corvane.operators import cluster as cu
+
+    monkeypatch.setattr(cu, "GROUPS", 3)
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, 3, 4, None]), [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(200)]
+    rows += [(8, [1.0, 0.0, 0.0, 0.0]), (9, [1.0, 2.0]), (9, [1.0]), (10, []), (11, None), (4, None), (12, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "g int, vector array<float>").repartition(5)
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v)
+    means = {r["g"]: (r["n"], r["centroid"]) for r in cu.mean_vectors(frame, "g").collect()}
+    assert {g: n for g, (n, _) in means.items()} == {g: len(v) for g, v in by.items()}
+    cohesion = {r["g"]: r["cohesion"] for r in cu.cohesion(frame, "g").collect()}
+    for g, vs in by.items():
+        known = [np.array(v, np.float32).astype(float) for v in vs if v is not None]
+        if len({len(v) for v in known}) == 1 and len(known[0]):
+            total = sum(known)
+            assert np.allclose(means[g][1], total / (np.linalg.norm(total) or 1), atol=1e-12)
+            if len(known) == len(vs) > 1:
+                pairs = [float(a @ b) for i, a in enumerate(known) for b in known[:i]]
+                assert abs(cohesion[g] - sum(pairs) / len(pairs)) < 2e-6
+        else:
+            assert means[g][1] is None
+    assert cohesion[8] == 0.0 and 10 not in cohesion and 11 not in cohesion
+
+
+def test_parents_of_clusters_like_one_text(spark):
+    from corvane.operators import cluster as cu
+    from corvane.operators.classify import predict_category
+    from corvane.schema import ALBUMS
+
+    rng = random.Random(12)
+    names = ["offer", "letter.pdf", "bank_", "statement", "the", "", "tax", "pan", "card 2", "salary", "slip of", "course", "lab", "social", "security"]
+    rows = [(rng.randrange(12), i, rng.choice(names)) for i in range(60)] + [(50, 900, None), (51, 901, "")]
+    members = spark.createDataFrame(rows, "cluster long, file_id long, display_name string").repartition(4)
+    albums = spark.createDataFrame([(i, n, None, "PREDEFINED", None, False, None, None, None) for i, n in enumerate(["Finance", "Career", "Education", "Identity"])], ALBUMS)
+    texts = {}
+    for c, _, name in sorted(rows, key=lambda r: r[1]):
+        texts.setdefault(c, []).append(name)
+    joined = spark.createDataFrame([(c, "\n".join(n for n in ns if n is not None)) for c, ns in texts.items()], "file_id long, names string")
+    ids = {"Finance": 0, "Career": 1, "Education": 2, "Identity": 3, None: None}
+    want = {r["file_id"]: ids[r["category"]] for r in predict_category(joined, F.col("names")).collect()}
+    assert {r["cluster"]: r["parent_album_id"] for r in cu.parent_albums(members, albums).collect()} == want and len(set(want.values())) > 2
