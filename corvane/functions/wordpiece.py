@@ -143,6 +143,19 @@ def wordpiece_ids(df: DataFrame, column: str, vocabulary: dict[str, int], most:
     return encode(F.col(column))
 
 
+def word_pieces(df: DataFrame, column: str, vocabulary: dict[str, int]) -> Column:
+    """Column of the ids of all words of a text, neither cut nor padded, without marks of its ends."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = WordPieces(shared.value)
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else [i for w in words(t) for i in pieces[w]])
+
+    return encode(F.col(column))
+
+
 def attention_mask(ids: Column, pad: int = 0) -> Column:
     """1 for every position up to the last that is no padding."""
     return F.transform(ids, lambda i: F.when(i == pad, 0).otherwise(1))

@@ -198,9 +198,13 @@ class FileIndex:
         return search.related(near, self.read("file_album"), self.read("file_tag"), self.read("files"), self.settings)
 
     def duplicates(self) -> DataFrame:
-        files = self.read("files")
-        near = dedup.hamming_pairs(reads.live(files).select("file_id", F.col("perceptual_hash").alias("phash")), self.settings.duplicate_phash_hamming_similar, self.settings.duplicate_phash_hamming_near)
-        return dedup.duplicate_groups(dedup.exact_groups(files), near, files, self.read("dismissed"))
+        """Groups of live files: equal contents, and images whose hashes are near or equal. Of equal contents, the representative alone has a hash that counts."""
+        files, s = self.read("files"), self.settings
+        exact = dedup.exact_groups(files)
+        copies = reads.live(files).join(exact, "sha256_hash").where("file_id != representative_file_id").select("file_id")
+        hashes = reads.live(files).join(copies, "file_id", "left_anti").select("file_id", F.col("perceptual_hash").alias("phash"))
+        near = dedup.with_copies(dedup.hamming_pairs(hashes, s.duplicate_phash_hamming_similar, s.duplicate_phash_hamming_near), hashes)
+        return dedup.duplicate_groups(exact, near, files, self.read("dismissed"))
 
     def dismiss(self, pairs: DataFrame) -> None:
         """pairs: (file_a, file_b) that are no duplicates."""

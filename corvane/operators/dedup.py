@@ -105,6 +105,12 @@ def hash_classes(hashes: DataFrame) -> DataFrame:
     return known.join(known.groupBy("phash").agg(F.min("file_id").alias("class_id")), "phash").select("file_id", "phash", "class_id")
 
 
+def with_copies(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """pairs between class representatives, and a star of pairs at distance 0 from each representative to the files with the same hash."""
+    stars = hash_classes(hashes).where("file_id != class_id").select(F.col("class_id").alias("file_a"), F.col("file_id").alias("file_b"), F.lit(0).alias("distance"), F.lit("NEAR").alias("kind"))
+    return pairs.unionByName(stars)
+
+
 def hamming_links(hashes: DataFrame, distance: int = 10) -> DataFrame:
     """(file_id, class_id, n_links): one row a file with a hash, and how many other files are within the distance, copies among them."""
     classes = hash_classes(hashes)

@@ -88,7 +88,7 @@ query("txt16_attention_mask", f"WITH RECURSIVE {_WORDPIECE} SELECT file_id, CAST
 def _word_pieces(ix: Index) -> DataFrame:
     words = ix.documents.select(F.explode(F.array_distinct(wp.normalised(F.col("text")))).alias("word")).distinct()
     vocabulary = {p: i for i, p in enumerate(_PIECES)}
-    ids = F.filter(wp.wordpiece_ids(words, "word", vocabulary, 1 << 12), lambda i: (i != 0) & (i != 2) & (i != 3))  # no word has as many pieces
+    ids = wp.word_pieces(words, "word", vocabulary)
     return words.select("word", F.array_join(ids, " ").alias("ids"))
 
 
@@ -182,6 +182,14 @@ query(
     "files hashes",
 )(lambda ix: dd.duplicate_groups(dd.exact_groups(ix.files), dd.hamming_pairs(_made_hashes(ix)), ix.files))
 
+query(
+    "ker34_near_with_copies",
+    f"""WITH RECURSIVE al AS ({_MADE}), ed AS (SELECT a.file_id AS a, b.file_id AS b, bit_count(CAST(xor(a.phash, b.phash) AS HUGEINT)) AS d FROM al a JOIN al b ON a.file_id <> b.file_id AND bit_count(CAST(xor(a.phash, b.phash) AS HUGEINT)) <= 10),
+          rc(a, b) AS (SELECT DISTINCT a, b FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON ed.a = rc.b)
+        SELECT least(min(rc.b), rc.a) AS group_id, rc.a AS file_id FROM rc GROUP BY rc.a""",
+    "hashes",
+)(lambda ix: dd.group_members(dd.with_copies(dd.hamming_pairs(_made_hashes(ix)), _made_hashes(ix))).select("group_id", "file_id"))
+
 # --- classification ------------------------------------------------------------------------------
 
 query("agg21_best_category", f"WITH {_hits_sql('extracted_text')}, {_SCORES} SELECT file_id, category, score FROM best WHERE r = 1", "files")(

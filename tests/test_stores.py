@@ -215,7 +215,7 @@ def close(hashes, distance):
 
 
 @pytest.mark.parametrize("kind", ["spread", "flat", "skewed"])
-@pytest.mark.parametrize(("distance", "parts", "hot"), [(10, None, 4096), (10, 2, 20), (4, 4, 5), (0, None, 4096)])
+@pytest.mark.parametrize(("distance", "parts", "hot"), [(10, None, 4096), (10, 3, 20), (4, 4, 5), (0, None, 4096)])
 def test_hashes_within_a_distance(spark, kind, distance, parts, hot):
     from corvane.operators.dedup import hamming_links, hamming_pairs
 

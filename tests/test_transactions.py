@@ -114,3 +114,20 @@ def test_file_index_over_stored_indexes(spark, tmp_path):
     assert set(r["file_id"] for r in index.hybrid("holiday").collect()) == {1}
     near = {r["file_id"]: r["score"] for r in index.related([0]).collect()}
     assert near == {4: pytest.approx(1.03), 2: pytest.approx(0.83)}
+
+
+def test_duplicates_with_their_copies(spark, tmp_path):
+    """Equal contents are one exact group; equal and near hashes of other contents are one near group, and a dismissed pair is none."""
+    from corvane.index import FileIndex
+    from corvane.schema import FILES
+
+    index = FileIndex(spark, str(tmp_path / "index"), now_ms=lambda: 5)
+    hashes = {0: ("x", 0b1111), 1: ("x", 0b1111), 2: ("y", 0b1111), 3: ("z", 0b1110), 4: ("u", 0x0F0F0F0F0F0F), 5: ("v", 0x0F0F0F0F0F0F), 6: ("w", None), 7: ("t", 0x7FFFFFFFFFFFFFFF)}
+    rows = [{"file_id": i, "uri": f"u{i}", "display_name": f"n{i}", "sha256_hash": sha, "perceptual_hash": h, "is_deleted": False} for i, (sha, h) in hashes.items()]
+    index._merge(files=spark.createDataFrame([tuple(r.get(c) for c in FILES.names) for r in rows], FILES))
+    groups = {}
+    for r in index.duplicates().collect():
+        groups.setdefault((r["group_type"], r["representative_file_id"]), set()).add(r["file_id"])
+    assert groups == {("EXACT", 0): {0, 1}, ("PERCEPTUAL_NEAR", 0): {0, 2, 3}, ("PERCEPTUAL_NEAR", 4): {4, 5}}
+    index.dismiss(spark.createDataFrame([(4, 5)], "file_a long, file_b long"))
+    assert index.duplicates().where("representative_file_id = 4").count() == 0
