@@ -60,10 +60,12 @@ def hamming_pairs(hashes: DataFrame, distance: int = 10, near: int = 5, parts: i
     The number of parts follows from the number of hashes (the more there are, the longer a key), so the
     pairs that meet by chance stay few a hash; bits are dealt by the data, so constant bits don't make one
     part coarse. A key that many hashes share, such as that of flat images, is a grid of bounded groups.
+    Both sides are told to merge: Spark takes keys to be as few as the classes they are made from, and would
+    send millions of them through the driver. The classes are dealt to all cores, as a small file makes many keys.
     """
     classes = hash_classes(hashes).where("file_id = class_id").select("file_id", "phash")
     work = Workspace(hashes.sparkSession, "hamming")
-    classes = work.write(classes, "classes")
+    classes = work.write(classes.repartition(hashes.sparkSession.sparkContext.defaultParallelism), "classes")
     n = classes.count()
     parts = parts or cheapest_parts(n, distance)
     reach, positions = distance // parts, hash_parts(classes, parts)
@@ -90,7 +92,7 @@ def hamming_pairs(hashes: DataFrame, distance: int = 10, near: int = 5, parts: i
         a, b = a.withColumns({"ga": F.lit(0), "gb": F.lit(0)}), b.withColumns({"ga": F.lit(0), "gb": F.lit(0)})
     flip_a, flip_b = F.col("flip_a"), F.col("flip_b")
     in_order = (flip_b == 0) | ((flip_a < flip_b.bitwiseAND(-flip_b)) & (F.bit_count(flip_a) == -(-reach // 2)))
-    met = a.join(b, ["part", "key", "ga", "gb"]).where(in_order & (F.col("file_a") < F.col("file_b")))
+    met = a.hint("merge").join(b.hint("merge"), ["part", "key", "ga", "gb"]).where(in_order & (F.col("file_a") < F.col("file_b")))
     apart = F.col("pa").bitwiseXOR(F.col("pb"))
     pairs = met.withColumn("distance", hamming(F.col("pa"), F.col("pb"))).where(F.col("distance") <= distance)
     masks = [sum(1 << x for x in bits) for bits in positions]
