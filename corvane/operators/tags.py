@@ -56,16 +56,19 @@ def best_tags(tags: DataFrame, most: int = MOST_TAGS, id: str = "file_id") -> Da
     return merged.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(id, "rank", "tag", "score")
 
 
-def extract_tags(files: DataFrame, text: Column, sample: DataFrame, sample_text: Column, most: int = MOST_TAGS, id: str = "file_id", few: int = FEW_TERMS) -> DataFrame:
+def extract_tags(files: DataFrame, text: Column, sample: DataFrame, sample_text: Column, most: int = MOST_TAGS, id: str = "file_id", few: int = FEW_TERMS, spans: bool = True) -> DataFrame:
     """(id, rank, tag, score): the best tags of each text; equal tags count once with their best score. id is a key of files.
 
+    spans: whether dates and years are tags too, besides lexicon and corpus terms.
+
     The terms of a sample of texts are few (the reference takes 300 texts of 10,000 characters): up to
     ``few`` they are sent to all tasks, and each text is parted once, in a map over Arrow batches that gives
     its best tags alone. Above, terms and texts are joined.
     """
     df = Workspace(files.sparkSession, "tags").write(document_frequencies(sample, sample_text), "df")
+    dates = tx.date_tags(text) if spans else F.array().cast("array<string>")
     if df.count() > few:
-        return _joined_tags(files, text, sample, df, most, id)
+        return _joined_tags(files, text, sample, df, most, id, dates)
     spark, kind = files.sparkSession, dict(files.dtypes)[id]
     ship_package(spark)
     arrow_rows(spark)
@@ -79,7 +82,7 @@ def extract_tags(files: DataFrame, text: Column, sample: DataFrame, sample_text:
             at, rank, tag, score = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(tag, pa.string()), pa.array(score, pa.float64())], [id, "rank", "tag", "score"])
 
-    return files.select(id, F.lower(text).alias("lowered"), tx.date_tags(text).alias("dates")).mapInArrow(run, f"{id} {kind}, rank int, tag string, score double")
+    return files.select(id, F.lower(text).alias("lowered"), dates.alias("dates")).mapInArrow(run, f"{id} {kind}, rank int, tag string, score double")
 
 
 def _tags_of(matcher: TermMatcher, lowered: str | None, dates: list[str] | None, counts: dict[str, int], n: int, most: int) -> list[tuple[str, float]]:
@@ -114,13 +117,13 @@ def _tags_of(matcher: TermMatcher, lowered: str | None, dates: list[str] | None,
     return [(t, s) for s, _, t in sorted(rounded, key=lambda x: (-x[0], x[1], x[2]))[:most]]
 
 
-def _joined_tags(files: DataFrame, text: Column, sample: DataFrame, df: DataFrame, most: int, id: str) -> DataFrame:
+def _joined_tags(files: DataFrame, text: Column, sample: DataFrame, df: DataFrame, most: int, id: str, spans: Column) -> DataFrame:
     """extract_tags by joins, for samples of any size."""
     tf = term_frequencies(files, text, id)
     size = sample.agg(F.count(F.lit(1)).alias("corpus"))
     by_corpus = corpus_tags(tf.crossJoin(F.broadcast(size)), df, F.col("corpus"), id)  # one row
     worded = files.where(F.size(tx.tokens(text)) > 0)  # a text without tokens has no tags
-    dates = worded.select(id, F.posexplode(tx.date_tags(text)).alias("pos", "tag")).select(id, "tag", F.lit(DATE_SCORE).alias("score"), (F.col("pos") + (1 << 40)).alias("rank"))
+    dates = worded.select(id, F.posexplode(spans).alias("pos", "tag")).select(id, "tag", F.lit(DATE_SCORE).alias("score"), (F.col("pos") + (1 << 40)).alias("rank"))
     lexical = lexicon_tags(term_frequencies(files, text, id, may_match), id)
     return best_tags(lexical.unionByName(by_corpus).unionByName(dates), most, id)
 

@@ -911,7 +911,7 @@ query(
     "files",
 )(
     lambda ix: (
-        tg.extract_tags(ix.files, F.col("extracted_text"), rd.text_sample(ix.files, 300), F.col("extracted_text"))
+        tg.extract_tags(ix.files, F.col("extracted_text"), rd.text_sample(ix.files, 300), F.col("extracted_text"), spans=False)
         .select("file_id", "tag", "score")
     )
 )

@@ -40,6 +40,27 @@ def test_tags_like_the_joins(spark):
         assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
 
 
+def test_tag_query_like_its_sql_on_texts_with_dates(spark, tmp_path):
+    import __spark_entry__
+    import duckdb
+
+    words = ["", "2058", "invoice 2058", "in 1902 a parcel", "2023-1-5 parcel parcel", "due 1/2/1999: résumé", "the"]
+    rows = [(i, w, "en", "web", len(w or "")) for i, w in enumerate([*words, None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["ker09_tags"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.execute(__spark_entry__.oracle_sql()["ker09_tags"]).fetchall())
+
+
+def test_tags_without_spans_like_the_joins(spark):
+    files = texts(spark)
+    fast, slow = (tg.extract_tags(files, F.col("body"), files, F.col("body"), few=few, spans=False).collect() for few in (tg.FEW_TERMS, -1))
+    assert sorted(map(tuple, fast)) == sorted(map(tuple, slow))
+    assert not any(r["tag"].startswith(("date:", "year:")) for r in fast)
+    assert any(r["tag"].startswith("year:") for r in tg.extract_tags(files, F.col("body"), files, F.col("body")).collect())
+
+
 def test_mean_vectors_and_cohesion_like_plain_sums(spark, monkeypatch):
     import numpy as np
 
