@@ -117,7 +117,7 @@ def hamming_links(hashes: DataFrame, distance: int = 10) -> DataFrame:
     """(file_id, class_id, n_links): one row a file with a hash, and how many other files are within the distance, copies among them."""
     classes = hash_classes(hashes)
     weight = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = hamming_pairs(hashes, distance)
+    pairs = Workspace(hashes.sparkSession, "links").write(hamming_pairs(hashes, distance), "pairs")  # read twice
     both = pairs.select(F.col("file_a").alias("of"), F.col("file_b").alias("class_id")).unionByName(pairs.select(F.col("file_b").alias("of"), F.col("file_a").alias("class_id")))
     beyond = both.join(weight, "class_id").groupBy("of").agg(F.sum("n").alias("m")).withColumnRenamed("of", "class_id")
     told = weight.join(beyond, "class_id", "left").select("class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
