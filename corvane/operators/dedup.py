@@ -190,6 +190,7 @@ def duplicate_groups(exact: DataFrame, near: DataFrame, files: DataFrame, dismis
     """
     members = files.where(~F.col("is_deleted")).join(exact, "sha256_hash").select(F.lit("EXACT").alias("group_type"), "representative_file_id", "file_id", F.lit(1.0).alias("similarity_score"))
     pairs = near if dismissed is None else near.join(dismissed.select("file_a", "file_b"), ["file_a", "file_b"], "left_anti")
+    pairs = Workspace(files.sparkSession, "duplicates").write(pairs, "pairs")  # read for groups and for distances
     closest = pairs.select(F.col("file_a").alias("file_id"), "distance").unionByName(pairs.select(F.col("file_b").alias("file_id"), "distance")).groupBy("file_id").agg(F.min("distance").alias("d"))
     groups = group_members(pairs).join(closest, "file_id").select(F.lit("PERCEPTUAL_NEAR").alias("group_type"), F.col("group_id").alias("representative_file_id"), "file_id", F.round(1 - F.col("d") / 64, 6).alias("similarity_score"))
     return members.unionByName(groups)
