@@ -22,7 +22,7 @@ def broadcast_generators(plan):
     return found
 
 
-@pytest.mark.parametrize("name", ["join15_hamming", "join15_hamming_links", "ker34_duplicates"])
+@pytest.mark.parametrize("name", ["join15_hamming", "join15_hamming_links", "ker34_duplicates", "ker34_near_with_copies"])
 def test_keys_of_hashes_are_not_broadcast(spark, monkeypatch, name):
     """Spark takes keys to be as few as the hashes they are made from; no plan sends them through the driver."""
     import __spark_entry__
