@@ -168,8 +168,8 @@ def group_members(pairs: DataFrame) -> DataFrame:
     when nothing changes. The state is checkpointed to the folder that the cluster shares.
     """
     work = Workspace(pairs.sparkSession, "groups")
-    edges = pairs.select(F.col("file_a").alias("a"), F.col("file_b").alias("b"))
-    edges = work.write(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = F.array(F.struct(F.col("file_a").alias("a"), F.col("file_b").alias("b")), F.struct(F.col("file_b").alias("a"), F.col("file_a").alias("b")))  # a union would make the pairs twice
+    edges = work.write(pairs.select(F.inline(both)).distinct(), "edges")
     labels = work.write(edges.select(F.col("a").alias("file_id"), F.col("a").alias("group_id")).distinct(), "labels-0")
     i, changed = 0, True
     while changed:

@@ -33,3 +33,14 @@ def test_keys_of_hashes_are_not_broadcast(spark, monkeypatch, name):
     plans.append(plan_of(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")))
     assert any("Generate explode" in p for p in plans)
     assert [x for p in plans for x in broadcast_generators(p)] == []
+
+
+def test_groups_make_their_pairs_once(spark, monkeypatch):
+    """Edges go both ways, but the keys of hashes meet in one join."""
+    import __spark_entry__
+    from corvane.runtime import Workspace
+
+    plans, write = {}, Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name, **b: plans.setdefault(name, plan_of(df)) and write(self, df, name, **b))
+    __spark_entry__.queries()["ker34_near_with_copies"](spark, "/root/testdata/sf0.001")
+    assert len(re.findall(r"SortMergeJoin \[part", plans["edges"])) == 1
